@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("descriptive", "preparation")
+_MODULES = ("descriptive", "preparation", "inference")
 
 
 def load_all() -> None:

@@ -201,7 +201,7 @@ def impute_constant(spark, d):
 
 
 @query("bin_quantile", """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders)
-    SELECT o_orderkey, CAST(o_totalprice > a AS INTEGER) + CAST(o_totalprice > b AS INTEGER) + CAST(o_totalprice > c AS INTEGER) AS o_totalprice_binned FROM orders, q""".replace("", ""))
+    SELECT o_orderkey, CAST(o_totalprice > a AS INTEGER) + CAST(o_totalprice > b AS INTEGER) + CAST(o_totalprice > c AS INTEGER) AS o_totalprice_binned FROM orders, q""")
 def bin_quantile(spark, d):
     return transform.bin_numeric(table(spark, d, "orders"), ["o_totalprice"], 4).select("o_orderkey", "o_totalprice_binned")
 
@@ -266,7 +266,7 @@ def lag_features(spark, d):
 )
 def rolling(spark, d):
     out = ordered.rolling(table(spark, d, "events"), "value", 5, order_by=["event_id"])
-    return rounded(out.select("event_id", "value_roll_mean", "value_roll_std", "value_roll_sum"), 7).withColumn("value_roll_std", F.round("value_roll_std", 6))
+    return out.select("event_id", r(F.col("value_roll_mean"), 7, "value_roll_mean"), r(F.col("value_roll_std"), 6, "value_roll_std"), r(F.col("value_roll_sum"), 7, "value_roll_sum"))
 
 
 @query("forward_fill", f"SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM (SELECT event_id, {GAPPY} AS v FROM events)")

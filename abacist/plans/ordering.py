@@ -125,26 +125,19 @@ def carried(
     def holder(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(index).alias("at"), F.col(c).alias("value"), *keys))
 
-    inside = Window.partitionBy("_block").orderBy(index)
-    inside = (
-        inside.rowsBetween(Window.unboundedPreceding, 0)
-        if forward
-        else inside.rowsBetween(0, Window.unboundedFollowing)
-    )
-    pick, edge = (F.last, F.max_by) if forward else (F.first, F.min_by)
-    local = frame.withColumns({f"_in_{c}": pick(holder(c), ignorenulls=True).over(inside) for c in columns})
+    # Always a growing frame from the near end: Spark recomputes a frame that
+    # is unbounded on the far side for every row.
+    way = F.asc if forward else F.desc
+    edge = F.max_by if forward else F.min_by
+    inside = Window.partitionBy("_block").orderBy(way(index)).rowsBetween(Window.unboundedPreceding, 0)
+    local = frame.withColumns({f"_in_{c}": F.last(holder(c), ignorenulls=True).over(inside) for c in columns})
     # One row per block; then the nearest block on that side that holds a value.
     edges = frame.groupBy("_block").agg(
         *[edge(holder(c), F.when(F.col(c).isNotNull(), F.col(index))).alias(f"_edge_{c}") for c in columns]
     )
-    outside = Window.orderBy("_block")
-    outside = (
-        outside.rowsBetween(Window.unboundedPreceding, -1)
-        if forward
-        else outside.rowsBetween(1, Window.unboundedFollowing)
-    )
+    outside = Window.orderBy(way("_block")).rowsBetween(Window.unboundedPreceding, -1)
     reach = edges.select(
-        "_block", *[pick(F.col(f"_edge_{c}"), ignorenulls=True).over(outside).alias(f"_far_{c}") for c in columns]
+        "_block", *[F.last(F.col(f"_edge_{c}"), ignorenulls=True).over(outside).alias(f"_far_{c}") for c in columns]
     )
     joined = local.join(reach, "_block", "left")
     out = {}
