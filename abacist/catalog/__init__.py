@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("descriptive", "preparation", "inference")
+_MODULES = ("descriptive", "preparation", "inference", "learning")
 
 
 def load_all() -> None:

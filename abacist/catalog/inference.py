@@ -17,7 +17,7 @@ def li(spark, d):
     return table(spark, d, "lineitem")
 
 
-def pick(df, **digits):
+def pick(df, /, **digits):
     """Round named columns, keep the rest given with None."""
     return df.select(*[F.col(c) if k is None else r(F.col(c), k, c) for c, k in digits.items()])
 
@@ -249,9 +249,9 @@ def normality(spark, d):
     return npar.normality(table(spark, d, "orders"), "o_totalprice")
 
 
-@query("qq_points", " UNION ALL ".join(f"SELECT {(i + 0.5) / 20}::DOUBLE AS p, round(quantile_cont(o_totalprice, {(i + 0.5) / 20}), 4) AS sample FROM orders" for i in range(20)))
+@query("qq_points", " UNION ALL ".join(f"SELECT {(i + 0.5) / 20}::DOUBLE AS p, round(quantile_cont(o_totalprice, {(i + 0.5) / 20}), 6) AS sample FROM orders" for i in range(20)))
 def qq_points(spark, d):
-    return pick(npar.qq_points(table(spark, d, "orders"), "o_totalprice", 20), p=None, sample=4)
+    return pick(npar.qq_points(table(spark, d, "orders"), "o_totalprice", 20), p=None, sample=6)
 
 
 @query("assumption_checks")

@@ -50,26 +50,26 @@ def pair_p_value(r: float | None, n: int) -> float | None:
     return dist.t_two_sided(r * math.sqrt((n - 2) / (1.0 - r * r)), n - 2)
 
 
-def _spearman(df: DataFrame, a: str, b: str) -> tuple[int, float | None]:
-    pair = df.select(clean_double(a).alias("x"), clean_double(b).alias("y")).dropna()
-    # Equal pairs collapse to one row with a weight before anything is ranked.
-    cells = pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
-    ranked = average_ranks(average_ranks(cells, "x", "w", "rx"), "y", "w", "ry")
-    n = F.sum("w")
-    row = ranked.agg(
-        n.alias("n"),
-        F.sum(F.col("w") * F.col("rx")).alias("sx"),
-        F.sum(F.col("w") * F.col("ry")).alias("sy"),
-    ).first()
-    if not row["n"]:
-        return 0, None
-    mx, my = row["sx"] / row["n"], row["sy"] / row["n"]
-    dx, dy = F.col("rx") - F.lit(mx), F.col("ry") - F.lit(my)
-    s = ranked.agg(
-        F.sum(F.col("w") * dx * dy).alias("xy"), F.sum(F.col("w") * dx * dx).alias("xx"), F.sum(F.col("w") * dy * dy).alias("yy")
-    ).first()
-    spread = s["xx"] * s["yy"]
-    return row["n"], s["xy"] / math.sqrt(spread) if spread > 0 else None
+def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], tuple[int, float | None]]:
+    """Pearson correlation of average ranks, per pair.
+
+    Without missing values each column is ranked once for all pairs; otherwise
+    ranks depend on the pair and are taken over its own complete rows.
+    """
+    columns = sorted({c for p in pairs for c in p})
+    data = df.select(*[clean_double(c).alias(c) for c in columns])
+    counts = data.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n_{c}") for c in columns]).first()
+    if all(v == counts["_rows"] for v in counts):
+        for c in columns:
+            data = average_ranks(data, c, None, f"_rank_{c}")
+        ranked = data.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
+        return _pair_sums(ranked, pairs)
+    out = {}
+    for a, b in pairs:
+        pair = data.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
+        ranked = average_ranks(average_ranks(pair, "x", None, "rx"), "y", None, "ry")
+        out[a, b] = _pair_sums(ranked, [("rx", "ry")])["rx", "ry"]
+    return out
 
 
 def _kendall(df: DataFrame, a: str, b: str) -> tuple[int, float | None, float | None]:
@@ -109,9 +109,7 @@ def correlation(
     if method == "pearson":
         found = {p: (n, r, pair_p_value(r, n)) for p, (n, r) in _pair_sums(df, pairs).items()}
     elif method == "spearman":
-        for p in pairs:
-            n, r = _spearman(df, *p)
-            found[p] = (n, r, pair_p_value(r, n))
+        found = {p: (n, r, pair_p_value(r, n)) for p, (n, r) in _spearman(df, pairs).items()}
     elif method == "kendall":
         found = {p: _kendall(df, *p) for p in pairs}
     else:

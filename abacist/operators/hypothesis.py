@@ -121,14 +121,17 @@ def f_from_groups(groups: Sequence[Group]) -> dict[str, float]:
 
 
 def _null(v):
-    return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+    """Plain Python number, NaN as None."""
+    v = v.item() if isinstance(v, np.generic) else v
+    return None if isinstance(v, float) and math.isnan(v) else v
 
 
 def one_row(df: DataFrame, values: dict) -> DataFrame:
     """A result row as DataFrame, NaN as NULL."""
     kinds = {bool: "boolean", int: "long", str: "string"}
-    ddl = ", ".join(f"`{k}` {kinds.get(type(v), 'double')}" for k, v in values.items())
-    row = tuple(float(v) if isinstance(v, (float, np.floating)) and _null(float(v)) is not None else _null(v) for v in values.values())
+    plain = {k: v.item() if isinstance(v, np.generic) else v for k, v in values.items()}
+    ddl = ", ".join(f"`{k}` {kinds.get(type(v), 'double')}" for k, v in plain.items())
+    row = tuple(_null(v) for v in plain.values())
     return df.sparkSession.createDataFrame([row], ddl)
 
 

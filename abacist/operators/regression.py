@@ -372,7 +372,7 @@ class GeneralizedModel:
         rows = []
         for t, b, se, stat, p in zip([*self.features, CONST], coefs, s.coefficientStandardErrors, s.tValues, s.pValues):
             ratio = math.exp(b) if self.family in ("binomial", "poisson") and b < 700 else math.nan
-            rows.append((t, float(b), se, stat, p, b - z * se, b + z * se, _null(ratio)))
+            rows.append(tuple(_null(v) if not isinstance(v, str) else v for v in (t, b, se, stat, p, b - z * se, b + z * se, ratio)))
         return self.source.sparkSession.createDataFrame(
             rows, "term string, coef double, se double, z double, p double, ci_low double, ci_high double, ratio double"
         )

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abacist.plans.ordering import with_running_totals
 from abacist.plans.skew import skew_join
 
-# Up to this many distinct values one sorted task computes the running totals.
+# Up to this many distinct values one sorted task computes the running totals
+# and the rank table may be broadcast; both are checked against the data.
 SINGLE_TASK_VALUES = 200_000
 
 
-def value_ranks(values: DataFrame, value: str, weight: str, others: Sequence[str] = ()) -> DataFrame:
+def _few(values: DataFrame) -> bool:
+    return values.limit(SINGLE_TASK_VALUES + 1).count() <= SINGLE_TASK_VALUES
+
+
+def value_ranks(values: DataFrame, value: str, weight: str, few: bool | None = None) -> DataFrame:
     """Distinct values with `weight` copies each -> average rank and `upto` (running total)."""
-    if values.limit(SINGLE_TASK_VALUES + 1).count() <= SINGLE_TASK_VALUES:
+    if _few(values) if few is None else few:
         w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         run = values.withColumn("upto", F.sum(weight).over(w))
     else:
@@ -24,12 +27,14 @@ def value_ranks(values: DataFrame, value: str, weight: str, others: Sequence[str
     return run.withColumn("avg_rank", F.col("upto") - F.col(weight) + (F.col(weight) + 1) / F.lit(2.0))
 
 
-def average_ranks(df: DataFrame, value: str, weight: str, name: str) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, weight: str | None, name: str) -> DataFrame:
     """Add the average rank of `value` to each row; rows stand for `weight` copies.
 
-    The rank table has one row per distinct value, so the join back is salted
-    where one value holds many rows.
+    The rank table has one row per distinct value.  A table of checked size is
+    broadcast; a larger one is joined with the hot values salted.
     """
-    totals = df.groupBy(value).agg(F.sum(weight).alias("_w"))
-    ranks = value_ranks(totals, value, "_w").select(value, F.col("avg_rank").alias(name))
-    return skew_join(df, ranks, [value], "left")
+    copies = F.sum(weight) if weight else F.count(F.lit(1))
+    totals = df.groupBy(value).agg(copies.alias("_w"))
+    few = _few(totals)
+    ranks = value_ranks(totals, value, "_w", few).select(value, F.col("avg_rank").alias(name))
+    return df.join(F.broadcast(ranks), value, "left") if few else skew_join(df, ranks, [value], "left")
