@@ -388,3 +388,30 @@ def elliptic_envelope(spark, d):
 def anomaly_metrics(spark, d):
     t = table(spark, d, "lineitem").select(F.expr("if(l_discount > 0.09, -1, 1)").alias("y"), F.expr("if(l_tax > 0.07, -1, 1)").alias("prediction"))
     return rounded(anomaly.anomaly_metrics(t, "y").select("accuracy", "precision", "recall"), 9)
+
+
+DBSCAN_SQL = """WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS a, CAST(s_nationkey AS DOUBLE) AS b FROM supplier),
+    e AS (SELECT q.id AS qid, t.id AS tid FROM p q, p t WHERE (q.a - t.a) ** 2 + (q.b - t.b) ** 2 <= 1.44),
+    core AS (SELECT qid AS id FROM e GROUP BY qid HAVING count(*) >= 4),
+    reach(id, root) AS (SELECT id, id FROM core UNION SELECT e.tid, reach.root FROM reach JOIN e ON e.qid = reach.id JOIN core c ON c.id = e.tid),
+    comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+    SELECT p.id AS s_suppkey, core.id IS NOT NULL AS core,
+    CASE WHEN core.id IS NOT NULL THEN (SELECT count(*) FROM comp c2 WHERE c2.root = comp.root) ELSE 0 END AS core_size FROM p LEFT JOIN core USING (id) LEFT JOIN comp USING (id)"""
+
+
+@query("dbscan", DBSCAN_SQL)
+def dbscan(spark, d):
+    from abacist.operators.density import dbscan as run
+
+    t = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("a"), F.col("s_nationkey").cast("double").alias("b"))
+    out = run(t, ["a", "b"], "s_suppkey", 1.2, 4)
+    size = out.filter("core").groupBy("cluster").agg(F.count(F.lit(1)).alias("core_size"))
+    out = out.join(size, "cluster", "left")
+    return out.select("s_suppkey", "core", F.when(F.col("core"), F.col("core_size")).otherwise(F.lit(0)).alias("core_size"))
+
+
+@query("dbscan_labels")
+def dbscan_labels(spark, d):
+    from abacist.operators.density import dbscan as run
+
+    return run(table(spark, d, "events").select("event_id", "value", (F.col("user_id") / 100).alias("u")), ["value", "u"], "event_id", 0.5, 10).select("event_id", "cluster")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from abacist.operators.evaluate import classification_metrics
 from abacist.plans.moments import moments
 from abacist.plans.neighbours import nearest_neighbours, points
-from abacist.plans.quantiles import clean_double, exact_quantiles
+from abacist.plans.quantiles import clean_double, complete_rows, exact_quantiles
 from abacist.plans.session import durable
 from abacist.plans.skew import skew_join
 
@@ -59,7 +59,7 @@ class IsolationForest:
 
     def fit(self, df: DataFrame, features: Sequence[str], key: str) -> IsolationForest:
         self.features = list(features)
-        data = df.select(F.col(key).alias("_key"), *[clean_double(c).alias(f"f{i}") for i, c in enumerate(features)]).dropna()
+        data = complete_rows(df.select(F.col(key).alias("_key"), *[clean_double(c).alias(f"f{i}") for i, c in enumerate(features)]))
         n = data.count()
         span = 1 << 30
         # Enough candidates per tree that the smallest `sample` hashes are among them.
@@ -95,7 +95,7 @@ class IsolationForest:
         """Rows with an anomaly `score` in (0, 1], larger is more isolated."""
         forest, unit, names = self.forest, self.unit, self.features
         shared = df.sparkSession.sparkContext.broadcast(forest)
-        data = df.withColumns({f"_f{i}": clean_double(c) for i, c in enumerate(names)}).dropna(subset=[f"_f{i}" for i in range(len(names))])
+        data = complete_rows(df.withColumns({f"_f{i}": clean_double(c) for i, c in enumerate(names)}), [f"_f{i}" for i in range(len(names))])
         packed = data.withColumn("_x", F.array(*[f"_f{i}" for i in range(len(names))]))
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -177,7 +177,7 @@ class EllipticEnvelope:
         from abacist.functions import dist
 
         self.features = list(features)
-        data = df.select(*[clean_double(c).alias(c) for c in features]).dropna().persist()
+        data = complete_rows(df.select(*[clean_double(c).alias(c) for c in features])).persist()
         try:
             n, p = data.count(), len(features)
             share = self.support or (n + p + 1) / (2.0 * n)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from abacist.functions.columns import columns_of
+from abacist.plans.quantiles import complete_rows
 
 _COMPARE = {"eq": operator.eq, "ne": operator.ne, "lt": operator.lt, "le": operator.le, "gt": operator.gt, "ge": operator.ge}
 
@@ -62,7 +63,7 @@ def outside(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.dropna(subset=list(columns) if columns else None)
+    return complete_rows(df, columns)
 
 
 def clean_names(names: Sequence[str]) -> list[str]:

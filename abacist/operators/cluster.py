@@ -10,12 +10,14 @@ import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from abacist.operators.hypothesis import one_row
 from abacist.plans.neighbours import nearest_neighbours, points
-from abacist.plans.quantiles import clean_double
+from abacist.plans.quantiles import clean_double, complete_rows
 
 VECTOR = "_vector"
 MAX_CLUSTERS = 10_000
@@ -39,7 +41,7 @@ class Scaling:
     def scaled(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Kept columns and scaled features; rows with a missing feature are dropped."""
         cols = [((clean_double(c) - F.lit(m)) / F.lit(s)).alias(f"_x{i}") for i, (c, m, s) in enumerate(zip(self.columns, self.mean, self.sd))]
-        return df.select(*keep, *cols).dropna(subset=self.names)
+        return complete_rows(df.select(*keep, *cols), self.names)
 
     @property
     def names(self) -> list[str]:
@@ -125,32 +127,37 @@ def spectral(df: DataFrame, features: Sequence[str], key: str, k: int = 3, neigh
 
 def cluster_metrics(labelled: DataFrame, features: Sequence[str], cluster: str = "cluster", silhouette: bool = True) -> DataFrame:
     """Calinski-Harabasz, Davies-Bouldin, inertia, and the squared-Euclidean silhouette."""
-    data = labelled.select(F.col(cluster).alias("c"), *[clean_double(f).alias(f"f{i}") for i, f in enumerate(features)]).dropna()
-    names = [f"f{i}" for i in range(len(features))]
-    rows = data.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names], *[F.var_pop(c).alias(f"v{c}") for c in names]).limit(MAX_CLUSTERS + 1).collect()
-    if len(rows) > MAX_CLUSTERS:
+    clean = complete_rows(labelled.select(F.col(cluster).alias("c"), *[clean_double(f).alias(f"f{i}") for i, f in enumerate(features)]))
+    data = clean.select("c", F.array(*[f"f{i}" for i in range(len(features))]).alias("x"))
+    sizes = data.groupBy("c").agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLUSTERS + 1).collect()
+    if len(sizes) > MAX_CLUSTERS:
         raise ValueError("too many clusters to score")
-    rows.sort(key=lambda r: r["c"])
-    n = np.array([r["n"] for r in rows], dtype=float)
-    mid = np.array([[r[c] for c in names] for r in rows])
-    within = float(sum(r["n"] * sum(r[f"v{c}"] for c in names) for r in rows))
-    total, k = n.sum(), len(rows)
+    sizes.sort(key=lambda r: r["c"])
+    place = {r["c"]: i for i, r in enumerate(sizes)}
+    n, mid, within = np.array([r["n"] for r in sizes], dtype=float), np.zeros((len(sizes), len(features))), 0.0
+    long = data.select("c", F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    for r in long.collect():  # clusters x features
+        mid[place[r["c"]], r["i"]] = r["m"]
+        within += float(n[place[r["c"]]] * r["s"])
+    total, k = n.sum(), len(sizes)
     grand = (n[:, None] * mid).sum(0) / total
     between = float((n * ((mid - grand) ** 2).sum(1)).sum())
     ch = (between / (k - 1)) / (within / (total - k)) if k > 1 and within > 0 and total > k else math.nan
     db = math.nan
     if k > 1:
-        centre = data.sparkSession.createDataFrame([(r["c"], *[float(v) for v in m]) for r, m in zip(rows, mid)], ["_c", *[f"m{c}" for c in names]])
+        schema = StructType([StructField("_c", data.schema["c"].dataType), StructField("_m", ArrayType(DoubleType()))])
+        centre = data.sparkSession.createDataFrame([(r["c"], [float(v) for v in m]) for r, m in zip(sizes, mid)], schema)
         # One row per cluster, at most MAX_CLUSTERS.
         joined = data.join(F.broadcast(centre), F.col("c") == F.col("_c"))
-        gap = F.sqrt(sum((F.pow(F.col(c) - F.col(f"m{c}"), 2) for c in names), F.lit(0.0)))
-        spread = {r["c"]: r["s"] for r in joined.groupBy("c").agg(F.avg(gap).alias("s")).collect()}
-        s = np.array([spread[r["c"]] for r in rows])
+        square = F.aggregate(F.zip_with("x", "_m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+        s = np.zeros(k)
+        for r in joined.groupBy("c").agg(F.avg(F.sqrt(square)).alias("s")).collect():
+            s[place[r["c"]]] = r["s"]
         apart = np.sqrt(((mid[:, None, :] - mid[None, :, :]) ** 2).sum(2))
         np.fill_diagonal(apart, np.inf)
         db = float(((s[:, None] + s[None, :]) / apart).max(1).mean())
     sil = math.nan
     if silhouette and 1 < k < total:
-        vec = VectorAssembler(inputCols=names, outputCol="v").transform(data.withColumn("p", F.col("c").cast("double")))
+        vec = data.select(array_to_vector("x").alias("v"), F.col("c").cast("double").alias("p"))
         sil = float(ClusteringEvaluator(featuresCol="v", predictionCol="p").evaluate(vec))
     return one_row(labelled, {"n": int(total), "clusters": k, "inertia": within, "calinski_harabasz": ch, "davies_bouldin": db, "silhouette": sil})

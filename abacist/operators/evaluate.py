@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.operators.hypothesis import one_row
@@ -160,30 +162,36 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
-def poisson_weight(key: Sequence[str], replicate: int, seed: int) -> Column:
-    """A Poisson(1) count from the row's key hash: the distributed bootstrap draw."""
-    u = F.pmod(F.xxhash64(*key, F.lit(replicate), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    cdf, total, weight = math.exp(-1), 0.0, F.lit(0)
-    for k in range(1, 12):
-        total += cdf
-        weight = weight + F.when(u >= F.lit(total), 1).otherwise(0)
-        cdf /= k
-    return weight
+def _uniform(h: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """Uniform draws from row hashes: the splitmix64 finaliser per replicate."""
+    z = h.astype(np.uint64) + np.uint64((replicate + 1) * 0x9E3779B97F4A7C15 + seed & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * (1.0 / (1 << 53))
 
 
 def bootstrap_mean(df: DataFrame, column: str, key: Sequence[str], replicates: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of a mean: all replicates in one pass over the rows."""
-    from abacist.plans.quantiles import exact_quantiles
-
-    v = clean_double(column)
-    data = df.filter(v.isNotNull())
-    means: list[float] = []
-    for start in range(0, replicates, 50):
-        part = range(start, min(start + 50, replicates))
-        row = data.agg(
-            *[F.try_divide(F.sum(v * poisson_weight(key, i, seed)), F.sum(poisson_weight(key, i, seed))).alias(f"m{i}") for i in part]
-        ).first()
-        means += [x for x in row if x is not None]
-    reps = df.sparkSession.createDataFrame([(float(m),) for m in means], "m double")
-    lo, hi = exact_quantiles(reps, ["m"], ((1 - level) / 2, (1 + level) / 2))["m"]
-    return one_row(df, {"mean": data.agg(F.avg(v)).first()[0], "low": lo, "high": hi, "replicates": len(means)})
+    """Percentile interval of a mean.
+
+    Each row counts Poisson(1) times in each replicate, drawn from the hash of
+    its key, so all replicates come from one pass and do not depend on the
+    partitioning.
+    """
+    data = df.select(clean_double(column).alias("v"), F.xxhash64(*key).alias("h")).filter(F.col("v").isNotNull())
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(15)])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight = np.zeros(replicates), np.zeros(replicates)
+        with np.errstate(over="ignore"):
+            for pdf in batches:
+                v, h = pdf["v"].to_numpy(), pdf["h"].to_numpy()
+                for i in range(replicates):
+                    w = np.searchsorted(steps, _uniform(h, i, seed), side="right")
+                    weight[i] += w.sum()
+                    total[i] += w @ v
+        yield pd.DataFrame({"i": np.arange(replicates), "s": total, "w": weight})
+
+    drawn = data.mapInPandas(sums, "i int, s double, w double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    means = [r["s"] / r["w"] for r in drawn.collect() if r["w"]]  # one row per replicate
+    lo, hi = np.quantile(means, [(1 - level) / 2, (1 + level) / 2]) if means else (math.nan, math.nan)
+    return one_row(df, {"mean": data.agg(F.avg("v")).first()[0], "low": lo, "high": hi, "replicates": len(means)})

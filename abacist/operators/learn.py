@@ -41,6 +41,7 @@ from abacist.operators.split import fold_column, key_hash, train_test_split
 from abacist.plans.moments import moments
 from abacist.plans.ordering import with_row_index
 from abacist.plans.quantiles import clean_double
+from abacist.plans.session import durable
 
 LABEL = "_label"
 FEATURES = "_features"
@@ -204,9 +205,10 @@ class TrainedModel:
         scored = self.transform(self.with_label(df.filter(F.col(self.meta.target).isNotNull())))
         if self.meta.task == "regression":
             return regression_metrics(scored, LABEL, "prediction")
+        scored = durable(scored.select(LABEL, "prediction", *([vector_to_array("probability").alias("p")] if "probability" in scored.columns else [])))
         out = classification_metrics(scored, LABEL, "prediction")
-        if len(self.meta.classes) == 2 and "probability" in scored.columns:
-            p = scored.select(LABEL, vector_to_array("probability")[1].alias("p"))
+        if len(self.meta.classes) == 2 and "p" in scored.columns:
+            p = scored.select(LABEL, F.col("p")[1].alias("p"))
             out = out.withColumns({"auc": F.lit(auc(p, LABEL, "p").first()["auc"]), "log_loss": F.lit(log_loss(p, LABEL, "p").first()[0])})
         return out
 
@@ -315,7 +317,12 @@ def train(
     task = infer_task(df, target) if task == "auto" else task
     complete = df.filter(F.col(target).isNotNull())
     train_rows, test_rows = train_test_split(complete, key, train_share, seed, target if task == "classification" else None)
-    model = fit(train_rows, target, features, algorithm, task, **options)
+    # Several passes follow; a lost partition is recomputed from the hash.
+    train_rows = train_rows.persist()
+    try:
+        model = fit(train_rows, target, features, algorithm, task, **options)
+    finally:
+        train_rows.unpersist()
     metrics = model.evaluate(test_rows)
     model.meta.metrics = {k: v for k, v in metrics.first().asDict().items() if v is not None}
     return model, metrics
@@ -344,11 +351,14 @@ def cross_validate(
 ) -> DataFrame:
     """One row per fold, plus mean and standard deviation in every row."""
     task = infer_task(df, target) if task == "auto" else task
-    data = df.filter(F.col(target).isNotNull()).withColumn("_fold", fold_column(key, folds, seed))
+    data = df.filter(F.col(target).isNotNull()).withColumn("_fold", fold_column(key, folds, seed)).persist()
     scores = []
-    for f in range(folds):
-        model = fit(data.filter(F.col("_fold") != f).drop("_fold"), target, features, algorithm, task, **options)
-        scores.append(_score(model, data.filter(F.col("_fold") == f).drop("_fold")))
+    try:
+        for f in range(folds):
+            model = fit(data.filter(F.col("_fold") != f).drop("_fold"), target, features, algorithm, task, **options)
+            scores.append(_score(model, data.filter(F.col("_fold") == f).drop("_fold")))
+    finally:
+        data.unpersist()
     mean, sd = float(np.mean(scores)), float(np.std(scores))
     return df.sparkSession.createDataFrame(
         [(f, float(s), mean, sd) for f, s in enumerate(scores)], "fold int, score double, mean double, std double"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from abacist.operators.multivariate import Projection, oriented
 from abacist.plans.moments import complete, grouped_moments, moments
+from abacist.plans.quantiles import complete_rows
 
 
 def discriminant(df: DataFrame, features: Sequence[str], target: str, n_components: int | None = None) -> Projection:
@@ -62,7 +63,7 @@ class Parts:
                 yield pd.Series(list(_weights(np.vstack(s.to_numpy()), h, steps))) if len(s) else pd.Series([], dtype=object)
 
         udf = F.pandas_udf(run, "array<double>")
-        data = df.dropna(subset=self.features).withColumn("_w", udf(F.array(*[F.col(c).cast("double") for c in self.features])))
+        data = complete_rows(df, self.features).withColumn("_w", udf(F.array(*[F.col(c).cast("double") for c in self.features])))
         return data.withColumns({f"nmf{i + 1}": F.col("_w")[i] for i in range(len(h))}).drop("_w")
 
 

@@ -21,7 +21,7 @@ from abacist.operators.frequency import levels
 from abacist.operators.hypothesis import _null, one_row
 from abacist.operators.timeseries import autocovariances
 from abacist.plans.moments import Moments, complete, grouped_moments, moments, weighted_sums
-from abacist.plans.quantiles import clean_double, exact_quantiles
+from abacist.plans.quantiles import clean_double, complete_rows, exact_quantiles
 
 CONST = "const"
 
@@ -144,7 +144,7 @@ class LinearModel:
         """Complete rows with `prediction` and `residual`."""
         keep = [c for c in extra if c not in (*self.features, self.target)]
         data = self.source.select(*keep, *[clean_double(f"`{c}`").alias(c) for c in [*self.features, self.target]])
-        data = data.dropna(subset=[*self.features, self.target])
+        data = complete_rows(data, [*self.features, self.target])
         return self.transform(data).withColumn("residual", F.col(self.target) - F.col("prediction"))
 
     def residual_summary(self) -> DataFrame:
@@ -391,7 +391,7 @@ class GeneralizedModel:
         )
 
     def transform(self, df: DataFrame) -> DataFrame:
-        data = df.withColumns({c: clean_double(c) for c in self.features}).dropna(subset=self.features)
+        data = complete_rows(df.withColumns({c: clean_double(c) for c in self.features}), self.features)
         vec = VectorAssembler(inputCols=self.features, outputCol="_features").transform(data)
         return self.model.transform(vec).drop("_features")
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abacist.plans.quantiles import complete_rows
 from abacist.plans.skew import hot_keys, skew_join
 
 
@@ -93,4 +94,4 @@ def melt(
 
 def align(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Rows complete in the features and the target."""
-    return df.dropna(subset=[*features, target])
+    return complete_rows(df, [*features, target])

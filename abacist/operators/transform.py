@@ -16,7 +16,7 @@ from abacist.functions.columns import columns_of, log_offset, powers, product, s
 from abacist.operators.describe import modes
 from abacist.operators.frequency import MAX_LEVELS, levels
 from abacist.operators.ordered import backward_fill, difference, forward_fill, interpolate
-from abacist.plans.quantiles import clean_double, exact_quantiles
+from abacist.plans.quantiles import clean_double, complete_rows, exact_quantiles
 from abacist.plans.skew import skew_join
 
 
@@ -106,7 +106,7 @@ def impute(
 ) -> DataFrame:
     """Fill missing values: mean, median, mode, constant, forward, backward, interpolate or drop."""
     if strategy == "drop":
-        return df.dropna(subset=list(columns))
+        return complete_rows(df, columns)
     if strategy in ("forward", "backward", "interpolate"):
         fn = {"forward": forward_fill, "backward": backward_fill, "interpolate": interpolate}[strategy]
         return fn(df, columns, order_by=order_by, partition_by=partition_by)

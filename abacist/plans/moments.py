@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abacist.plans.quantiles import clean_double
+from abacist.plans.quantiles import clean_double, complete_rows
 
 # Above this width the products are summed by numpy per Arrow batch instead of
 # one generated aggregate per pair of columns.
@@ -48,7 +48,7 @@ class Moments:
 
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The columns as doubles, rows with any missing value dropped."""
-    return df.select(*[clean_double(c).alias(c) for c in columns]).dropna()
+    return complete_rows(df.select(*[clean_double(f"`{c}`").alias(c) for c in columns]))
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
@@ -98,7 +98,7 @@ def _wide(data: DataFrame, columns: Sequence[str]) -> Moments:
 
 def grouped_moments(df: DataFrame, by: str, columns: Sequence[str], max_levels: int = 1000) -> dict:
     """Moments per level of `by`, for a number of levels checked first."""
-    data = df.select(F.col(by), *[clean_double(c).alias(c) for c in columns]).dropna()
+    data = complete_rows(df.select(F.col(by), *[clean_double(c).alias(c) for c in columns]))
     p = len(columns)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     rows = (

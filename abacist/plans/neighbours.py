@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abacist.plans.quantiles import clean_double
+from abacist.plans.quantiles import clean_double, complete_rows
 from abacist.plans.session import durable
 
 BROADCAST_POINTS = 20_000
@@ -28,7 +28,7 @@ QUERY_ROWS = 100_000
 
 def points(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
     """`(id, x)` with x an array of doubles; rows with a missing value are dropped."""
-    data = df.select(F.col(key).alias("id"), *[clean_double(c).alias(c) for c in features]).dropna()
+    data = complete_rows(df.select(F.col(key).alias("id"), *[clean_double(c).alias(c) for c in features]))
     return data.select("id", F.array(*features).alias("x"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ DISTINCT_LIMIT = 200_000
 DIRECT_ROWS = 2_000_000
 
 
+def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows without NULL in the columns.
+
+    One predicate per column: `dropna` makes a single predicate over all of
+    them, whose rewriting through later aliases grows exponentially in the
+    optimizer once there are dozens of columns.
+    """
+    present = [F.col(f"`{c}`").isNotNull() for c in (columns if columns is not None else df.columns)]
+    return df.filter(reduce(lambda a, b: a & b, present)) if present else df
+
+
 @dataclass
 class _Bracket:
     column: str
