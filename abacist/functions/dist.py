@@ -20,10 +20,9 @@ def _over(fn):
         vals = [math.nan if a is None else float(a) for a in args]
         return math.nan if any(math.isnan(v) for v in vals) else fn(*vals)
 
-    vector = np.vectorize(safe, otypes=[float])
-
     def call(*args):
-        out = vector(*args)
+        # Built per call: a used vectorised object cannot be shipped to executors.
+        out = np.vectorize(safe, otypes=[float])(*args)
         return float(out) if out.ndim == 0 else out
 
     call.__doc__ = fn.__doc__

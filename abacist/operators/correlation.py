@@ -60,14 +60,15 @@ def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str
     data = df.select(*[clean_double(c).alias(c) for c in columns])
     counts = data.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n_{c}") for c in columns]).first()
     if all(v == counts["_rows"] for v in counts):
+        joined = data
         for c in columns:
-            data = average_ranks(data, c, None, f"_rank_{c}")
-        ranked = data.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
+            joined = average_ranks(joined, c, None, f"_rank_{c}", source=data)
+        ranked = joined.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
         return _pair_sums(ranked, pairs)
     out = {}
     for a, b in pairs:
         pair = data.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
-        ranked = average_ranks(average_ranks(pair, "x", None, "rx"), "y", None, "ry")
+        ranked = average_ranks(average_ranks(pair, "x", None, "rx"), "y", None, "ry", source=pair)
         out[a, b] = _pair_sums(ranked, [("rx", "ry")])["rx", "ry"]
     return out
 

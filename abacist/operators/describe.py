@@ -56,29 +56,50 @@ def modes(df: DataFrame, columns: Sequence[str], as_type: str = "double") -> Dat
 def _basic(c: str) -> Column:
     v = clean_double(c)
     positive = F.when(v > 0, v)
-    n = F.count(v)
     return F.struct(
-        n.alias("count"),
-        (F.count(F.lit(1)) - n).alias("missing"),
-        (F.try_divide(F.count(F.lit(1)) - n, F.count(F.lit(1))) * 100).alias("missing_pct"),
+        F.count(v).alias("count"),
+        F.count(F.lit(1)).alias("rows"),
         F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.var_samp(v).alias("variance"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-        (F.max(v) - F.min(v)).alias("range"),
-        (F.stddev_samp(v) / F.sqrt(F.when(n > 0, n))).alias("sem"),
-        (F.try_divide(F.stddev_samp(v), F.avg(v)) * 100).alias("cv"),
-        skewness(v).alias("skewness"),
-        kurtosis(v).alias("kurtosis"),
-        F.exp(F.avg(F.ln(positive))).alias("geometric_mean"),
-        F.try_divide(F.count(positive), F.sum(F.lit(1.0) / positive)).alias("harmonic_mean"),
+        F.count(positive).alias("positive"),
+        F.sum(F.ln(positive)).alias("logs"),
+        F.sum(F.lit(1.0) / positive).alias("inverses"),
+    ).alias(c)
+
+
+def _central(c: str, mean: float | None) -> Column:
+    """Sums of powers of the deviation from a known mean: plain sums, no cancellation."""
+    d = clean_double(c) - F.lit(mean).cast("double")
+    d2 = d * d
+    return F.struct(
+        F.sum(d2).alias("s2"), F.sum(d2 * d).alias("s3"), F.sum(d2 * d2).alias("s4"), F.avg(F.abs(d)).alias("mad")
     ).alias(c)
 
 
-_BASIC = (
-    "mean std variance min max range sem cv skewness kurtosis geometric_mean harmonic_mean".split()
-)
+def _moment_statistics(b, m) -> dict:
+    """Statistics of one column from its two aggregate rows."""
+    n, mean, s2 = b["count"], b["mean"], m["s2"]
+    out = {
+        "count": n, "missing": b["rows"] - n, "missing_pct": 100.0 * (b["rows"] - n) / b["rows"] if b["rows"] else None,
+        "mean": mean, "min": b["min"], "max": b["max"], "range": b["max"] - b["min"] if n else None, "mad": m["mad"],
+        "variance": s2 / (n - 1) if n > 1 else None,
+        "geometric_mean": math.exp(b["logs"] / b["positive"]) if b["positive"] else None,
+        "harmonic_mean": b["positive"] / b["inverses"] if b["positive"] else None,
+    }
+    out["std"] = math.sqrt(out["variance"]) if n > 1 else None
+    out["sem"] = out["std"] / math.sqrt(n) if n > 1 else None
+    out["cv"] = 100.0 * out["std"] / mean if n > 1 and mean else None
+    spread = n > 0 and s2 > 0
+    g1 = (m["s3"] / n) / (s2 / n) ** 1.5 if spread else None
+    g2 = (m["s4"] / n) / (s2 / n) ** 2 - 3.0 if spread else None
+    out["skewness"] = g1 * math.sqrt(n * (n - 1)) / (n - 2) if spread and n > 2 else None
+    out["kurtosis"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if spread and n > 3 else None
+    return out
+
+
+_FIRST = ("mean", "std", "variance", "min", "max", "range")
+_ADVANCED = ("sem", "cv", "skewness", "kurtosis", "geometric_mean", "harmonic_mean", "mad")
 
 
 def _chunks(columns: Sequence[str], size: int = COLUMNS_PER_JOB):
@@ -147,11 +168,12 @@ def describe_numeric(
     columns = list(columns) if columns else columns_of(df, "numeric")
     basic: dict = {}
     for part in _chunks(columns):
-        basic.update(df.agg(*[_basic(c) for c in part]).first().asDict())
+        first = df.agg(*[_basic(c) for c in part]).first()
+        second = df.agg(*[_central(c, first[c]["mean"]) for c in part]).first()
+        basic |= {c: _moment_statistics(first[c], second[c]) for c in part}
     probs = sorted({0.25, 0.5, 0.75, *percentiles})
     quant = exact_quantiles(df, columns, probs)
     mode = {r["column"]: r["mode"] for r in modes(df, columns).collect()} if include_mode else {}
-    mad = mean_absolute_deviations(df, {c: basic[c]["mean"] for c in columns}) if include_advanced else {}
     trim = trimmed_means(df, columns) if include_advanced else {}
     bounds = {}
     for c in columns:
@@ -168,15 +190,15 @@ def describe_numeric(
     for c in columns:
         b, q = basic[c], dict(zip(probs, quant[c]))
         out = {"column": c, "count": b["count"], "missing": b["missing"], "missing_pct": b["missing_pct"]}
-        out |= {k: b[k] for k in _BASIC[:6]}
+        out |= {k: b[k] for k in _FIRST}
         out |= {"median": q[0.5], "q1": q[0.25], "q2": q[0.5], "q3": q[0.75]}
         out["iqr"] = q[0.75] - q[0.25] if q[0.25] is not None else None
         out |= {f"p{round(p * 100, 6):g}": q[p] for p in percentiles}
         if include_mode:
             out["mode"] = mode.get(c)
         if include_advanced:
-            out |= {k: b[k] for k in _BASIC[6:]}
-            out["mad"], out["trimmed_mean"] = mad[c], trim[c]
+            out |= {k: b[k] for k in _ADVANCED}
+            out["trimmed_mean"] = trim[c]
             for level in levels:
                 tag = f"{level * 100:g}".replace(".", "_")
                 out[f"ci{tag}_low"], out[f"ci{tag}_high"] = confidence_interval(b["mean"], b["sem"], b["count"], level)

@@ -143,7 +143,7 @@ def carried(
     out = {}
     for c in columns:
         best = F.coalesce(F.col(f"_in_{c}"), F.col(f"_far_{c}"))
-        same = F.lit(True)
+        same = best.isNotNull()
         for k in partition_by:
             same = same & best[k].eqNullSafe(F.col(k))
         out[f"{c}{suffix}"] = F.when(same, F.struct(best["value"].alias("value"), best["at"].alias("at")))

@@ -3,26 +3,30 @@
 `percentile` merges a value -> count map in one reducer, which grows with the
 number of distinct values.  Here a quantile sketch only narrows the search:
 rows inside the bracket are counted exactly, the bracket is refined until it
-holds a bounded number of distinct values, and only those are ordered.
+holds a bounded number of rows, and only those are ordered.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abacist.plans.ordering import with_running_totals
 from abacist.plans.skew import skew_join
 
 ACCURACY = 10_000
-DISTINCT_LIMIT = 200_000
-# Up to this many rows the built-in `percentile` holds a map of proven size.
-DIRECT_ROWS = 2_000_000
+# A bracket with this many rows or fewer is ordered value by value.
+BRACKET_ROWS = 200_000
+# Up to these many rows the built-in `percentile` holds a map of proven size.
+DIRECT_ROWS = 100_000
+GROUPED_DIRECT_ROWS = 2_000_000
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -63,41 +67,29 @@ def _targets(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
 
 
 def order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], distinct_limit: int = DISTINCT_LIMIT
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], bracket_rows: int = BRACKET_ROWS
 ) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks of each column: `(column, rank) -> value`."""
     data = df.select(*[clean_double(c).alias(c) for c in ranks])
-    spans = _spans(data, list(ranks))
-    ready: list[_Bracket] = []
-    wide: list[_Bracket] = []
-    for c, wanted in ranks.items():
-        if not wanted:
-            continue
-        whole = _Bracket(c, spans[c]["lo"], spans[c]["hi"], sorted(set(wanted)), inside=spans[c]["n"])
-        few = spans[c]["d"] <= distinct_limit or whole.lo == whole.hi
-        (ready if few else wide).append(whole)
-    return _read_off(data, ready + _refine(data, wide, distinct_limit))
-
-
-def _spans(data: DataFrame, columns: Sequence[str]) -> Row:
-    return data.agg(
-        *[
-            F.struct(
-                F.count(c).alias("n"),
-                F.min(c).alias("lo"),
-                F.max(c).alias("hi"),
-                F.approx_count_distinct(c).alias("d"),
-            ).alias(c)
-            for c in columns
-        ]
+    spans = data.agg(
+        *[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in ranks]
     ).first()
+    brackets = [
+        _Bracket(c, spans[c]["lo"], spans[c]["hi"], sorted(set(wanted)), inside=spans[c]["n"]) for c, wanted in ranks.items() if wanted
+    ]
+    small = [b for b in brackets if b.inside <= bracket_rows or b.lo == b.hi]
+    large = [b for b in brackets if b not in small]
+    narrow = small + _refine(data, large, bracket_rows)
+    # Equal ends leave nothing to order.
+    found = {(b.column, r): b.lo for b in narrow if b.lo == b.hi for r in b.ranks}
+    return found | _read_off(data, [b for b in narrow if b.lo < b.hi])
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    distinct_limit: int = DISTINCT_LIMIT,
+    bracket_rows: int = BRACKET_ROWS,
     direct_rows: int = DIRECT_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column (the `quantile_cont` rule)."""
@@ -108,7 +100,7 @@ def exact_quantiles(
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
     targets = {c: _targets(counted[c], probs) if counted[c] else [] for c in columns}
     ranks = {c: [r for i, j, _ in targets[c] for r in (i, j)] for c in columns}
-    found = order_statistics(data, ranks, distinct_limit)
+    found = order_statistics(data, ranks, bracket_rows)
     return {
         c: [found[c, i] + (found[c, j] - found[c, i]) * w for i, j, w in targets[c]] or [None] * len(probs)
         for c in columns
@@ -122,7 +114,7 @@ def _edges(b: _Bracket, rank: int) -> tuple[float, float]:
 
 
 def _refine(data: DataFrame, open_: list[_Bracket], limit: int) -> list[_Bracket]:
-    """Narrow each bracket until its distinct values fit `limit`."""
+    """Narrow each bracket until it holds at most `limit` rows or a single value."""
     done: list[_Bracket] = []
     while open_:
         sketches = []
@@ -146,66 +138,97 @@ def _refine(data: DataFrame, open_: list[_Bracket], limit: int) -> list[_Bracket
                 else:
                     spans.append(_Bracket(b.column, lo, hi, [r], b.slack, parent=b))
             narrow += spans
-        checks = []
-        for k, b in enumerate(narrow):
-            v = F.col(b.column)
-            within = (v >= b.lo) & (v <= b.hi)
-            checks += [
-                F.count_if(v < b.lo).alias(f"b{k}"),
-                F.count_if(within).alias(f"n{k}"),
-                F.approx_count_distinct(F.when(within, v)).alias(f"d{k}"),
-            ]
-        counted = data.agg(*checks).first()
+        _count(data, narrow)
         open_ = []
-        for k, b in enumerate(narrow):
-            b.below, b.inside = counted[f"b{k}"], counted[f"n{k}"]
+        for b in narrow:
             if b.below > b.ranks[0] or b.ranks[-1] >= b.below + b.inside:
                 # The sketch missed: retry the enclosing bracket with more slack.
                 up = b.parent
                 open_.append(_Bracket(b.column, up.lo, up.hi, b.ranks, b.slack * 8, up.below, up.inside, up.parent))
-            elif counted[f"d{k}"] <= limit or b.lo == b.hi or b.inside >= b.parent.inside:
+            elif b.inside <= limit or b.lo == b.hi or b.inside >= b.parent.inside:
+                # Without progress the values repeat, and counting them collapses them.
                 done.append(b)
             else:
                 open_.append(b)
     return done
 
 
+def _families(brackets: Sequence[_Bracket]) -> list[list[_Bracket]]:
+    """Brackets that came from one enclosing bracket: ordered and disjoint."""
+    groups: dict[tuple[str, int], list[_Bracket]] = {}
+    for b in brackets:
+        groups.setdefault((b.column, id(b.parent)), []).append(b)
+    return [sorted(g, key=lambda b: b.lo) for g in groups.values()]
+
+
+def _places(values: np.ndarray, family: Sequence[_Bracket]) -> np.ndarray:
+    """Place of each value: 2k + 1 is inside the k-th bracket, even is between brackets."""
+    lows, highs = np.array([b.lo for b in family]), np.array([b.hi for b in family])
+    return np.searchsorted(lows, values, side="right") + np.searchsorted(highs, values, side="left")
+
+
+def _count(data: DataFrame, brackets: list[_Bracket]) -> None:
+    """Fill in the exact number of rows below and inside each bracket."""
+    families = _families(brackets)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = [np.zeros(2 * len(family) + 1, dtype="int64") for family in families]
+        for pdf in batches:
+            for total, family in zip(totals, families):
+                v = pdf[family[0].column].to_numpy(dtype=float)
+                total += np.bincount(_places(v[~np.isnan(v)], family), minlength=len(total))
+        for f, total in enumerate(totals):
+            yield pd.DataFrame({"f": f, "at": np.arange(len(total)), "n": total})
+
+    parts = data.mapInPandas(tally, "f int, at int, n long")
+    seen = {(r["f"], r["at"]): r["n"] for r in parts.groupBy("f", "at").agg(F.sum("n").alias("n")).collect()}  # two per bracket
+    for f, family in enumerate(families):
+        below = 0
+        for k, b in enumerate(family):
+            below += seen.get((f, 2 * k), 0)
+            b.below, b.inside = below, seen.get((f, 2 * k + 1), 0)
+            below += b.inside
+
+
 def _read_off(data: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
     """Count each value inside the brackets and pick the wanted ranks."""
     if not brackets:
         return {}
     spark = data.sparkSession
-    tagged = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    (F.col(b.column) >= b.lo) & (F.col(b.column) <= b.hi),
-                    F.struct(F.lit(k).alias("b"), F.col(b.column).alias("v")),
-                )
-                for k, b in enumerate(brackets)
-            ]
-        )
-    )
-    counts = (
-        data.select(F.explode(tagged).alias("t")).groupBy("t.b", "t.v").agg(F.count(F.lit(1)).alias("n"))
-    )
+    families = _families(brackets)
+
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f, family in enumerate(families):
+                v = pdf[family[0].column].to_numpy(dtype=float)
+                v = v[~np.isnan(v)]
+                at = _places(v, family)
+                v, n = np.unique(v[at % 2 == 1], return_counts=True)
+                yield pd.DataFrame({"f": f, "at": _places(v, family), "v": v, "n": n})
+
+    kept = data.mapInPandas(inside, "f int, at int, v double, n long")
+    counts = kept.groupBy("f", "at", "v").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(
-        Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("f", "at").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
     wanted = spark.createDataFrame(
-        [(k, r, r - b.below) for k, b in enumerate(brackets) for r in b.ranks], "wb int, rank long, pos long"
+        [
+            (f, 2 * k + 1, b.column, r, r - b.below)
+            for f, family in enumerate(families)
+            for k, b in enumerate(family)
+            for r in b.ranks
+        ],
+        "wf int, wat int, name string, rank long, pos long",
     )
+    here = (F.col("f") == F.col("wf")) & (F.col("at") == F.col("wat"))
     picked = (
         counts.withColumn("upto", running)
         # One row per bracket and rank.
-        .join(
-            F.broadcast(wanted),
-            (F.col("b") == F.col("wb")) & (F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("n")),
-        )
-        .select("b", "rank", "v")
+        .join(F.broadcast(wanted), here & (F.col("pos") < F.col("upto")) & (F.col("pos") >= F.col("upto") - F.col("n")))
+        .select("name", "rank", "v")
         .collect()
     )
-    return {(brackets[r["b"]].column, r["rank"]): r["v"] for r in picked}
+    return {(r["name"], r["rank"]): r["v"] for r in picked}
 
 
 def grouped_quantiles(
@@ -214,7 +237,7 @@ def grouped_quantiles(
     value: str,
     probs: Sequence[float],
     names: Sequence[str],
-    direct_rows: int = DIRECT_ROWS,
+    direct_rows: int = GROUPED_DIRECT_ROWS,
 ) -> DataFrame:
     """Exact quantiles per group; one row per group, hot groups included.
 

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 256
 SALTS = 64
+SPREAD_ROWS = 200_000
 
 
 def hot_keys(df: DataFrame, on: Sequence[str]) -> list[tuple]:
-    """Keys that hold more than 1/256 of the rows: never more than 255 of them."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    """Keys that hold more than 1/256 of the rows: never more than 255 of them.
+
+    Inputs that one task handles easily have none worth the extra count.
+    """
     total = df.count()
-    rows = counts.filter(F.col("_n") > max(total // HOT_SHARE, 1000)).drop("_n").collect()
+    if total < SPREAD_ROWS:
+        return []
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.filter(F.col("_n") > total // HOT_SHARE).drop("_n").collect()
     return [tuple(r) for r in rows]
 
 
