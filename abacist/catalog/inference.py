@@ -534,15 +534,15 @@ DEC = f"""WITH x AS ({HOURLY}), s AS (SELECT row_number() OVER (ORDER BY h) - 1
 
 
 @query("decompose_additive", DEC + """ p AS (SELECT t % 24 AS ph, avg(v - trend) AS a FROM m GROUP BY 1), c AS (SELECT ph, a - (SELECT avg(a) FROM p) AS seasonal FROM p)
-    SELECT t, round(v, 6) AS observed, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(v - trend - seasonal, 6) AS residual FROM m JOIN c ON ph = t % 24""")
+    SELECT t, round(v, 9) AS observed, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(v - trend - seasonal, 9) AS residual FROM m JOIN c ON ph = t % 24""")
 def decompose_additive(spark, d):
-    return pick(ts.decompose(hourly(spark, d), "v", ["ts"], 24), t=None, observed=6, trend=6, seasonal=6, residual=6)
+    return pick(ts.decompose(hourly(spark, d), "v", ["ts"], 24), t=None, observed=9, trend=9, seasonal=9, residual=9)
 
 
 @query("decompose_multiplicative", DEC + """ p AS (SELECT t % 24 AS ph, avg(v / trend) AS a FROM m GROUP BY 1), c AS (SELECT ph, a / (SELECT avg(a) FROM p) AS seasonal FROM p)
-    SELECT t, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(v / (trend * seasonal), 6) AS residual FROM m JOIN c ON ph = t % 24""")
+    SELECT t, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(v / (trend * seasonal), 9) AS residual FROM m JOIN c ON ph = t % 24""")
 def decompose_multiplicative(spark, d):
-    return pick(ts.decompose(hourly(spark, d), "v", ["ts"], 24, "multiplicative"), t=None, trend=6, seasonal=6, residual=6)
+    return pick(ts.decompose(hourly(spark, d), "v", ["ts"], 24, "multiplicative"), t=None, trend=9, seasonal=9, residual=9)
 
 
 @query("adf")

@@ -311,3 +311,13 @@ def test_fingerprint_ignores_order(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 7)
     assert X.fingerprint(df).first() == X.fingerprint(df.repartition(9).orderBy(F.desc("v"))).first()
     assert X.fingerprint(df).first() != X.fingerprint(df.filter("id > 0")).first()
+
+
+def test_scan_reads_only_what_is_needed(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    out = clean.filter_rows(df, [{"column": "l_quantity", "op": "gt", "value": 45}]).select("l_orderkey", "l_quantity")
+    plan = out._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    grouped = describe.group_summary(df, ["l_returnflag"], "l_tax")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<l_tax:double,l_returnflag:string>" in grouped and "partial_avg" in grouped
