@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from abacist.functions import dist
 from abacist.functions.columns import columns_of
 from abacist.sources.readers import upload_summary
-from abacist.plans.quantiles import clean_double, exact_quantiles, grouped_quantiles, order_statistics
+from abacist.plans.quantiles import clean_double, column_spans, exact_quantiles, grouped_quantiles, order_statistics
 
 PERCENTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 # Aggregates per job stay well below what one generated class can hold.
@@ -112,12 +112,13 @@ def trimmed_means(df: DataFrame, columns: Sequence[str], share: float = 0.1) ->
     Only the two cut-off order statistics are looked up; everything between
     them is one conditional sum.
     """
-    n = df.agg(*[F.count(clean_double(c)).alias(c) for c in columns]).first()
+    spans = column_spans(df, columns)
+    n = {c: spans[c]["n"] for c in columns}
     cut = {c: int(share * n[c]) for c in columns}
     ranks = {c: [cut[c], n[c] - 1 - cut[c]] for c in columns if n[c] > 2 * cut[c]}
     if not ranks:
         return {c: None for c in columns}
-    edge = order_statistics(df, ranks)
+    edge = order_statistics(df, ranks, spans=spans)
     aggs = []
     for c in ranks:
         v, lo, hi = clean_double(c), edge[c, ranks[c][0]], edge[c, ranks[c][1]]

@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from abacist.plans.ordering import with_running_totals
@@ -67,13 +67,11 @@ def _targets(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
 
 
 def order_statistics(
-    df: DataFrame, ranks: Mapping[str, Sequence[int]], bracket_rows: int = BRACKET_ROWS
+    df: DataFrame, ranks: Mapping[str, Sequence[int]], bracket_rows: int = BRACKET_ROWS, spans: Row | None = None
 ) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks of each column: `(column, rank) -> value`."""
     data = df.select(*[clean_double(c).alias(c) for c in ranks])
-    spans = data.agg(
-        *[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in ranks]
-    ).first()
+    spans = column_spans(df, list(ranks)) if spans is None else spans
     brackets = [
         _Bracket(c, spans[c]["lo"], spans[c]["hi"], sorted(set(wanted)), inside=spans[c]["n"]) for c, wanted in ranks.items() if wanted
     ]
@@ -85,6 +83,14 @@ def order_statistics(
     return found | _read_off(data, [b for b in narrow if b.lo < b.hi])
 
 
+def column_spans(df: DataFrame, columns: Sequence[str]) -> Row:
+    """Per column a struct of non-null rows `n`, smallest `lo` and largest `hi`."""
+    v = {c: clean_double(c) for c in columns}
+    return df.agg(
+        *[F.struct(F.count(v[c]).alias("n"), F.min(v[c]).alias("lo"), F.max(v[c]).alias("hi")).alias(c) for c in columns]
+    ).first()
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -94,13 +100,14 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column (the `quantile_cont` rule)."""
     data = df.select(*[clean_double(c).alias(c) for c in columns])
-    counted = data.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(counted) <= direct_rows:
+    spans = column_spans(df, columns)
+    counted = {c: spans[c]["n"] for c in columns}
+    if max(counted.values()) <= direct_rows:
         row = data.agg(*[F.percentile(c, [float(p) for p in probs]).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
     targets = {c: _targets(counted[c], probs) if counted[c] else [] for c in columns}
     ranks = {c: [r for i, j, _ in targets[c] for r in (i, j)] for c in columns}
-    found = order_statistics(data, ranks, bracket_rows)
+    found = order_statistics(data, ranks, bracket_rows, spans)
     return {
         c: [found[c, i] + (found[c, j] - found[c, i]) * w for i, j, w in targets[c]] or [None] * len(probs)
         for c in columns
