@@ -12,7 +12,7 @@ WITH d AS (
   SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR) || ':mix') AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0]::DOUBLE[][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)] AS w, source_size * 3.0::DOUBLE AS most FROM s),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, source_size * 3.0::DOUBLE AS most FROM s),
 f AS (SELECT *, row_number() OVER o AS pos,
         (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
       / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS fair
