@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import exact_dedup, mixing
+from abacist.llm import exact_dedup, langid, mixing
 
 MIX_SQL = r"""
 WITH d AS (
@@ -46,3 +46,11 @@ FROM d WINDOW w AS (PARTITION BY t)
 @query("op7_exact_dedup", EXACT_SQL)
 def op7(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(langid.held_out(), F.lit(False))
+    model = langid.train(docs.filter(~out))
+    return model.predict(docs.select("doc_id", "text", out.alias("held_out"))).select("doc_id", "held_out", "lang_pred", "score")
