@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import exact_dedup, langid, mixing
+from abacist.llm import exact_dedup, langid, mixing, pieces
 
 MIX_SQL = r"""
 WITH d AS (
@@ -54,3 +54,13 @@ def op4(spark, sf_dir):
     out = F.coalesce(langid.held_out(), F.lit(False))
     model = langid.train(docs.filter(~out))
     return model.predict(docs.select("doc_id", "text", out.alias("held_out"))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op10_sentencepiece")
+def op10(spark, sf_dir):
+    vocabulary = pieces.load(PIECES)
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return pieces.digests(pieces.decode(encoded, vocabulary))
