@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from abacist.llm.common import lists, mix
 
 BLANK = 0x2581
-#: Longer words are first cut between letters that no piece joins.
-LONG = 32
-#: Longer words that cannot be cut are merged one by one.
+#: Longer words are merged one by one, or searched in steps.
 LONGEST = 256
-SLICE_CHARS = 1 << 20
+#: Bits of the table of letter pairs that stand side by side in some piece.
+PAIR_BITS = 22
+SLICE_CHARS = 1 << 21
 #: Words and pairs of pieces that a task remembers.
-KNOWN_WORDS = 200_000
-KNOWN_PAIRS = 1 << 20
+KNOWN_WORDS = 1_000_000
+KNOWN_PAIRS = 1 << 21
 NEVER = 1 << 60
 _BASE = 0xD1342543DE82EF95
 _UP = np.array([pow(_BASE, i, 1 << 64) for i in range(LONGEST + 2)], np.uint64)
@@ -82,13 +82,24 @@ class Pieces:
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(ids, np.int64)[order]
-        pairs = sorted({(ord(a) << 21) | ord(b) for t in self.by_name for a, b in zip(t, t[1:])})
-        self.joined = np.array(pairs, np.int64)
+        pairs = np.array([(ord(a), ord(b)) for t in self.by_name for a, b in zip(t, t[1:])], np.uint32).reshape(-1, 2)
+        self.joined = np.zeros(1 << PAIR_BITS, bool)
+        self.joined[self._pair_slot(pairs[:, 0], pairs[:, 1])] = True
         full = np.concatenate([self.score, np.full(len(self.extra), -np.inf)])
         self.costs = full
         if self.merging:
             self._merges(names, full)
 
+    @staticmethod
+    def _pair_slot(a, b):
+        return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - PAIR_BITS)
+
+    def breaks(self, points: np.ndarray) -> np.ndarray:
+        """Whether no piece joins a letter with the one before it, so that a word may start there."""
+        out = np.ones(len(points), bool)
+        out[1:] = ~self.joined[self._pair_slot(points[:-1], points[1:])]
+        return out
+
     def _merges(self, names, score):
         # Equal scores share a rank; the leftmost of them merges first.
         ranks = {s: i for i, s in enumerate(sorted(set(score.tolist()), reverse=True))}
@@ -172,6 +183,13 @@ class Pieces:
     def _born(self, x):
         return np.where(self.left[x] >= 0, self.rank[x], -1)
 
+    def letter_ids(self, letters: np.ndarray) -> np.ndarray:
+        """Ids for letters without a piece: the byte below 128, else the size plus the letter."""
+        if not self.byte_ids:
+            return np.full(len(letters), self.unknown)
+        low = np.array(self.byte_ids[:128], np.int64)
+        return np.where(letters < 128, low[np.minimum(letters, 127)], self.size + letters)
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.key_ids[at], -1)
@@ -235,7 +253,13 @@ class Encoder:
         steps = []
         rows = np.arange(n)
         while len(rows):
-            steps.append((rows, last[rows, at[rows]]))
+            ids = last[rows, at[rows]]
+            strange = ids >= len(p.text)
+            if strange.any():
+                # A letter without a piece becomes its byte, or stands as a number for the letter.
+                letter = points[rows[strange], at[rows[strange]] - 1].astype(np.int64)
+                ids[strange] = p.letter_ids(letter)
+            steps.append((rows, ids))
             at[rows] -= back[rows, at[rows]]
             count[rows] += 1
             rows = rows[at[rows] > 0]
@@ -246,73 +270,60 @@ class Encoder:
         return flat, count
 
     def _one(self, points: np.ndarray) -> np.ndarray:
+        """A long word, or one whose blanks tie with each other, merged pair by pair."""
         text = [chr(c) for c in points.tolist()]
-        return np.array(self.p._merge([self.p.by_name.get(c, self.p.size) for c in text], text)[0], np.int64)
-
-    def _word(self, points: np.ndarray) -> np.ndarray:
-        """A word that is long, or whose blanks tie with each other."""
-        if self.p.merging and (len(points) <= LONG or (points[:2] == BLANK).all()):
+        merged = self.p._merge([self.p.by_name.get(c, self.p.size) for c in text], text)[0]
+        ids = np.array(merged, np.int64)
+        # A letter without a piece is never merged: its place follows from the widths before it.
+        width = np.array([1 if i >= len(self.p.text) else len(self.p.text[i]) for i in merged])
+        strange = ids >= len(self.p.text)
+        ids[strange] = self.p.letter_ids(points[(np.cumsum(width) - width)[strange]].astype(np.int64))
+        return ids
+
+    def _odd(self, points: np.ndarray) -> np.ndarray:
+        if self.p.merging:
             return self._one(points)
-        pair = (points[:-1].astype(np.int64) << 21) | points[1:]
-        at = np.minimum(np.searchsorted(self.p.joined, pair), max(0, len(self.p.joined) - 1))
-        free = np.flatnonzero(self.p.joined[at] != pair) + 1 if len(self.p.joined) else np.arange(1, len(points))
-        out = []
-        for part in np.split(points, free):
-            if self.p.merging and len(part) > LONGEST:
-                out.append(self._one(part))
-            else:
-                # A vocabulary with scores and no place to cut: the search goes on in steps of LONGEST letters.
-                for s in range(0, len(part), LONGEST):
-                    out.append(self.search(part[None, s : s + LONGEST])[0])
-        return np.concatenate(out)
+        # A vocabulary with scores and no place to cut: the search goes on in steps of LONGEST letters.
+        return np.concatenate([self.search(points[None, s : s + LONGEST])[0] for s in range(0, len(points), LONGEST)])
 
     def _learn(self, points, starts, ends, names):
         lengths = ends - starts
         twice = (points[starts] == BLANK) & (lengths > 1) & (points[np.minimum(starts + 1, len(points) - 1)] == BLANK)
-        odd = (lengths > LONG) | (twice & self.p.merging)
-        out, count = [], np.zeros(len(starts), np.int64)
-        order = []
+        odd = (lengths > LONGEST) | (twice & self.p.merging)
+        out, sizes, order = [], [], []
         for n in np.unique(lengths[~odd]):
             rows = np.flatnonzero(~odd & (lengths == n))
-            ids, count[rows] = self.search(points[starts[rows][:, None] + np.arange(n)])
-            out.append(self._written(ids, points, starts, rows, count))
-            order.append(rows)
+            ids, count = self.search(points[starts[rows][:, None] + np.arange(n)])
+            out.append(ids), sizes.append(count), order.append(rows)
         for r in np.flatnonzero(odd):
-            ids = self._word(points[starts[r] : ends[r]])
-            count[r] = len(ids)
-            out.append(self._written(ids, points, starts, np.array([r]), count))
-            order.append(np.array([r]))
-        flat = [x for x, _ in out]
-        sizes = np.concatenate([x for _, x in out]) if out else np.zeros(0, np.int64)
-        rows = np.concatenate(order) if order else np.zeros(0, np.int64)
+            ids = self._odd(points[starts[r] : ends[r]])
+            out.append(ids), sizes.append(np.array([len(ids)])), order.append(np.array([r]))
+        ids, sizes, rows = self._bytes(np.concatenate(out), np.concatenate(sizes)) + (np.concatenate(order),)
         begin = len(self.tokens) + np.cumsum(sizes) - sizes
-        self.tokens = np.concatenate([self.tokens, *flat]).astype(np.int32)
-        known = np.concatenate([self.known, names[rows]])
-        s = np.argsort(known)
+        self.tokens = np.concatenate([self.tokens, ids.astype(np.int32)])
+        new = np.argsort(names[rows])
+        known = np.concatenate([self.known, names[rows][new]])
+        s = np.argsort(known, kind="stable")
         self.known = known[s]
-        self.start = np.concatenate([self.start, begin])[s]
-        self.count = np.concatenate([self.count, sizes])[s]
+        self.start = np.concatenate([self.start, begin[new]])[s]
+        self.count = np.concatenate([self.count, sizes[new]])[s]
 
-    def _written(self, ids, points, starts, rows, count):
-        """Ids as they are stored: letters without a piece become bytes or the unknown piece."""
-        sizes = count[rows].copy()
-        strange = np.flatnonzero(ids >= len(self.p.text))
+    def _bytes(self, ids, sizes):
+        """Letters from 128 that have no piece, as the bytes of their UTF-8."""
+        strange = np.flatnonzero(ids >= self.p.size)
         if not len(strange):
             return ids, sizes
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        width = np.array([1 if i >= self.p.size else len(self._name(i)) for i in ids])
-        before = np.cumsum(width) - width
-        word_first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        out = ids.tolist()
-        for k in strange.tolist():
-            r = owner[k]
-            letter = chr(points[starts[rows[r]] + before[k] - before[word_first[r]]])
-            out[k] = [self.p.byte_ids[b] for b in letter.encode()] if self.p.byte_ids else [self.p.unknown]
-            sizes[r] += len(out[k]) - 1
-        return np.array([x for i in out for x in (i if isinstance(i, list) else [i])], np.int64), sizes
-
-    def _name(self, i):
-        return self.p.text[i] if i < len(self.p.text) else self.p.extra[i - len(self.p.text)]
+        owner = np.repeat(np.arange(len(sizes)), sizes)[strange]
+        parts = [[self.p.byte_ids[b] for b in chr(i - self.p.size).encode()] for i in ids[strange].tolist()]
+        wide = np.ones(len(ids), np.int64)
+        wide[strange] = [len(x) for x in parts]
+        full = np.repeat(ids, wide)
+        at = np.cumsum(wide) - wide
+        for k, x in zip(strange.tolist(), parts):
+            full[at[k] : at[k] + len(x)] = x
+        sizes = sizes.copy()
+        np.add.at(sizes, owner, wide[strange] - 1)
+        return full, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the count of each."""
@@ -322,8 +333,7 @@ class Encoder:
         points[points == 0x20] = BLANK
         lengths = np.array([len(t) for t in full], np.int64)
         ends_of_text = np.cumsum(lengths)
-        head = points == BLANK
-        head[1:] &= points[:-1] != BLANK
+        head = self.p.breaks(points)
         first = (ends_of_text - lengths)[lengths > 0]
         head[first] = True
         starts = np.flatnonzero(head)
@@ -375,9 +385,6 @@ def load(model_file: str) -> Pieces:
     usable = np.array([p.type == kinds.NORMAL for p in model.pieces])
     of_byte = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
     byte_ids = [of_byte[f"<0x{b:02X}>"] for b in range(256)] if of_byte else []
-    inner = [t for t, u in zip(text, usable) if u and chr(BLANK) in t.lstrip(chr(BLANK))]
-    if inner:
-        raise ValueError("pieces that reach over a blank are not supported")
     return Pieces(text, model.trainer_spec.model_type == 2, np.array([p.score for p in model.pieces], float), usable, byte_ids, next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN), spec.add_dummy_prefix)
 
 
@@ -385,7 +392,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "
     """`docs` with the piece ids of the whole text added, or replaced if `out` exists.
 
     Null text gives null, empty text an empty list.  Words are the stretches
-    from one run of blanks to the next; equal words are encoded once per task.
+    between places that no piece spans; equal words are encoded once per task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
