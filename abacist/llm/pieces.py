@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abacist.llm.common import lists, mix
 
@@ -396,7 +397,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     kept = [c for c in docs.columns if c.lower() != out.lower()]
-    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(out, "array<int>")
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_"))
 
     def run(batches):
