@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import exact_dedup, langid, mixing, pieces
+from abacist.llm import exact_dedup, jaccard, langid, mixing, pieces
 
 MIX_SQL = r"""
 WITH d AS (
@@ -64,3 +64,22 @@ def op10(spark, sf_dir):
     vocabulary = pieces.load(PIECES)
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
     return pieces.digests(pieces.decode(encoded, vocabulary))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+t AS (SELECT doc_id, unnest(s) AS t FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY 1, 2
+"""
+
+
+@query("op8_jaccard_join", JACCARD_SQL)
+def op8(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
