@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import lists, mix
+from abacist.llm.common import lists, mix, slices
 
 BLANK = 0x2581
 #: Longer words are merged one by one, or searched in steps.
 LONGEST = 256
 #: Bits of the table of letter pairs that stand side by side in some piece.
 PAIR_BITS = 22
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
+SLICE_IDS = 1 << 18
 #: Words and pairs of pieces that a task remembers.
-KNOWN_WORDS = 1_000_000
-KNOWN_PAIRS = 1 << 21
+KNOWN_WORDS = 600_000
+KNOWN_PAIRS = 1 << 20
 NEVER = 1 << 60
 _BASE = 0xD1342543DE82EF95
 _UP = np.array([pow(_BASE, i, 1 << 64) for i in range(LONGEST + 2)], np.uint64)
@@ -389,15 +390,17 @@ def load(model_file: str) -> Pieces:
     return Pieces(text, model.trainer_spec.model_type == 2, np.array([p.score for p in model.pieces], float), usable, byte_ids, next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN), spec.add_dummy_prefix)
 
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """`docs` with the piece ids of the whole text added, or replaced if `out` exists.
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "token_ids", digest: str = "ids_sha256") -> DataFrame:
+    """`docs` with the piece ids of the whole text and their digest added, or replaced.
 
-    Null text gives null, empty text an empty list.  Words are the stretches
+    The digest is the SHA-256, in hex, of the ids as little-endian 32-bit numbers.
+
+    Null text gives nulls, empty text an empty list.  Words are the stretches
     between places that no piece spans; equal words are encoded once per task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    kept = [c for c in docs.columns if c.lower() != out.lower()]
-    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(out, T.ArrayType(T.IntegerType()))
+    kept = [c for c in docs.columns if c.lower() not in (out.lower(), digest.lower())]
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(out, T.ArrayType(T.IntegerType())).add(digest, "string")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_"))
 
     def run(batches):
@@ -412,10 +415,12 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "
                     chars += len(texts[-1] or "")
                 flat, counts = encoder.encode([t or "" for t in texts])
                 ids = lists(flat, counts, pa.int32())
+                ends = np.cumsum(counts)
+                shas = [None if t is None else hashlib.sha256(flat[e - c : e].astype("<i4").tobytes()).hexdigest() for t, e, c in zip(texts, ends, counts)]
                 if None in texts:
                     ids = pa.array([None if t is None else x for t, x in zip(texts, ids.to_pylist())], ids.type)
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*kept, out])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(shas, pa.string())], names=[*kept, out, digest])
                 at += len(texts)
 
     return rows.mapInArrow(run, schema)
@@ -444,33 +449,20 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "token_ids", out: str
         data, offsets = shared.value
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
-            flat = np.asarray(column.flatten(), np.int64)
-            count = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            size = offsets[flat + 1] - offsets[flat]
-            upto = np.concatenate([[0], np.cumsum(size)])
-            at = np.concatenate([[0], np.cumsum(count)])
-            texts: list = []
-            for r, null in enumerate(np.asarray(column.is_null())):
-                ids = flat[at[r] : at[r + 1]]
-                n = size[at[r] : at[r + 1]]
-                where = np.repeat(offsets[ids] - (np.cumsum(n) - n), n) + np.arange(upto[at[r + 1]] - upto[at[r]])
-                text = data[where].tobytes().decode("utf-8", "replace")
-                texts.append(None if null else text[1:] if dummy and text[:1] == " " else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, out])
+            counts = np.asarray(column.value_lengths().fill_null(0), np.int64)
+            for i, j in slices(np.concatenate([[0], np.cumsum(counts)]), SLICE_IDS):
+                texts = _texts(column.slice(i, j - i), data, offsets, dummy)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(texts, pa.string())], names=[*kept, out])
 
     return rows.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", text_col: str = "text", decoded_col: str = "decoded") -> DataFrame:
-    """Per row: count and SHA-256 (of little-endian 32-bit ids), and whether the decoded text is the text."""
-
-    def run(batches):
-        for batch in batches:
-            key, ids, same = batch.columns
-            flat, at = np.asarray(ids.flatten(), np.int32), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0), np.int64))])
-            shas = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(at), pa.int64()), pa.array(shas), same], names=[id_col, "n_tokens", "ids_sha256", "restored"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    same = F.coalesce(F.col(decoded_col), F.lit("")) == F.coalesce(F.replace(F.col(text_col), F.lit(chr(BLANK)), F.lit(" ")), F.lit(""))
-    return docs.select(id_col, ids_col, same.alias("same")).mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, restored boolean")
+def _texts(column, data, offsets, dummy):
+    flat = np.asarray(column.flatten(), np.int64)
+    counts = np.asarray(column.value_lengths().fill_null(0), np.int64)
+    size = offsets[flat + 1] - offsets[flat]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    joined = data[np.repeat(offsets[flat] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+    at = upto[np.concatenate([[0], np.cumsum(counts)])]
+    texts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+    return [None if null else t[1:] if dummy and t[:1] == " " else t for t, null in zip(texts, column.is_null().to_pylist())]

@@ -63,7 +63,10 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 def op10(spark, sf_dir):
     vocabulary = pieces.load(PIECES)
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return pieces.digests(pieces.decode(encoded, vocabulary))
+    text, blank = F.coalesce("text", F.lit("")), F.lit(chr(pieces.BLANK))
+    restored = F.coalesce("decoded", F.lit("")) == F.replace(text, blank, F.lit(" "))
+    counted = F.coalesce(F.size("token_ids"), F.lit(0)).cast("long")
+    return pieces.decode(encoded, vocabulary).select("doc_id", counted.alias("n_tokens"), "ids_sha256", restored.alias("restored"))
 
 
 JACCARD_SQL = r"""
