@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import exact_dedup, jaccard, langid, mixing, pieces
+from abacist.llm import exact_dedup, jaccard, langid, mixing, passages, pieces, substrings
 
 MIX_SQL = r"""
 WITH d AS (
@@ -86,3 +86,13 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.
 @query("op8_jaccard_join", JACCARD_SQL)
 def op8(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_remove_substrings")
+def op2(spark, sf_dir):
+    return substrings.remove_substrings(table(spark, sf_dir, "documents"))
+
+
+@query("op9_remove_passages")
+def op9(spark, sf_dir):
+    return passages.remove_passages(table(spark, sf_dir, "documents"))
