@@ -12,8 +12,6 @@ from abacist.llm.common import span_hashes, word_spans
 from abacist.llm.recur import Unit, repeats
 
 TRIGGER_WORDS = 6
-_SPLIT = b" \t\n\x0b\x0c\r"
-
 
 def _words(data, offsets):
     start, end, row = word_spans(data, offsets)
@@ -25,29 +23,30 @@ def _judge(window: int):
         import ahocorasick
 
         split = [b.split() for b in bodies]
-        group = np.cumsum(np.append(True, trigger[1:] != trigger[:-1])) if len(trigger) else trigger
-        alone = np.bincount(group.astype(np.int64), minlength=1)[group.astype(np.int64)] == 1
-        names: dict[bytes, int] = {}
+        group = np.cumsum(np.append(True, trigger[1:] != trigger[:-1])) if len(trigger) else np.zeros(0, np.int64)
+        many = np.bincount(group, minlength=1)[group] > 1
+        # A phrase alone under its trigger has only itself to repeat.
+        open_ = {k for k, m in enumerate(many.tolist()) if m or len({tuple(split[k][i : i + window]) for i in range(int(count[k]))}) < count[k]}
+        order = [k for k in np.lexsort((start, ids)).tolist() if k in open_]
+        numbers = {w: i for i, w in enumerate(sorted({w for k in order for w in split[k]}))}
+        base = int(len(numbers) ** 0.5) + 1
+        # A word is two digits of separate alphabets: nodes have few children, and matches start at words.
+        digits = {w: (i // base, base + i % base) for w, i in numbers.items()}
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        keyed = []
-        order = np.lexsort((start, ids)).tolist()
-        earliest: dict[tuple, tuple] = {}
+        texts = {k: tuple(d for w in split[k] for d in digits[w]) for k in order}
         for k in order:  # in corpus order, so the first to come is the first occurrence
-            words = tuple(names.setdefault(w, len(names) + 1) for w in split[k])
-            keyed.append((k, words))
-            if alone[k] and count[k] <= window - TRIGGER_WORDS + 1:
-                continue
+            doc, at, words = int(ids[k]), int(start[k]), texts[k]
             for i in range(int(count[k])):
-                earliest.setdefault(words[i : i + window], (int(ids[k]), int(start[k]) + i))
-        for words, first in earliest.items():
-            machine.add_word(words, first)
+                pattern = words[2 * i : 2 * (i + window)]
+                if pattern not in machine:
+                    machine.add_word(pattern, (doc, at + i))
         out = []
-        if earliest:
+        if len(machine):
             machine.make_automaton()
-            for k, words in keyed:
-                doc, base = int(ids[k]), int(start[k])
-                for last, first in machine.iter(words):
-                    place = base + last - window + 1
+            for k in order:
+                doc, at = int(ids[k]), int(start[k])
+                for last, first in machine.iter(texts[k]):
+                    place = at + last // 2 - window + 1
                     if first < (doc, place):
                         out.append((doc, place))
         found = np.array(out, np.int64).reshape(-1, 2)

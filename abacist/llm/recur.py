@@ -124,13 +124,14 @@ def _triggers(unit: Unit, buckets: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = raw(batch.column(1))
             for i, j in slices(offsets):
-                values, row, _, _ = unit.parse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                row, _, count, trigger = phrases(unit, values, row, j - i)
-                row = row + i
-                if unit.own:  # more windows than one trigger can have: it stands there twice
-                    twice = count > unit.window - unit.inner + 1
+                values, at_row, _, _ = unit.parse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                row, _, _, trigger = phrases(unit, values, at_row, j - i)
+                if unit.own:  # a trigger that stands twice in a document recurs even if all its windows are one phrase
+                    inner = window_hashes(values, unit.inner)
+                    names, times = np.unique(mix(inner ^ mix(at_row[: len(inner)].astype(np.uint64))), return_counts=True)
+                    twice = np.isin(mix(trigger ^ mix(row.astype(np.uint64))), names[times > 1])
                     trigger, row = np.concatenate([trigger, trigger[twice]]), np.concatenate([row, row[twice]])
-                held.append((trigger, ids[row]))
+                held.append((trigger, ids[row + i]))
                 size += int(offsets[j] - offsets[i])
                 if size >= FLUSH_BYTES:
                     yield from flush(*map(np.concatenate, zip(*held)))
@@ -238,7 +239,7 @@ def _candidates(unit: Unit, buckets: int):
         keep = keep[np.lexsort((trigger[keep], b))]
         for bucket, s in by_bucket(_trigger_bucket(trigger[keep], buckets), buckets):
             k = keep[s]
-            yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.stack([count[k], sizes[k]], axis=1)), b"".join(bodies[x] for x in k))
+            yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.concatenate([count[k], sizes[k]])), b"".join(bodies[x] for x in k))
 
     def run(batches):
         for bucket, rows in buckets_of(batches):
@@ -291,8 +292,8 @@ def _decided(judge: Callable, buckets: int):
             trigger = np.concatenate([flat(r["f0"], np.uint64) for r in sent])
             ids = np.concatenate([flat(r["f1"], np.int64) for r in sent])
             start = np.concatenate([flat(r["f2"], np.int64) for r in sent])
-            pair = np.concatenate([flat(r["f3"], np.int64).reshape(-1, 2) for r in sent])
-            count, size = pair[:, 0], pair[:, 1]
+            pair = np.concatenate([flat(r["f3"], np.int64).reshape(2, -1) for r in sent], axis=1)
+            count, size = pair
             data = b"".join(r["f4"] for r in sent)
             ends = np.cumsum(size)
             order = np.lexsort((start, ids, trigger))
