@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import exact_dedup, jaccard, langid, mixing, passages, pieces, substrings
+from abacist.llm import exact_dedup, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
 
 MIX_SQL = r"""
 WITH d AS (
@@ -96,3 +96,36 @@ def op2(spark, sf_dir):
 @query("op9_remove_passages")
 def op9(spark, sf_dir):
     return passages.remove_passages(table(spark, sf_dir, "documents"))
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y),
+c AS (SELECT x, min(y) AS c FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+FROM v JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+
+@query("op1_similar_vectors", VECTORS_SQL)
+def op1(spark, sf_dir):
+    return vectors.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+
+@query("op3_warc", WARC_SQL)
+def op3(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
