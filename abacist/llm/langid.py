@@ -63,7 +63,9 @@ def _counted(batches):
             for i, j in slices(offsets, SLICE):
                 at = offsets[i : j + 1] - offsets[i]
                 found = [x for x, _ in grams(data[offsets[i] : offsets[j]], at)]
-                codes, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                if not found:
+                    continue
+                codes, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
 
@@ -75,36 +77,39 @@ class LanguageFilters:
     masks: np.ndarray
     false_rate: np.ndarray
 
-    def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """`docs` with `lang_pred` and `score` added, or replaced where they exist.
+    def predict(self, docs: DataFrame, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+        """`docs` with the language and its score added, or replaced where they exist.
 
         Every n-gram of the whole text asks the filters once and gets a mask of
         languages.  Hits are counted for each language, less the share of false
         hits that its filter's fill makes likely; the highest count wins, ties
         go to the first language.  `score` is the winner's share of all counts.
-        Null text and text without a letter give `und` and 0.  Text whose
-        n-grams are in no filter gets the first language and 0.
+        Null text and text without a letter give `und` and 0, and so does all
+        text if nothing was learnt.  Text whose n-grams are in no filter gets
+        the first language and 0.
         """
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast((self.languages, self.masks, self.false_rate))
-        kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-        schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text_"))
+        kept = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
+        schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(pred, "string").add(score, "double")
+        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_"))
 
         def run(batches):
             languages, masks, false_rate = shared.value
             for batch in batches:
                 text = batch.column(batch.num_columns - 1)
-                pred, score = judge(text, languages, masks, false_rate)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+                found, sure = judge(text, languages, masks, false_rate)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*kept, pred, score])
 
         return rows.mapInArrow(run, schema)
 
 
 def judge(text: pa.Array, languages: list[str], masks: np.ndarray, false_rate: np.ndarray):
+    n, k = len(text), len(languages)
+    if not k:
+        return [UNKNOWN] * n, np.zeros(n)
     clean = plain(text)
     data, offsets = raw(clean)
-    n, k = len(text), len(languages)
     hits, total = np.zeros((n, k)), np.zeros(n)
     for i, j in slices(offsets, SLICE):
         at = offsets[i : j + 1] - offsets[i]
@@ -133,12 +138,12 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
     Of each language about TRAIN_DOCS rows are read, picked by a hash; the
     n-grams of the sample are counted by Spark, and the GRAMS most frequent of
-    each language come to the driver.  Fails if no row has both.
+    each language come to the driver.  Without such rows the filters are empty.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit("train")).alias("h")).filter("lang IS NOT NULL AND text IS NOT NULL")
     known = [r for r in rows.groupBy("lang").count().orderBy("lang").collect()]
     if not known:
-        raise ValueError("training needs rows with text and a language")
+        return LanguageFilters([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
     part = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], float(min(1.0, TRAIN_DOCS / r["count"])))])
     sample = rows.filter(F.pmod("h", F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000).select("text", "lang")
     counts = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -146,7 +151,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
-        raise ValueError("training needs texts with letters")
+        return LanguageFilters([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, 1.0 / totals[lang])])
     shares = counts.withColumn("share", F.col("n") * share[F.col("lang")])
     frequent = shares.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("at") <= GRAMS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import exact_dedup, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
+from abacist.llm import exact_dedup, html, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
 
 MIX_SQL = r"""
 WITH d AS (
@@ -129,3 +129,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 @query("op3_warc", WARC_SQL)
 def op3(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op6_main_text")
+def op6(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
