@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,17 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.llm.common import LOWER, lists, mix, raw, slices, small, span_hashes, window_hashes, word_spans, written
+from abacist.llm.recur import PACKED, buckets_of, by_bucket, flat, packed, planes
 from abacist.plans.components import connected_components
 
 #: Bits of a document's signature.
 BITS = 512
-#: Slots in which shingles are counted to put frequent ones last, and how far above the mean of a task counts.
-COUNT_BITS = 20
-ABOVE = 4
-#: Neighbours by size that the first round looks at within a tile.
-NEAR = 16
-#: Rows of a token that one tile takes; tokens with more are cut in blocks, and every two blocks meet.
-TILE_ROWS = 4096
+#: Rows of a tile that meet in one block; larger tiles are cut in blocks, and every two blocks meet.
+BLOCK_ROWS = 4096
+#: Tile rows that a task holds packed at a time, and tokens for which one partition is meant.
+FLUSH_TOKENS = 1 << 21
+PART_TOKENS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -31,9 +29,16 @@ class Rule:
     words: int = 3
     percent: int = 90
 
-    def needed(self, n):
-        """The least intersection that a set of n elements has with a set it links with."""
-        return (self.percent * n + 99) // 100
+    def bands(self, most: int) -> np.ndarray:
+        """First sizes of the size bands up to `most`: sets that link are in one band or in neighbours."""
+        first = [1]
+        while first[-1] <= most:
+            first.append(first[-1] * 100 // self.percent + 1)
+        return np.array([*first, first[-1] * 100 // self.percent + 1], np.int64)
+
+    def parts(self, following):
+        """Parts of a tile whose smaller sets have fewer than `following` elements: one more than they may differ in."""
+        return (following - 1) * (100 - self.percent) // self.percent + 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,50 +66,60 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return found[new], np.bincount(owner[new], minlength=n)
 
 
-def _counting(words: int):
-    def run(batches):
-        total = np.zeros(1 << COUNT_BITS, np.int64)
-        for batch in batches:
-            data, offsets = raw(batch.column(0))
-            for i, j in slices(offsets):
-                found, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                total += np.bincount((found >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
-        often = np.flatnonzero(total > 8 + ABOVE * total.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(often, pa.int32()), pa.array(total[often], pa.int64())], names=["slot", "n"])
-
-    return run
-
+def tokens(rule: Rule, found: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tile names of each set, and how many each set has.
 
-def _signing(rule: Rule, often):
+    In the tile of its own size band and in the one below, a set falls into
+    parts by hash.  Two sets that link differ in fewer elements than the tile
+    of the smaller one has parts, so in that tile some part of theirs is the
+    same; a tile's name is such a part.
+    """
+    first = rule.bands(int(size.max(initial=1)))
+    band = np.searchsorted(first, size, "right") - 1
+    owner = np.repeat(np.arange(len(size)), size)
+    value = mix(found + np.uint64(17))
+    names, owners = [], []
+    for below in (0, 1):
+        tile = band - below
+        count = np.where((size > 0) & (tile >= 0), rule.parts(first[np.maximum(tile, 0) + 1]), 0)
+        base = np.cumsum(count) - count
+        sums = np.zeros(int(count.sum()), np.uint64)
+        inside = count[owner] > 0
+        own = owner[inside]
+        part = ((found[inside] >> np.uint64(20)) % count[own].astype(np.uint64)).astype(np.int64)
+        np.add.at(sums, base[own] + part, value[inside])
+        of = np.repeat(np.arange(len(size)), count)
+        place = np.arange(len(sums)) - base[of]
+        names.append(mix(sums ^ mix((tile[of] * (1 << 32) + place).astype(np.uint64))))
+        owners.append(of)
+    names, owners = np.concatenate(names), np.concatenate(owners)
+    return names[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(size))
+
+
+def _signing(rule: Rule):
     def run(batches):
-        score = np.zeros(1 << COUNT_BITS, np.int64)
-        slot, n = often.value
-        score[slot] = n
         for batch in batches:
             data, offsets = raw(batch.column(1))
             for i, j in slices(offsets):
                 found, size = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 rows = j - i
-                owner = np.repeat(np.arange(rows), size)
                 bits = np.zeros((rows, BITS), bool)
-                bits[owner, (found & np.uint64(BITS - 1)).astype(np.int64)] = True
+                bits[np.repeat(np.arange(rows), size), (found & np.uint64(BITS - 1)).astype(np.int64)] = True
                 ends = np.concatenate([[0], np.cumsum(size)])
                 marks = []
                 for seed in (1, 2):
-                    sums = np.concatenate([[0], np.cumsum(mix(found + np.uint64(seed)), dtype=np.uint64)]).astype(np.uint64)
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(seed)))])
                     marks.append((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
-                rare = np.lexsort((found, score[(found >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], owner))
-                take = np.where(size > 0, size - rule.needed(size) + 1, 0)
-                head = np.arange(len(found)) - np.repeat(ends[:-1], size) < np.repeat(take, size)
-                packed = np.packbits(bits, axis=1)
+                names, count = tokens(rule, found, size)
+                signature = pa.py_buffer(np.packbits(bits, axis=1).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, rows),
                         pa.array(size, pa.int64()),
                         pa.array(marks[0]),
                         pa.array(marks[1]),
-                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), rows, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary()),
-                        lists(found[rare][head].view(np.int64), take, pa.int64()),
+                        pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), rows, [None, signature]).cast(pa.binary()),
+                        lists(names.view(np.int64), count, pa.int64()),
                     ],
                     names=["id", "n", "mark1", "mark2", "bits", "tokens"],
                 )
@@ -112,6 +127,63 @@ def _signing(rule: Rule, often):
     return run
 
 
+def _packing(buckets: int):
+    """Tokens by bucket.  Those that several sets of a task have are known to be shared and come out at once."""
+
+    def flush(token, ids):
+        order = np.lexsort((ids, token))
+        token, ids = token[order], ids[order]
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        count = np.diff(np.append(np.flatnonzero(first), len(token)))
+        many = np.repeat(count > 1, count)
+        shared = np.flatnonzero(many)
+        for s in range(0, len(shared), 1 << 16):
+            k = shared[s : s + (1 << 16)]
+            yield packed(int(token[k[0]] % np.uint64(buckets)), 1, len(k), planes(token[k]), planes(ids[k]))
+        t, i, m = token[first], ids[first], count > 1
+        b = (t % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(b, kind="stable")
+        t, i, m = t[order], i[order], m[order]
+        for bucket, s in by_bucket(b[order], buckets):
+            yield packed(bucket, 0, s.stop - s.start, planes(t[s]), planes(i[s]), m[s].tobytes())
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            token = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            held.append((token, np.repeat(ids, batch.column(1).value_lengths().to_numpy(zero_copy_only=False))))
+            size += len(token)
+            if size >= FLUSH_TOKENS:
+                yield from flush(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from flush(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
+def _sharing(batches):
+    """(token, id) of all tokens that more than one set has."""
+    for _, rows in buckets_of(batches):
+        for r in rows:
+            if r["kind"] == 1:
+                yield pa.RecordBatch.from_arrays([pa.array(flat(r["f0"], np.int64)), pa.array(flat(r["f1"], np.int64))], names=["token", "id"])
+        seen = [r for r in rows if r["kind"] == 0]
+        if not seen:
+            continue
+        token, ids = (np.concatenate([flat(r[f], np.int64) for r in seen]) for f in ("f0", "f1"))
+        many = np.concatenate([np.frombuffer(r["f2"], bool) for r in seen])
+        order = np.argsort(token, kind="stable")
+        token, ids, many = token[order], ids[order], many[order]
+        again = np.zeros(len(token), bool)
+        again[1:] = token[1:] == token[:-1]
+        again[:-1] |= again[1:].copy()
+        take = again & ~many
+        yield pa.RecordBatch.from_arrays([pa.array(token[take]), pa.array(ids[take])], names=["token", "id"])
+
+
 def _full_sets(words: int):
     def run(batches):
         for batch in batches:
@@ -127,47 +199,32 @@ def _possible(rule: Rule, n, m, a, b):
     """Whether bit counts and sizes leave room for a link; a and b are packed signatures."""
     differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     most = np.minimum((n + m - differ) // 2, np.minimum(n, m))
-    return (100 + rule.percent) * most >= rule.percent * (n + m), differ
-
+    return (100 + rule.percent) * most >= rule.percent * (n + m)
 
-def _tiles(rule: Rule, every: bool):
-    """Candidate pairs of tiles that come sorted by key and size.
 
-    every: all pairs of different labels, at least one of them at home in the
-    tile; else each row's most alike partner among the NEAR rows before it.
-    """
+def _tiles(rule: Rule):
+    """Pairs of tiles, sorted by key and size, that have different labels and may link."""
 
-    def pairs(key, ids, n, bits, label, home, block):
-        left, right = [], []
-        best, alike = np.full(len(ids), -1), np.full(len(ids), BITS + 1)
-        live = np.arange(len(ids))
-        d = 0
+    def pairs(key, ids, n, bits, label, own, alone):
+        left, right = [ids[:0]], [ids[:0]]
+        live, d = np.arange(len(ids)), 0
         while len(live):
             d += 1
-            if not every and d > NEAR:
-                break
             live = live[live + d < len(ids)]
             # Sorted by size: once a partner is too large, those after it are as well.
             live = live[(key[live] == key[live + d]) & (100 * n[live] >= rule.percent * n[live + d])]
-            i, j = live, live + d
-            ok = ids[i] != ids[j]
-            if every:
-                ok &= (label[i] != label[j]) & (home[i] | home[j]) & (block[i] | block[j])
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            fits, differ = _possible(rule, n[i], n[j], bits[i], bits[j])
-            i, j, differ = i[fits], j[fits], differ[fits]
-            if every:
-                left.append(ids[i]), right.append(ids[j])
-            else:
-                closer = differ < alike[j]
-                best[j[closer]], alike[j[closer]] = i[closer], differ[closer]
-        if not every:
-            j = np.flatnonzero(best >= 0)
-            left, right = [ids[best[j]]], [ids[j]]
-        a, b = np.concatenate(left or [ids[:0]]), np.concatenate(right or [ids[:0]])
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            i = live[(label[live] != label[live + d]) & (alone[live] | (own[live] != own[live + d]))]
+            if len(i):
+                i = i[_possible(rule, n[i], n[i + d], bits[i], bits[i + d])]
+                left.append(np.minimum(ids[i], ids[i + d])), right.append(np.maximum(ids[i], ids[i + d]))
+        return np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+
+    def out(t):
+        if len(t):
+            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(t), -1)
+            key, ids, n, label, own, alone = (t[x].to_numpy() for x in ("key", "id", "n", "label", "own", "alone"))
+            found = pairs(key, ids, n, bits, label, own, alone)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     def run(batches):
         held = None
@@ -181,15 +238,6 @@ def _tiles(rule: Rule, every: bool):
         if held is not None:
             yield from out(held)
 
-    def out(t):
-        if not len(t):
-            return
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(t), -1)
-        names = ("key", "id", "n", "label", "home", "block")
-        key, ids, n, label, home, block = (t[x].to_numpy() for x in names)
-        found = pairs(key, ids, n, bits, label, home, block)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
     return run
 
 
@@ -209,81 +257,73 @@ def _meet(rule: Rule):
     return run
 
 
-def _candidates(rule: Rule, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of representatives that may link; with labels, all that have different ones."""
-    rows = reps.select("id", "n", F.explode("tokens").alias("token"))
-    if labels is None:
-        rows = rows.withColumn("label", F.col("id"))
-    else:
-        rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-    counts = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
-    shared = counts.filter(F.col("low") != F.col("high")).select("token", "rows")
-    rows = rows.join(shared, "token")
-    if labels is None:
-        rows = rows.select("id", "n", "label", F.col("token").alias("key"), F.lit(True).alias("home"), F.lit(True).alias("block"))
-    else:
-        # A set stands in the tile of its own size band and visits the one below.
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(rule.percent / 100))).cast("long")
-        blocks = F.ceil(F.col("rows") / TILE_ROWS).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("band", band)
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
-        tile = F.xxhash64("token", "at", F.least("own", "other"), F.greatest("own", "other"))
-        # In the tile of two blocks, rows of one block meet those of the other; in a block's own tile all meet.
-        rows = rows.select("id", "n", "label", tile.alias("key"), (F.col("at") == F.col("band")).alias("home"), F.lit(True).alias("block"))
-    rows = rows.join(reps.select("id", "bits"), "id")
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id").select("key", "id", "n", "label", "home", "block", "bits")
-    return written(rows.mapInArrow(_tiles(rule, labels is not None), "a long, b long").distinct())
-
-
-def _verified(rule: Rule, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that do link, by intersection of their whole sets."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _linked(rule: Rule, docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that do link: equal sets by their 128-bit marks, others by intersection of the whole sets."""
+    one = signed.select(F.col("id").alias("a"), F.struct("n", "mark1", "mark2").alias("x"))
+    two = signed.select(F.col("id").alias("b"), F.struct("n", "mark1", "mark2").alias("y"))
+    known = written(pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("x") == F.col("y")).alias("same")))
+    unsure = known.filter("NOT same").select("a", "b")
+    wanted = written(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.join(small(wanted), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
     sets = written(texts.mapInArrow(_full_sets(rule.words), "id long, members array<long>"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
+    both = unsure.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(_meet(rule), "a long, b long"))
+    met = written(both.select("a", "b", "x", "y").mapInArrow(_meet(rule), "a long, b long"))
+    return met.unionByName(known.filter("same").select("a", "b"))
+
+
+def _crossing(rule: Rule, shared: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of tiles that may join two components."""
+    named = shared.join(labels, "id", "left").select("token", "id", F.coalesce("root", "id").alias("label"))
+    named = written(named)
+    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
+    rows = named.join(mixed.select("token", "rows"), "token")
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select(F.xxhash64("token", low, high).alias("key"), "id", "label", "own", (low == high).alias("alone"))
+    rows = rows.join(signed.select("id", "n", "bits").dropDuplicates(["id"]), "id").select("key", "id", "n", "label", "own", "alone", "bits")
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id")
+    return written(rows.mapInArrow(_tiles(rule), "a long, b long").distinct())
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links).
 
-    Words are runs without ASCII white space, A-Z lower-cased.  Equal sets
-    become one class first.  Of each class's shingles only the rarest that a
-    linked set must share go into tiles; in a tile, sizes and bit counts of
-    signatures bound the intersection from above.  The first round links every
-    set with its most alike neighbours; the second looks at all pairs of tiles
-    whose components still differ, so groups of copies never form all their
-    pairs and no link between components is lost.
+    Words are runs without ASCII white space, A-Z lower-cased.  A set enters
+    the tiles of its size band and of the one below, one for each part of the
+    set, so that sets that link share a tile.  A first round compares each set
+    with the smallest id of its tiles.  The second takes the tiles in which
+    more than one component is left and compares all pairs across components:
+    sizes and bit counts of signatures bound the intersection from above, then
+    whole sorted sets decide.  Groups of copies thus never form all their
+    pairs, and no link between components is lost.
 
     Null or empty texts, and texts of white space, have n_shingles 0, link with
     nothing and are their own component.  Ids are integers, unique but for
     repeated rows; a null id gives a row with a null component.  Other columns
     are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    counted = rows.select("text").mapInArrow(_counting(rule.words), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    often = spark.sparkContext.broadcast((counted["slot"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)))
-    signed = written(rows.mapInArrow(_signing(rule, often), "id long, n long, mark1 long, mark2 long, bits binary, tokens array<long>"))
-
-    mark = ["n", "mark1", "mark2"]
-    classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*mark).agg(F.min("id").alias("first"))
-    known = signed.drop("bits", "tokens").join(classes, mark, "left")
-    known = written(known.select("id", "n", F.coalesce("first", "id").alias("first")))
-    firsts = known.filter("id = first AND n > 0").select("id").distinct()
-    reps = written(signed.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bits", "tokens"))
-
-    near = _verified(rule, rows, _candidates(rule, reps, None))
-    labels = _roots(near)
-    rest = _candidates(rule, reps, labels)
-    more = _verified(rule, rows, rest.join(near, ["a", "b"], "left_anti"))
-    roots = _roots(near.unionByName(more)).select(F.col("id").alias("first"), "root")
-    return known.join(roots, "first", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "first").alias("component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = written(rows.mapInArrow(_signing(rule), "id long, n long, mark1 long, mark2 long, bits binary, tokens array<long>"))
+    known = signed.select("id", "n", "mark1", "mark2").filter("id IS NOT NULL AND n > 0").dropDuplicates(["id"])
+
+    total = signed.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
+    tiles = signed.filter("id IS NOT NULL AND n > 0").select("id", "tokens").mapInArrow(_packing(4 * parts), PACKED)
+    tiles = tiles.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    shared = written(tiles.mapInArrow(_sharing, "token long, id long"))
+
+    heads = shared.groupBy("token").agg(F.min("id").alias("a"))
+    near = written(shared.join(heads, "token").filter("a < id").select("a", F.col("id").alias("b")).distinct())
+    links = _linked(rule, rows, known, near)
+    rest = _crossing(rule, shared, signed, _roots(links)).join(near, ["a", "b"], "left_anti")
+    roots = _roots(links.unionByName(_linked(rule, rows, known, rest)))
+    return signed.select("id", "n").join(roots, "id", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )
 
 

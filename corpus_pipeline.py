@@ -32,24 +32,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """docs without the ids in `drop`, a written table of one column `_drop_`."""
-    return docs.join(small(drop), docs["doc_id"] == F.col("_drop_"), "left_anti")
+    """docs without the ids in `drop`, a written table of one column `doc_id`."""
+    return docs.join(small(drop), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of repeated rows one."""
     groups = written(exact_dedup.exact_dedup(docs))
-    drop = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_drop_")).distinct()
-    repeated = groups.filter("kept AND doc_id IS NOT NULL AND group_size > 1").groupBy(F.col("doc_id").alias("_drop_")).count().filter("count > 1").select("_drop_")
+    drop = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    repeated = groups.filter("kept AND doc_id IS NOT NULL AND group_size > 1").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     drop, repeated = written(drop), written(repeated)
-    once = docs.join(small(repeated), docs["doc_id"] == F.col("_drop_"), "left_semi").dropDuplicates(["doc_id"])
+    once = docs.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[f"`{c}`" for c in docs.columns])
     return _without(docs, written(drop.unionByName(repeated))).unionByName(once)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near copies join, the one with the smallest doc_id stays."""
     found = written(jaccard.jaccard_components(docs, NEAR))
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop_")).distinct()
+    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return _without(docs, written(drop))
 
 
@@ -57,9 +57,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated as often as the mix takes them, to whole documents: the last one of a source is in if at least half of it is taken."""
     mixed = mixing.mix(docs).filter("size > 0 AND doc_id IS NOT NULL")
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    taken = mixed.groupBy(F.col("doc_id").alias("_id_")).agg(F.max(times).alias("_times_")).filter("_times_ > 0")
-    joined = docs.join(small(written(taken)), docs["doc_id"] == F.col("_id_"))
-    return joined.withColumn("_time_", F.explode(F.sequence(F.lit(1), F.col("_times_")))).select(*[docs[c] for c in docs.columns])
+    taken = mixed.groupBy("doc_id").agg(F.max(times).alias("_times_of_mix_")).filter("_times_of_mix_ > 0")
+    joined = docs.join(small(written(taken)), "doc_id")
+    return joined.withColumn("_times_of_mix_", F.explode(F.sequence(F.lit(1), F.col("_times_of_mix_")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
