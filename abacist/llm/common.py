@@ -37,6 +37,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if its counted rows are few enough."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df

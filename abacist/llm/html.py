@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abacist.llm.common import spare
+
 # Names of HTML elements.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -55,7 +57,7 @@ LONG_COST, SENTENCE_COST, HEADING_COST, LINK_COST, SHORT_COST = 1.5, 0.5, 1.0, 3
 #: Smoothness: neighbours in the page, more if they share a parent, and blocks of one container.
 NEXT_EDGE, SIBLING_EDGE, CONTAINER_EDGE = 0.3, 0.7, 0.5
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>|</[^a-zA-Z][^>]*>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<!--|<[!?][^>]*>|</[^a-zA-Z][^>]*>|</?[a-zA-Z][^>]*\Z""")
 _SIGNS = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -298,7 +300,7 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
     """
     kept = [c for c in pages.columns if c.lower() not in (out.lower(), "n_chars")]
     schema = pages.select(*[f"`{c}`" for c in kept]).schema.add(out, "string").add("n_chars", "long")
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").alias("_html_"))
+    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").alias(spare(pages, "_html_")))
 
     def run(batches):
         for batch in batches:

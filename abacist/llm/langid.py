@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abacist.llm.common import mix, raw, slices, written
+from abacist.llm.common import mix, raw, slices, spare, written
 
 #: n-grams of so many bytes of lower-cased text, in which all but letters is one blank.
 SIZES = (3, 4)
@@ -92,7 +92,7 @@ class LanguageFilters:
         shared = spark.sparkContext.broadcast((self.languages, self.masks, self.false_rate))
         kept = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
         schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(pred, "string").add(score, "double")
-        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_"))
+        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(spare(docs, "_text_")))
 
         def run(batches):
             languages, masks, false_rate = shared.value

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import lists, mix, slices
+from abacist.llm.common import lists, mix, slices, spare
 
 BLANK = 0x2581
 #: Longer words are merged one by one, or searched in steps.
@@ -401,7 +401,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     kept = [c for c in docs.columns if c.lower() not in (out.lower(), digest.lower())]
     schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(out, T.ArrayType(T.IntegerType())).add(digest, "string")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("_text_"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(spare(docs, "_text_")))
 
     def run(batches):
         encoder = Encoder(shared.value)
@@ -443,7 +443,7 @@ def decode(docs: DataFrame, pieces: Pieces, ids_col: str = "token_ids", out: str
     dummy = pieces.dummy_blank
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(out, "string")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("_ids_"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias(spare(docs, "_ids_")))
 
     def run(batches):
         data, offsets = shared.value
