@@ -25,8 +25,9 @@ def _judge(window: int):
         split = [b.split() for b in bodies]
         group = np.cumsum(np.append(True, trigger[1:] != trigger[:-1])) if len(trigger) else np.zeros(0, np.int64)
         many = np.bincount(group, minlength=1)[group] > 1
-        # A phrase alone under its trigger has only itself to repeat.
-        open_ = {k for k, m in enumerate(many.tolist()) if m or len({tuple(split[k][i : i + window]) for i in range(int(count[k]))}) < count[k]}
+        # A phrase alone under its trigger has only itself to repeat.  Two equal windows d words
+        # apart have at most d different words, and all windows share the words in the middle.
+        open_ = {k for k, m in enumerate(many.tolist()) if m or len(set(split[k][int(count[k]) - 1 : window])) < count[k]}
         order = [k for k in np.lexsort((start, ids)).tolist() if k in open_]
         numbers = {w: i for i, w in enumerate(sorted({w for k in order for w in split[k]}))}
         base = int(len(numbers) ** 0.5) + 1
@@ -34,12 +35,10 @@ def _judge(window: int):
         digits = {w: (i // base, base + i % base) for w, i in numbers.items()}
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         texts = {k: tuple(d for w in split[k] for d in digits[w]) for k in order}
-        for k in order:  # in corpus order, so the first to come is the first occurrence
+        for k in reversed(order):  # against corpus order, so the first occurrence is what stays
             doc, at, words = int(ids[k]), int(start[k]), texts[k]
-            for i in range(int(count[k])):
-                pattern = words[2 * i : 2 * (i + window)]
-                if pattern not in machine:
-                    machine.add_word(pattern, (doc, at + i))
+            for i in range(int(count[k]) - 1, -1, -1):
+                machine.add_word(words[2 * i : 2 * (i + window)], (doc, at + i))
         out = []
         if len(machine):
             machine.make_automaton()

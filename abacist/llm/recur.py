@@ -167,6 +167,7 @@ def buckets_of(batches):
 
 def _recurring(buckets: int):
     def run(batches):
+        out = []
         for bucket, rows in buckets_of(batches):
             seen = [r for r in rows if r["kind"] == 0]
             for r in rows:
@@ -184,7 +185,9 @@ def _recurring(buckets: int):
             again = same.copy()
             again[:-1] |= same[1:]
             take = again & ~many
-            yield from send_pairs(trigger[take], ids[take], buckets)
+            out.append((trigger[take], ids[take]))
+        if out:
+            yield from send_pairs(*map(np.concatenate, zip(*out)), buckets)
 
     return run
 
@@ -220,8 +223,7 @@ def texts_of(rows):
 def _candidates(unit: Unit, buckets: int):
     """Phrases with recurring triggers: of equal ones in a task, only the first goes on."""
 
-    def flush(found):
-        ids, start, count, trigger, sizes, bodies = found
+    def flush(ids, start, count, trigger, sizes, bodies):
         # Equal phrases of one flush: those after the first are repeats as a whole.
         name = np.array([hash_of(b) for b in bodies], np.uint64) ^ trigger
         order = np.lexsort((start, ids, name))
@@ -232,7 +234,7 @@ def _candidates(unit: Unit, buckets: int):
         later = np.zeros(len(ids), bool)
         # The name is a hash: only equal bytes count as equal.
         for k, h in zip(rank[~new].tolist(), head[~new].tolist()):
-            later[k] = (unit.own or ids[k] != ids[h]) and bodies[k] == bodies[h]
+            later[k] = (ids[h] < ids[k] or (unit.own and start[h] < start[k])) and bodies[k] == bodies[h]
         yield from send_spans(ids[later], start[later], start[later] + count[later], buckets)
         keep = np.flatnonzero(~later)
         b = _trigger_bucket(trigger[keep], buckets)
@@ -242,13 +244,12 @@ def _candidates(unit: Unit, buckets: int):
             yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.concatenate([count[k], sizes[k]])), b"".join(bodies[x] for x in k))
 
     def run(batches):
-        for bucket, rows in buckets_of(batches):
-            del bucket
+        held, size = [], 0
+        for _, rows in buckets_of(batches):
             pairs = [r for r in rows if r["kind"] == 1]
             trigger = np.concatenate([flat(r["f0"], np.uint64) for r in pairs]) if pairs else np.zeros(0, np.uint64)
             owner = np.concatenate([flat(r["f1"], np.int64) for r in pairs]) if pairs else np.zeros(0, np.int64)
             wanted = np.unique(mix(trigger ^ mix(owner.view(np.uint64))))
-            held = []
             for ids, data, offsets in texts_of(rows):
                 values, row, begin, end = unit.parse(data, offsets)
                 owner, start, count, trigger = phrases(unit, values, row, len(ids))
@@ -260,13 +261,21 @@ def _candidates(unit: Unit, buckets: int):
                 lo, hi = begin[at], end[at + count + unit.window - 2]
                 body = data.tobytes()
                 held.append((ids[owner], start, count, trigger, hi - lo, [body[x:y] for x, y in zip(lo.tolist(), hi.tolist())]))
-            if held:
-                cols = list(zip(*held))
-                yield from flush([np.concatenate(c) for c in cols[:5]] + [[b for c in cols[5] for b in c]])
+                size += int((hi - lo).sum())
+                if size >= FLUSH_BYTES:
+                    yield from flush(*_joined(held))
+                    held, size = [], 0
+        if held:
+            yield from flush(*_joined(held))
 
     return run
 
 
+def _joined(held):
+    *columns, bodies = zip(*held)
+    return [*map(np.concatenate, columns), [b for part in bodies for b in part]]
+
+
 def hash_of(body: bytes) -> int:
     return hash(body) & 0x7FFFFFFFFFFFFFFF
 
@@ -280,8 +289,19 @@ def send_spans(ids, begin, end, buckets):
         yield packed(bucket, 3, s.stop - s.start, planes(ids[s]), planes(begin[s]), planes(end[s]))
 
 
-def _decided(judge: Callable, buckets: int):
+def _first_of_equal(unit: Unit, trigger, ids, start, bodies) -> np.ndarray:
+    """Whether a phrase, of those sorted in corpus order under each trigger, repeats an earlier one as a whole."""
+    first: dict = {}
+    later = np.zeros(len(ids), bool)
+    for k, name in enumerate(zip(trigger.tolist(), bodies)):
+        doc, place = first.setdefault(name, (ids[k], start[k]))
+        later[k] = doc < ids[k] or (unit.own and place < start[k])
+    return later
+
+
+def _decided(judge: Callable, unit: Unit, buckets: int):
     def run(batches):
+        found: list = []
         for bucket, rows in buckets_of(batches):
             for r in rows:
                 if r["kind"] == 3:
@@ -303,7 +323,12 @@ def _decided(judge: Callable, buckets: int):
             for x, y in slices(upto[edges], BLOCK_BYTES):
                 k = order[edges[x] : edges[y]]
                 bodies = [data[e - s : e] for e, s in zip(ends[k].tolist(), size[k].tolist())]
-                yield from send_spans(*judge(trigger[k], ids[k], start[k], count[k], bodies), buckets)
+                later = _first_of_equal(unit, trigger[k], ids[k], start[k], bodies)
+                found.append((ids[k[later]], start[k[later]], start[k[later]] + count[k[later]]))
+                rest = k[~later]
+                found.append(judge(trigger[rest], ids[rest], start[rest], count[rest], [b for b, x in zip(bodies, later.tolist()) if not x]))
+        if found:
+            yield from send_spans(*map(np.concatenate, zip(*found)), buckets)
 
     return run
 
@@ -349,6 +374,6 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, judge: Call
     blocks = texts.mapInArrow(_blocks(count), PACKED)
     pairs = met(texts.mapInArrow(_triggers(unit, count), PACKED)).mapInArrow(_recurring(count), PACKED)
     found = met(pairs.unionByName(blocks)).mapInArrow(_candidates(unit, count), PACKED)
-    spans = written(met(found).mapInArrow(_decided(judge, count), PACKED))
+    spans = written(met(found).mapInArrow(_decided(judge, unit, count), PACKED))
     names = [x.split()[0] for x in schema.split(",")]
     return met(spans.unionByName(blocks)).mapInArrow(_finished(finish, unit, names), schema)
