@@ -469,9 +469,9 @@ def chart_scatter_r(spark, d):
     return rounded(charts.scatter_correlation(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), 8)
 
 
-@query("chart_scatter_points")
+@query("chart_scatter_points", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def chart_scatter_points(spark, d):
-    return charts.scatter_points(table(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey", 2000)
+    return charts.scatter_points(table(spark, d, "orders"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
 @query(
@@ -496,7 +496,7 @@ def chart_line(spark, d):
 
 @query("chart_line_averaged")
 def chart_line_averaged(spark, d):
-    return charts.line_data(table(spark, d, "events"), "ts", ["value"], max_points=500)
+    return charts.line_averaged(table(spark, d, "events"), "ts", ["value"], 500)
 
 
 PAIRS = [(a, b) for a in LINE for b in LINE]

@@ -84,6 +84,20 @@ def levene(spark, d):
     return pick(hy.levene(table(spark, d, "customer"), "c_acctbal", "c_mktsegment"), w=7, df1=None, df2=None)
 
 
+CUSTOMERS = "SELECT o_custkey AS g, o_totalprice AS y FROM orders"
+
+
+@query("anova_by_customer", _anova_sql(CUSTOMERS, "SELECT CAST(n AS BIGINT) AS n, k AS groups, round((ssb / (k - 1)) / (ssw / (n - k)), 7) AS f FROM s"))
+def anova_by_customer(spark, d):
+    return pick(hy.one_way_anova(table(spark, d, "orders"), "o_totalprice", "o_custkey"), n=None, groups=None, f=7)
+
+
+@query("levene_by_customer", _anova_sql("SELECT o_custkey AS g, abs(o_totalprice - med) AS y FROM orders JOIN (SELECT o_custkey AS k, quantile_cont(o_totalprice, 0.5) AS med FROM orders GROUP BY 1) ON k = o_custkey",
+    "SELECT round((ssb / (k - 1)) / (ssw / (n - k)), 7) AS w, k - 1 AS df1 FROM s"))
+def levene_by_customer(spark, d):
+    return pick(hy.levene(table(spark, d, "orders"), "o_totalprice", "o_custkey"), w=7, df1=None)
+
+
 @query("anova_one_way", _anova_sql("SELECT c_mktsegment AS g, c_acctbal AS y FROM customer",
     "SELECT CAST(n AS BIGINT) AS n, k AS groups, round(ssb / 1e6, 5) AS ssb_m, round(ssw / 1e6, 4) AS ssw_m, round((ssb / (k - 1)) / (ssw / (n - k)), 7) AS f, round(ssb / (ssb + ssw), 8) AS eta_sq FROM s"))
 def anova_one_way(spark, d):
@@ -160,6 +174,12 @@ def chi_square(spark, d):
     return pick(hy.chi_square(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority"), n=None, chi2=7, df=None, cramers_v=8)
 
 
+@query("chi_square_by_part", CHI.format(a="l_partkey", b="l_returnflag", t="lineitem") + """ SELECT CAST(sum(obs) AS BIGINT) AS n, round(sum((obs - exp) ** 2 / exp), 5) AS chi2,
+    (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df FROM e""")
+def chi_square_by_part(spark, d):
+    return pick(hy.chi_square(li(spark, d), "l_partkey", "l_returnflag"), n=None, chi2=5, df=None)
+
+
 @query("chi_square_corrected", CHI.format(a="l_linestatus", b="(l_returnflag = 'R')", t="lineitem") + " SELECT round(sum((greatest(abs(obs - exp) - 0.5, 0)) ** 2 / exp), 6) AS chi2 FROM e")
 def chi_square_corrected(spark, d):
     t = li(spark, d).select("l_linestatus", (F.col("l_returnflag") == "R").alias("ret"))
@@ -236,7 +256,7 @@ def normality_ks(spark, d):
 
 @query("normality_shapiro")
 def normality_shapiro(spark, d):
-    return npar.shapiro_wilk(table(spark, d, "customer"), "c_acctbal", "c_custkey")
+    return npar.shapiro_wilk(table(spark, d, "customer"), "c_acctbal", "c_custkey", 1000)
 
 
 @query("normality_anderson")
@@ -409,12 +429,12 @@ def stepwise_both(spark, d):
 
 @query("quantile_regression")
 def quantile_regression(spark, d):
-    return reg.quantile_regression(li(spark, d), "l_extendedprice", ["l_quantity"], 0.5, max_iter=15).summary()
+    return reg.quantile_regression(li(spark, d), "l_extendedprice", ["l_quantity"], 0.5).summary()
 
 
 @query("huber_regression")
 def huber_regression(spark, d):
-    return reg.huber_regression(li(spark, d), "l_extendedprice", ["l_quantity"], max_iter=10).summary()
+    return reg.huber_regression(li(spark, d), "l_extendedprice", ["l_quantity"]).summary()
 
 
 def _quality(spark, d):

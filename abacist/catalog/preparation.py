@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, r, rounded, table
 from abacist.functions import columns as X
-from abacist.operators import clean, ordered, reshape, transform
+from abacist.operators import clean, describe, frequency, ordered, reshape, transform
 from abacist.sources import readers, writers
 
 GAPPY = "CASE WHEN event_id % 5 IN (1, 2) OR event_id < 3 THEN NULL ELSE value END"
@@ -81,11 +81,6 @@ def clean_column_names(spark, d):
     return clean.clean_column_names(t.toDF("1st key", "customer name", "balance$"))
 
 
-@query("column_name_report", """SELECT * FROM (VALUES ('ok', true, 'ok'), ('1st key', false, 'col_1st_key'), ('a b', false, 'a_b')) t(name, valid, cleaned) WHERE (SELECT count(*) FROM region) > 0""")
-def column_name_report(spark, d):
-    return clean.column_name_report(table(spark, d, "region").select(F.col("r_regionkey").alias("ok"), F.col("r_name").alias("1st key"), F.col("r_name").alias("a b")))
-
-
 @query("regex_replace", r"SELECT p_partkey, regexp_replace(p_brand, '[^0-9]+', '', 'g') AS p_brand, regexp_matches(p_type, '^[a-zA-Z]+$') AS letters FROM part")
 def regex_replace(spark, d):
     out = clean.replace_values(table(spark, d, "part"), "p_brand", "[^0-9]+", "")
@@ -155,6 +150,62 @@ def one_hot(spark, d):
     return transform.one_hot(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
 
 
+@query("label_encode_keys", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS code FROM orders")
+def label_encode_keys(spark, d):
+    data = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("code"))
+    return transform.label_encode(data, ["code"])
+
+
+# A column with NULL and NaN: both are missing.
+HOLED = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders)"
+
+
+def _holed(spark, d):
+    v = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN double('NaN') ELSE o_totalprice END")
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", v.alias("v"))
+
+
+@query("holed_missing", f"SELECT 'v' AS \"column\", count(*) AS rows, count(*) - count(v) AS missing FROM {HOLED}")
+def holed_missing(spark, d):
+    return describe.missing_counts(_holed(spark, d), ["v"]).select("column", "rows", "missing")
+
+
+@query("holed_drop", f"SELECT o_orderkey, o_custkey, v FROM {HOLED} WHERE v IS NOT NULL")
+def holed_drop(spark, d):
+    return clean.drop_missing(_holed(spark, d))
+
+
+@query("holed_forward", f"SELECT o_orderkey, last_value(v IGNORE NULLS) OVER (ORDER BY o_orderkey) AS v FROM {HOLED}")
+def holed_forward(spark, d):
+    return transform.impute(_holed(spark, d), ["v"], "forward", order_by=["o_orderkey"]).select("o_orderkey", "v")
+
+
+@query("holed_constant", f"SELECT o_orderkey, coalesce(v, -1.0) AS v FROM {HOLED}")
+def holed_constant(spark, d):
+    return transform.impute(_holed(spark, d), ["v"], "constant", value=-1.0).select("o_orderkey", "v")
+
+
+@query("holed_distinct", f"SELECT 'v' AS \"column\", count(DISTINCT v) AS \"unique\", count(v) AS count FROM {HOLED}")
+def holed_distinct(spark, d):
+    return describe.distinct_counts(_holed(spark, d), ["v"]).select("column", "unique", "count")
+
+
+@query("holed_rolling", f"SELECT o_orderkey, CASE WHEN count(v) OVER w = 3 THEN round(sum(v) OVER w, 4) END AS v FROM {HOLED} WINDOW w AS (ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def holed_rolling(spark, d):
+    out = ordered.rolling(_holed(spark, d), "v", 3, ["sum"], order_by=["o_orderkey"])
+    return out.select("o_orderkey", F.round("v_roll_sum", 4).alias("v"))
+
+
+@query("holed_align", f"SELECT o_orderkey, o_custkey, v FROM {HOLED} WHERE v IS NOT NULL")
+def holed_align(spark, d):
+    return reshape.align(_holed(spark, d), ["o_custkey"], "v")
+
+
+@query("contingency_observed", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
+def contingency_observed(spark, d):
+    return frequency.contingency(table(spark, d, "orders"), "o_custkey", "o_orderpriority", zeros=False)
+
+
 @query("label_encode", "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand FROM part")
 def label_encode(spark, d):
     return transform.label_encode(table(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand"])
@@ -293,13 +344,13 @@ def interpolate(spark, d):
 
 # ---- joins and reshaping ------------------------------------------------
 
-ONE = "(SELECT c_custkey AS k, c_acctbal AS amount FROM customer WHERE c_custkey % 2 = 0)"
-TWO = "(SELECT CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS k, o_totalprice AS amount FROM orders WHERE o_orderkey % 3 = 0)"
+ONE = "(SELECT c_custkey AS k, c_acctbal AS amount FROM customer)"
+TWO = "(SELECT CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS k, o_totalprice AS amount FROM orders)"
 
 
 def _sides(spark, d):
-    one = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("amount"))
-    two = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.expr("CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END").alias("k"), F.col("o_totalprice").alias("amount"))
+    one = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("amount"))
+    two = table(spark, d, "orders").select(F.expr("CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END").alias("k"), F.col("o_totalprice").alias("amount"))
     return one, two
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,17 @@ def column_types(df: DataFrame) -> dict[str, str]:
     }
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Turn NaN into NULL in every floating column; do this once at ingest."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+def missing(df: DataFrame, c: str) -> Column:
+    """NULL, or NaN in a floating column."""
+    col = F.col(f"`{c}`")
+    return col.isNull() | F.isnan(col) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else col.isNull()
+
+
+def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Turn NaN into NULL in the floating columns, or in those of `columns`."""
+    wanted = df.columns if columns is None else columns
+    floats = [f.name for f in df.schema.fields if f.name in wanted and isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
 def safe_divide(numerator: Column, denominator: Column, default: float | None = 0.0) -> Column:

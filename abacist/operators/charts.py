@@ -18,14 +18,10 @@ def histogram_data(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return histogram(df, column, bins).select("bin", "low", "high", "n")
 
 
-def scatter_points(df: DataFrame, x: str, y: str, key: str, max_points: int = 5000) -> DataFrame:
-    """A repeatable hash sample of about `max_points` points, for drawing only."""
+def scatter_points(df: DataFrame, x: str, y: str, key: str, share: float | None = None) -> DataFrame:
+    """All complete points, or a repeatable sample of a stated share of them by a hash of the key."""
     data = df.select(key, x, y).dropna()
-    n = data.count()
-    if n <= max_points:
-        return data
-    bucket = F.pmod(F.xxhash64(key), F.lit(1_000_000))
-    return data.filter(bucket < int(1_000_000 * max_points / n))
+    return data if share is None else data.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * share))
 
 
 def scatter_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -69,16 +65,19 @@ def bar_data(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(x, y)
 
 
-def line_data(df: DataFrame, x: str, ys: Sequence[str], max_points: int | None = None) -> DataFrame:
-    """Series in x order; longer series are averaged over equal x intervals."""
+def line_data(df: DataFrame, x: str, ys: Sequence[str]) -> DataFrame:
+    """Series in x order."""
+    return df.select(x, *ys).orderBy(x)
+
+
+def line_averaged(df: DataFrame, x: str, ys: Sequence[str], bins: int) -> DataFrame:
+    """Means over equal x intervals, each at its smallest x; empty intervals are left out."""
     data = df.select(x, *ys)
-    if max_points is None or data.count() <= max_points:
-        return data.orderBy(x)
     position = F.unix_micros(F.col(x).cast("timestamp")).cast("double") if x in columns_of(df, "datetime") else F.col(x).cast("double")
     r = data.agg(F.min(position).alias("lo"), F.max(position).alias("hi")).first()
     if r["lo"] == r["hi"]:
         return data.groupBy(x).agg(*[F.avg(y).alias(y) for y in ys])
-    part = bin_number(position, r["lo"], r["hi"], max_points)
+    part = bin_number(position, r["lo"], r["hi"], bins)
     return data.groupBy(part.alias("part")).agg(F.min(x).alias(x), *[F.avg(y).alias(y) for y in ys]).orderBy("part").drop("part")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions import dist
-from abacist.functions.columns import columns_of
+from abacist.functions.columns import columns_of, missing, nan_to_null
 from abacist.sources.readers import upload_summary
 from abacist.plans.quantiles import clean_double, column_spans, exact_quantiles, grouped_quantiles, order_statistics
 
@@ -31,9 +31,12 @@ def kurtosis(c: Column) -> Column:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], as_type: str = "string") -> DataFrame:
-    """`(column, value, n)` over non-null values; copies collapse before the shuffle."""
+    """`(column, value, n)` over values that are not missing; copies collapse before the shuffle."""
+    floats = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("float", "double")}
     return (
-        df.select(*[F.col(c).cast(as_type).alias(c) for c in columns])
+        # Adding zero turns -0.0 into 0.0.
+        nan_to_null(df, columns)
+        .select(*[(F.col(c) + 0.0 if c in floats else F.col(c)).cast(as_type).alias(c) for c in columns])
         .unpivot([], list(columns), "column", "value")
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
@@ -271,7 +274,7 @@ def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(columns)])
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(missing(df, c)).alias(f"_m{i}") for i, c in enumerate(columns)])
     entries = [
         F.struct(F.lit(c).alias("column"), F.col("_rows").alias("rows"), F.col(f"_m{i}").alias("missing"))
         for i, c in enumerate(columns)
@@ -296,7 +299,7 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-null values and their ratio to the non-null rows, per column."""
     if approx:
-        one = df.agg(*[F.struct(F.approx_count_distinct(c).alias("d"), F.count(c).alias("n")).alias(c) for c in columns])
+        one = nan_to_null(df, columns).agg(*[F.struct(F.approx_count_distinct(c).alias("d"), F.count(c).alias("n")).alias(c) for c in columns])
         entries = [F.struct(F.lit(c).alias("column"), F.col(c)["d"].alias("unique"), F.col(c)["n"].alias("count")) for c in columns]
         out = one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     else:

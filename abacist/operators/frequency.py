@@ -86,9 +86,15 @@ def histogram(df: DataFrame, column: str, bins: int | str = "auto") -> DataFrame
     )
 
 
-def contingency(df: DataFrame, a: str, b: str, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Long contingency table `(a, b, n)` over complete pairs, zero cells included."""
+def contingency(df: DataFrame, a: str, b: str, zeros: bool = True, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Long contingency table `(a, b, n)` over complete pairs.
+
+    With `zeros` every pair of levels has a row, so the levels of `b` are
+    limited; without, the pairs that occur, for any number of levels.
+    """
     pairs = df.select(a, b).dropna()
+    if not zeros:
+        return pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     cols = levels(pairs, b, max_levels)
     wide = pairs.groupBy(a).pivot(b, cols).agg(F.count(F.lit(1))) if cols else None
     if wide is None:

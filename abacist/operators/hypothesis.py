@@ -20,6 +20,8 @@ from abacist.functions.columns import effect_size_label, eta_label, significance
 from abacist.operators.frequency import MAX_LEVELS, levels
 from abacist.plans.moments import moments
 from abacist.plans.quantiles import clean_double, grouped_quantiles
+from abacist.plans.session import durable
+from abacist.plans.skew import skew_join
 
 
 def _tail_p(t: Column, df: Column, alternative: str) -> Column:
@@ -94,16 +96,29 @@ class Group:
     var: float
 
 
-def group_table(df: DataFrame, value: str, group: str, max_levels: int = MAX_LEVELS) -> list[Group]:
-    """Size, mean and variance per level in level order; rows with a missing side are dropped."""
+def _groups(df: DataFrame, value: str, group: str) -> DataFrame:
+    """`(g, n, mean, var)` per level; rows with a missing side are dropped."""
     v = clean_double(value)
-    rows = (
-        df.filter(F.col(group).isNotNull() & v.isNotNull())
-        .groupBy(F.col(group).alias("g"))
-        .agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var"))
-        .limit(max_levels + 1)
-        .collect()
-    )
+    data = df.filter(F.col(group).isNotNull() & v.isNotNull())
+    return data.groupBy(F.col(group).alias("g")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("var"))
+
+
+def f_of_groups(df: DataFrame, value: str, group: str) -> dict[str, float]:
+    """One-way sums of squares, F and p for any number of levels: the group table stays in Spark."""
+    table = durable(_groups(df, value, group))
+    t = table.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand")).first()
+    if not t["n"]:
+        return {"n": 0, "ss_between": math.nan, "ss_within": math.nan, "df_between": -1, "df_within": 0, "f": math.nan, "p": math.nan}
+    gap = F.col("mean") - F.lit(t["grand"])
+    s = table.agg(F.sum(F.col("n") * gap * gap).alias("b"), F.sum((F.col("n") - 1) * F.col("var")).alias("w")).first()
+    d1, d2 = t["k"] - 1, t["n"] - t["k"]
+    f = (s["b"] / d1) / (s["w"] / d2) if d1 > 0 and d2 > 0 and s["w"] > 0 else math.nan
+    return {"n": t["n"], "ss_between": s["b"], "ss_within": s["w"], "df_between": d1, "df_within": d2, "f": f, "p": dist.f_sf(f, d1, d2)}
+
+
+def group_table(df: DataFrame, value: str, group: str, max_levels: int = MAX_LEVELS) -> list[Group]:
+    """The table of levels on the driver, in level order, for results that name every level."""
+    rows = _groups(df, value, group).limit(max_levels + 1).collect()
     if len(rows) > max_levels:
         raise ValueError(f"{group} has more than {max_levels} levels")
     return [Group(r["g"], r["n"], r["mean"], r["var"] or 0.0) for r in sorted(rows, key=lambda r: r["g"])]
@@ -135,19 +150,17 @@ def one_row(df: DataFrame, values: dict) -> DataFrame:
     return df.sparkSession.createDataFrame([row], ddl)
 
 
-def deviations_from_median(df: DataFrame, value: str, group: str, max_levels: int = MAX_LEVELS) -> DataFrame:
+def deviations_from_median(df: DataFrame, value: str, group: str) -> DataFrame:
     """`(group, |value - median of the group|)`."""
     data = df.select(F.col(group), clean_double(value).alias("_x")).dropna()
-    levels(data, group, max_levels)
     medians = grouped_quantiles(data, [group], "_x", (0.5,), ("_med",))
-    # At most `max_levels` rows, checked above.
-    joined = data.join(F.broadcast(medians), group)
+    joined = skew_join(data, medians, [group])
     return joined.select(group, F.abs(F.col("_x") - F.col("_med")).alias("deviation"))
 
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Equality of variances, centred on the medians."""
-    s = f_from_groups(group_table(deviations_from_median(df, value, group), "deviation", group))
+    s = f_of_groups(deviations_from_median(df, value, group), "deviation", group)
     return one_row(df, {"w": s["f"], "df1": s["df_between"], "df2": s["df_within"], "p": s["p"]})
 
 
@@ -202,7 +215,7 @@ def independent_t_columns(df: DataFrame, first: str, second: str, **options) ->
 
 def one_way_anova(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
     """F test over the levels of `group`, with eta squared."""
-    s = f_from_groups(group_table(df, value, group))
+    s = f_of_groups(df, value, group)
     s["groups"] = int(s["df_between"] + 1)
     total = s["ss_between"] + s["ss_within"]
     s["eta_sq"] = s["ss_between"] / total if total > 0 else math.nan
@@ -304,21 +317,31 @@ def _crosstab(df: DataFrame, a: str, b: str, max_levels: int) -> tuple[list, lis
     return la, lb, table
 
 
-def chi_square(df: DataFrame, a: str, b: str, *, correction: bool = True, alpha: float = 0.05, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Independence of two categorical columns, with continuity correction for 2 x 2."""
-    la, lb, obs = _crosstab(df, a, b, max_levels)
-    n = obs.sum()
-    expected = np.outer(obs.sum(1), obs.sum(0)) / n
-    dof = (len(la) - 1) * (len(lb) - 1)
-    gap = np.abs(obs - expected)
+def chi_square(df: DataFrame, a: str, b: str, *, correction: bool = True, alpha: float = 0.05) -> DataFrame:
+    """Independence of two categorical columns, with continuity correction for 2 x 2.
+
+    Works on the cells that occur: the others add their expected counts, which
+    are what the occurring cells leave of all rows.
+    """
+    cells = durable(df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).alias("o")))
+    rows = cells.groupBy("a").agg(F.sum("o").alias("r"))
+    cols = cells.groupBy("b").agg(F.sum("o").alias("c"))
+    la, lb, n = rows.count(), cols.count(), cells.agg(F.sum("o")).first()[0] or 0
+    dof, small = (la - 1) * (lb - 1), min(la, lb) - 1
     if dof == 1 and correction:
+        _, _, obs = _crosstab(df, a, b, 2)
+        expected = np.outer(obs.sum(1), obs.sum(0)) / n
+        gap = np.abs(obs - expected)
         gap = gap - np.minimum(0.5, gap)
-    chi = float((gap**2 / expected).sum())
-    plain = float(((obs - expected) ** 2 / expected).sum())
-    small = min(len(la), len(lb)) - 1
-    v = math.sqrt(plain / (n * small)) if small > 0 else math.nan
-    if dof == 1 and correction:
+        chi = float((gap**2 / expected).sum())
         v = math.sqrt(chi / n)
+    elif n:
+        e = F.col("r") * F.col("c") / F.lit(float(n))
+        met = cells.join(rows, "a").join(cols, "b").agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("x"), F.sum(e).alias("e")).first()
+        chi = met["x"] + max(0.0, n - met["e"])
+        v = math.sqrt(chi / (n * small)) if small > 0 else math.nan
+    else:
+        chi = v = math.nan
     out = one_row(df, {"n": int(n), "chi2": chi, "df": dof, "p": dist.chi2_sf(chi, dof), "cramers_v": v})
     return out.withColumn("decision", significance_label(F.col("p"), alpha))
 

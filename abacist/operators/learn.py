@@ -36,7 +36,7 @@ from abacist.functions import dist
 from abacist.functions.columns import columns_of
 from abacist.operators.evaluate import auc, classification_metrics, log_loss, regression_metrics
 from abacist.operators.frequency import levels
-from abacist.operators.hypothesis import f_from_groups, group_table
+from abacist.operators.hypothesis import f_of_groups
 from abacist.operators.split import fold_column, key_hash, train_test_split
 from abacist.plans.moments import moments
 from abacist.plans.ordering import with_row_index
@@ -456,7 +456,7 @@ def univariate_scores(df: DataFrame, target: str, features: Sequence[str], task:
     rows = []
     if task == "classification":
         for c in features:
-            s = f_from_groups(group_table(df, c, target))
+            s = f_of_groups(df, c, target)
             rows.append((c, float(s["f"]), float(s["p"])))
     else:
         m = moments(df, [*features, target])

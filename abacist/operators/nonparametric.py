@@ -154,20 +154,20 @@ def jarque_bera(df: DataFrame, column: str) -> DataFrame:
     return one_row(df, {"n": s["n"], "jb": jb, "p": dist.chi2_sf(jb, 2)})
 
 
-def shapiro_wilk(df: DataFrame, column: str, key: str | None = None) -> DataFrame:
+def shapiro_wilk(df: DataFrame, column: str, key: str | None = None, sample: int | None = None) -> DataFrame:
     """W and p by Royston's 1995 approximation.
 
-    The method is defined up to 5000 rows; with `key`, larger inputs use the
-    5000 rows whose key hashes come first, without it they are refused.
+    The method is defined up to 5000 rows, and larger inputs are refused.  To
+    test a sample, name its size and a key: the `sample` rows whose key hashes
+    come first count, whatever the size of the input.
     """
     v = clean_double(column)
     data = df.filter(v.isNotNull())
+    if sample is not None:
+        data = data.orderBy(F.xxhash64(key), key).limit(sample)
     n = data.count()
     if n > SHAPIRO_ROWS:
-        if key is None:
-            raise ValueError("over 5000 rows: use ks_normal, or pass key= for a hash sample")
-        data = data.orderBy(F.xxhash64(key), key).limit(SHAPIRO_ROWS)
-        n = SHAPIRO_ROWS
+        raise ValueError("over 5000 rows: use ks_normal, or name a sample size and a key")
     if n < 3:
         return one_row(df, {"n": n, "w": math.nan, "p": math.nan})
     # At most 5000 rows in this window.
@@ -226,14 +226,10 @@ def _shapiro_p(w: float, n: int) -> float:
     return dist.norm_sf((y - mu) / sd)
 
 
-def normality(df: DataFrame, column: str) -> DataFrame:
-    """Shapiro-Wilk up to 5000 values, Kolmogorov distance over all rows beyond."""
-    n = df.agg(F.count(clean_double(column))).first()[0]
-    if n <= SHAPIRO_ROWS:
-        out, test, stat = shapiro_wilk(df, column), "shapiro", "w"
-    else:
-        out, test, stat = ks_normal(df, column), "ks", "d"
-    return out.select(F.lit(test).alias("test"), "n", F.col(stat).alias("statistic"), "p", (F.col("p") > 0.05).alias("is_normal"))
+def normality(df: DataFrame, column: str, method: str = "ks") -> DataFrame:
+    """The named test over all rows: `ks` (Kolmogorov distance) or `shapiro` (up to 5000 rows by its definition)."""
+    out, stat = {"ks": (ks_normal, "d"), "shapiro": (shapiro_wilk, "w")}[method]
+    return out(df, column).select(F.lit(method).alias("test"), "n", F.col(stat).alias("statistic"), "p", (F.col("p") > 0.05).alias("is_normal"))
 
 
 def qq_points(df: DataFrame, column: str, points: int = 200) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abacist.functions.columns import nan_to_null
 from abacist.plans.ordering import carried, windowed, with_row_index
 
 _IX = "_ix"
@@ -15,7 +16,7 @@ _IX = "_ix"
 def _indexed(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str]) -> DataFrame:
     if not order_by:
         raise ValueError("order_by is required: Spark rows have no order of their own")
-    return with_row_index(df, [*partition_by, *order_by], _IX)
+    return with_row_index(nan_to_null(df), [*partition_by, *order_by], _IX)
 
 
 def difference(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abacist.operators.frequency import levels
 from abacist.plans.quantiles import exact_quantiles
+from abacist.plans.skew import skew_join
 
 BUCKETS = 1 << 16
 
@@ -20,7 +20,7 @@ def fold_column(key: str, folds: int, seed: int = 42) -> Column:
 
 
 def train_test_split(
-    df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42, stratify: str | None = None, max_levels: int = 10_000
+    df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42, stratify: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Exact shares, overall or per level of `stratify`, by smallest key hash.
 
@@ -28,8 +28,6 @@ def train_test_split(
     cut falls has to be ordered (about 1/65536 of that level's rows).
     """
     level = F.col(stratify) if stratify else F.lit(0)
-    if stratify:
-        levels(df, stratify, max_levels)
     tagged = df.withColumns({"_level": level, "_hash": key_hash(key, seed)}).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)))
     counts = tagged.groupBy("_level", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most 65536 rows per level.
@@ -42,8 +40,8 @@ def train_test_split(
         .filter((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
         .select(F.col("_level").alias("_cl"), F.col("_bucket").alias("_cut"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_take"))
     )
-    # One row per level, at most `max_levels`.
-    joined = tagged.join(F.broadcast(cuts), F.col("_level").eqNullSafe(F.col("_cl")), "left")
+    cuts = cuts.withColumnRenamed("_cl", "_level")
+    joined = skew_join(tagged, cuts, ["_level"], "left", null_safe=True) if stratify else tagged.join(F.broadcast(cuts), "_level", "left")
     clear = joined.filter(F.col("_cut").isNull() | (F.col("_bucket") != F.col("_cut")))
     clear = clear.withColumn("_train", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False)))
     edge = joined.filter(F.col("_bucket") == F.col("_cut"))

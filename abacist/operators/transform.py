@@ -12,10 +12,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abacist.functions.columns import columns_of, log_offset, powers, product, sqrt_of
+from abacist.functions.columns import columns_of, log_offset, nan_to_null, powers, product, sqrt_of
 from abacist.operators.describe import modes
 from abacist.operators.frequency import MAX_LEVELS, levels
 from abacist.operators.ordered import backward_fill, difference, forward_fill, interpolate
+from abacist.plans.ordering import with_row_index
 from abacist.plans.quantiles import clean_double, complete_rows, exact_quantiles
 from abacist.plans.skew import skew_join
 
@@ -67,15 +68,13 @@ def one_hot(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS)
     return df.withColumns(out).drop(*columns)
 
 
-def label_encode(df: DataFrame, columns: Sequence[str], max_levels: int = 100_000) -> DataFrame:
+def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """0-based codes in lexicographic order; missing counts as the text `nan`."""
+    df = nan_to_null(df, columns)
     for c in columns:
-        text = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        data = df.withColumn(c, text)
-        names = levels(data, c, max_levels)
-        codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(names)], f"`{c}` string, _code int")
-        # At most `max_levels` rows, checked by `levels`.
-        df = data.join(F.broadcast(codes), c, "left").withColumn(c, F.col("_code")).drop("_code").select(*df.columns)
+        data = df.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+        codes = with_row_index(data.select(c).distinct(), [c], "_code")
+        df = skew_join(data, codes, [c], "left").withColumn(c, F.col("_code").cast("int")).select(*df.columns)
     return df
 
 
@@ -105,6 +104,7 @@ def impute(
     value=None,
 ) -> DataFrame:
     """Fill missing values: mean, median, mode, constant, forward, backward, interpolate or drop."""
+    df = nan_to_null(df, columns)
     if strategy == "drop":
         return complete_rows(df, columns)
     if strategy in ("forward", "backward", "interpolate"):
@@ -119,9 +119,11 @@ def impute(
     elif strategy == "median":
         fill = {c: q[0] for c, q in exact_quantiles(df, numeric, (0.5,)).items()} if numeric else {}
     elif strategy == "mode":
-        text = [c for c in columns if c not in numeric]
-        fill = {r["column"]: r["mode"] for r in modes(df, numeric).collect()} if numeric else {}
-        fill |= {r["column"]: r["mode"] for r in modes(df, text, "string").collect()} if text else {}
+        # Numbers are compared in their own type, everything else as text.
+        types = {c: df.schema[c].dataType.simpleString() if c in numeric else "string" for c in columns}
+        fill = {}
+        for kind in sorted(set(types.values())):
+            fill |= {r["column"]: r["mode"] for r in modes(df, [c for c in columns if types[c] == kind], kind).collect()}
     else:
         raise ValueError(f"unknown imputation strategy: {strategy}")
     types = {f.name: f.dataType for f in df.schema.fields}

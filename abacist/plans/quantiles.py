@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from abacist.functions.columns import missing
 from abacist.plans.ordering import with_running_totals
 from abacist.plans.skew import skew_join
 
@@ -30,13 +31,13 @@ GROUPED_DIRECT_ROWS = 2_000_000
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows without NULL in the columns.
+    """Rows without NULL or NaN in the columns.
 
     One predicate per column: `dropna` makes a single predicate over all of
     them, whose rewriting through later aliases grows exponentially in the
     optimizer once there are dozens of columns.
     """
-    present = [F.col(f"`{c}`").isNotNull() for c in (columns if columns is not None else df.columns)]
+    present = [~missing(df, c) for c in (columns if columns is not None else df.columns)]
     return df.filter(reduce(lambda a, b: a & b, present)) if present else df
 
 

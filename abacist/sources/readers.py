@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from abacist.functions.columns import column_types, nan_to_null
+from abacist.functions.columns import column_types, missing, nan_to_null
 
 DELIMITERS = (",", "\t", ";", "|")
 
@@ -126,7 +126,7 @@ def upload_summary(df: DataFrame) -> DataFrame:
     """One row per column: type, kind, rows and missing values."""
     kinds = column_types(df)
     summed = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(df.columns)]
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(missing(df, c)).alias(f"_m{i}") for i, c in enumerate(df.columns)]
     )
     entries = [
         F.struct(
