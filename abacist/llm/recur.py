@@ -27,7 +27,7 @@ FLUSH_BYTES = 24 << 20
 PART_BYTES = 24 << 20
 #: Bytes of text in one compressed block.
 BLOCK_BYTES = 1 << 20
-BUCKETS_PER_PART = 4
+BUCKETS_PER_PART = 2
 PACKED = "bucket int, kind int, n int, f0 binary, f1 binary, f2 binary, f3 binary, f4 binary"
 FIELDS = ["bucket", "kind", "n", "f0", "f1", "f2", "f3", "f4"]
 
@@ -118,7 +118,7 @@ def _triggers(unit: Unit, buckets: int):
         for bucket, s in by_bucket(b, buckets):
             yield packed(bucket, 0, s.stop - s.start, planes(t[s]), planes(i[s]), m[s].tobytes())
 
-    def run(batches):
+    def triggers(batches):
         held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -139,7 +139,7 @@ def _triggers(unit: Unit, buckets: int):
         if held:
             yield from flush(*map(np.concatenate, zip(*held)))
 
-    return run
+    return triggers
 
 
 def send_pairs(trigger, ids, buckets):
@@ -166,7 +166,7 @@ def buckets_of(batches):
 
 
 def _recurring(buckets: int):
-    def run(batches):
+    def recurring_triggers(batches):
         out = []
         for bucket, rows in buckets_of(batches):
             seen = [r for r in rows if r["kind"] == 0]
@@ -189,13 +189,13 @@ def _recurring(buckets: int):
         if out:
             yield from send_pairs(*map(np.concatenate, zip(*out)), buckets)
 
-    return run
+    return recurring_triggers
 
 
 def _blocks(buckets: int):
     """Texts in compressed blocks, packed by document."""
 
-    def run(batches):
+    def text_blocks(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = raw(batch.column(1))
@@ -209,7 +209,7 @@ def _blocks(buckets: int):
                         text = b"".join(data[offsets[k] : offsets[k + 1]].tobytes() for k in own[x:y])
                         yield packed(bucket, 9, y - x, planes(ids[own[x:y]]), planes(size[x:y]), pa.compress(text, "zstd", asbytes=True), len(text).to_bytes(8, "little"))
 
-    return run
+    return text_blocks
 
 
 def texts_of(rows):
@@ -243,7 +243,7 @@ def _candidates(unit: Unit, buckets: int):
             k = keep[s]
             yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.concatenate([count[k], sizes[k]])), b"".join(bodies[x] for x in k))
 
-    def run(batches):
+    def candidate_phrases(batches):
         held, size = [], 0
         for _, rows in buckets_of(batches):
             pairs = [r for r in rows if r["kind"] == 1]
@@ -268,7 +268,7 @@ def _candidates(unit: Unit, buckets: int):
         if held:
             yield from flush(*_joined(held))
 
-    return run
+    return candidate_phrases
 
 
 def _joined(held):
@@ -300,7 +300,7 @@ def _first_of_equal(unit: Unit, trigger, ids, start, bodies) -> np.ndarray:
 
 
 def _decided(judge: Callable, unit: Unit, buckets: int):
-    def run(batches):
+    def repeated_windows(batches):
         found: list = []
         for bucket, rows in buckets_of(batches):
             for r in rows:
@@ -330,11 +330,11 @@ def _decided(judge: Callable, unit: Unit, buckets: int):
         if found:
             yield from send_spans(*map(np.concatenate, zip(*found)), buckets)
 
-    return run
+    return repeated_windows
 
 
 def _finished(finish: Callable, unit: Unit, names: list[str]):
-    def run(batches):
+    def kept_text(batches):
         for _, rows in buckets_of(batches):
             spans = [r for r in rows if r["kind"] == 3]
             empty = np.zeros(0, np.int64)
@@ -353,7 +353,7 @@ def _finished(finish: Callable, unit: Unit, names: list[str]):
                 removed = np.cumsum(change[:-1]) > 0
                 yield pa.RecordBatch.from_arrays([pa.array(own), *finish(data, offsets, first, lo, hi, removed)], names=names)
 
-    return run
+    return kept_text
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, judge: Callable, finish: Callable, schema: str) -> DataFrame:
