@@ -56,6 +56,19 @@ def flat(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
+def short(trigger: np.ndarray) -> bytes:
+    """The low 40 bits of triggers; the bucket holds some of the others."""
+    return planes(trigger)[: 5 * len(trigger)]
+
+
+def long(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    return flat(data + bytes(3 * n), np.uint64)
+
+
+LOW = np.uint64((1 << 40) - 1)
+
+
 def packed(bucket, kind, n, *fields) -> pa.RecordBatch:
     cells = [*fields, *[b""] * (5 - len(fields))]
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([n], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], names=FIELDS)
@@ -116,7 +129,7 @@ def _triggers(unit: Unit, buckets: int):
         order = np.argsort(b, kind="stable")
         t, i, m, b = trigger[first][order], ids[first][order], (count > 1)[order], b[order]
         for bucket, s in by_bucket(b, buckets):
-            yield packed(bucket, 0, s.stop - s.start, planes(t[s]), planes(i[s]), m[s].tobytes())
+            yield packed(bucket, 0, s.stop - s.start, short(t[s]), planes(i[s]), m[s].tobytes())
 
     def triggers(batches):
         held, size = [], 0
@@ -148,7 +161,7 @@ def send_pairs(trigger, ids, buckets):
     order = np.lexsort((trigger, ids, b))
     trigger, ids, b = trigger[order], ids[order], b[order]
     for bucket, s in by_bucket(b, buckets):
-        yield packed(bucket, 1, s.stop - s.start, planes(trigger[s]), planes(ids[s]))
+        yield packed(bucket, 1, s.stop - s.start, short(trigger[s]), planes(ids[s]))
 
 
 def buckets_of(batches):
@@ -175,7 +188,7 @@ def _recurring(buckets: int):
                     yield packed(bucket, 1, r["n"], r["f0"], r["f1"])
             if not seen:
                 continue
-            trigger = np.concatenate([flat(r["f0"], np.uint64) for r in seen])
+            trigger = np.concatenate([long(r["f0"]) for r in seen])
             ids = np.concatenate([flat(r["f1"], np.int64) for r in seen])
             many = np.concatenate([np.frombuffer(r["f2"], bool) for r in seen])
             order = np.argsort(trigger, kind="stable")
@@ -241,19 +254,19 @@ def _candidates(unit: Unit, buckets: int):
         keep = keep[np.lexsort((trigger[keep], b))]
         for bucket, s in by_bucket(_trigger_bucket(trigger[keep], buckets), buckets):
             k = keep[s]
-            yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.concatenate([count[k], sizes[k]])), b"".join(bodies[x] for x in k))
+            yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.concatenate([count[k], sizes[k]])), pa.compress(b"".join(bodies[x] for x in k), "zstd", asbytes=True))
 
     def candidate_phrases(batches):
         held, size = [], 0
         for _, rows in buckets_of(batches):
             pairs = [r for r in rows if r["kind"] == 1]
-            trigger = np.concatenate([flat(r["f0"], np.uint64) for r in pairs]) if pairs else np.zeros(0, np.uint64)
+            trigger = np.concatenate([long(r["f0"]) for r in pairs]) if pairs else np.zeros(0, np.uint64)
             owner = np.concatenate([flat(r["f1"], np.int64) for r in pairs]) if pairs else np.zeros(0, np.int64)
             wanted = np.unique(mix(trigger ^ mix(owner.view(np.uint64))))
             for ids, data, offsets in texts_of(rows):
                 values, row, begin, end = unit.parse(data, offsets)
                 owner, start, count, trigger = phrases(unit, values, row, len(ids))
-                hit = np.isin(mix(trigger ^ mix(ids[owner].view(np.uint64))), wanted)
+                hit = np.isin(mix((trigger & LOW) ^ mix(ids[owner].view(np.uint64))), wanted)
                 owner, start, count, trigger = owner[hit], start[hit], count[hit], trigger[hit]
                 if not len(owner):
                     continue
@@ -314,7 +327,8 @@ def _decided(judge: Callable, unit: Unit, buckets: int):
             start = np.concatenate([flat(r["f2"], np.int64) for r in sent])
             pair = np.concatenate([flat(r["f3"], np.int64).reshape(2, -1) for r in sent], axis=1)
             count, size = pair
-            data = b"".join(r["f4"] for r in sent)
+            each = [int(p.sum()) for p in (flat(r["f3"], np.int64).reshape(2, -1)[1] for r in sent)]
+            data = b"".join(pa.decompress(r["f4"], n, "zstd", asbytes=True) for r, n in zip(sent, each))
             ends = np.cumsum(size)
             order = np.lexsort((start, ids, trigger))
             # Whole groups of one trigger, in portions of bounded size.

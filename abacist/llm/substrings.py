@@ -39,6 +39,13 @@ def ranks(data: np.ndarray, length: int) -> np.ndarray:
 
 def _judge(length: int):
     def run(trigger, ids, start, count, bodies):
+        # A phrase alone under its trigger has no equal strings elsewhere.
+        group = np.cumsum(np.append(True, trigger[1:] != trigger[:-1])) if len(trigger) else np.zeros(0, np.int64)
+        many = np.bincount(group, minlength=1)[group] > 1
+        ids, start, count = ids[many], start[many], count[many]
+        bodies = [b for b, m in zip(bodies, many.tolist()) if m]
+        if not bodies:
+            return ids, start, start
         # The dictionary is the phrases one after another, each with the bytes its last window needs.
         data = np.frombuffer(b"".join(bodies), np.uint8)
         size = np.array([len(b) for b in bodies])
