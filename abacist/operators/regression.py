@@ -305,13 +305,13 @@ def _linear(beta: np.ndarray, x: Sequence[Column]) -> Column:
 
 
 def quantile_regression(
-    df: DataFrame, target: str, features: Sequence[str], quantile: float = 0.5, max_iter: int = 200, tol: float = 1e-7
+    df: DataFrame, target: str, features: Sequence[str], quantile: float = 0.5, max_iter: int = 200, tol: float = 1e-5
 ) -> IterativeFit:
     """Check-loss minimum by Newton steps on a smoothed loss whose width shrinks.
 
     Residuals within the width count in proportion; one aggregate per step
     gives gradient, curvature and loss.  A step that does not lower the loss is
-    halved.  The width shrinks fourfold when the gradient is settled, down to
+    halved.  The width shrinks sixfold when the gradient is settled, down to
     `tol` of the residual spread; `converged` tells whether it got there.
     """
     data, x, y = _design(df, target, features)
@@ -340,7 +340,7 @@ def quantile_regression(
                 ridge = 1e-10 * np.diag(np.maximum(np.diag(curve), 1e-12 * scale / h))
                 move = np.linalg.lstsq(curve + ridge, slope, rcond=None)[0]
                 better = False
-                for _ in range(30):
+                for _ in range(8):
                     tried = state(beta + move, h)
                     steps += 1
                     if tried[0] < loss:
@@ -351,10 +351,10 @@ def quantile_regression(
                     break
                 gain, beta = loss - tried[0], beta + move
                 loss, slope, curve, scale = tried
-                if gain <= 1e-13 * abs(loss):
+                if gain <= 1e-11 * abs(loss):
                     break
             converged = h <= tol * spread
-            h /= 4
+            h /= 6
         e = y - _linear(beta, x)
         base = exact_quantiles(data, [target], (quantile,))[target][0]
         check = lambda r: F.sum(F.when(r < 0, (quantile - 1) * r).otherwise(quantile * r))
