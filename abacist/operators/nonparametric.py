@@ -18,6 +18,7 @@ from abacist.operators.frequency import levels
 from abacist.operators.hypothesis import _wide_levels, one_row
 from abacist.plans.quantiles import clean_double
 from abacist.plans.ranks import value_ranks
+from abacist.plans.session import durable
 
 SHAPIRO_ROWS = 5000
 
@@ -64,24 +65,21 @@ def wilcoxon(df: DataFrame, before: str, after: str) -> DataFrame:
     return one_row(df, {"n": int(n), "w_plus": float(r["plus"]), "w_minus": float(r["minus"]), "z": z, "p": dist.norm_two_sided(z)})
 
 
-def kruskal_wallis(df: DataFrame, value: str, group: str, max_levels: int = 100) -> DataFrame:
-    """Rank test over several groups, corrected for ties."""
+def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Rank test over any number of groups, corrected for ties; NULL when all values are tied."""
     data = df.select(F.col(group).alias("g"), clean_double(value).alias("x")).dropna()
-    names = levels(data, "g", max_levels)
-    values = data.groupBy("x").agg(
-        *[F.count_if(F.col("g") == F.lit(v)).alias(f"n{i}") for i, v in enumerate(names)], F.count(F.lit(1)).alias("w")
-    )
-    r = value_ranks(values, "x", "w").agg(
-        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))],
-        *[F.sum(F.col(f"n{i}") * F.col("avg_rank")).alias(f"r{i}") for i in range(len(names))],
-        F.sum("w").alias("n"),
-        _tie_sum("w").alias("ties"),
-    ).first()
-    n, k = r["n"], len(names)
+    cells = durable(data.groupBy("x", "g").agg(F.count(F.lit(1)).alias("n")))
+    ranks = durable(value_ranks(cells.groupBy("x").agg(F.sum("n").alias("w")), "x", "w").select("x", "w", "avg_rank"))
+    groups = durable(cells.join(ranks, "x").groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("r")))
+    t = ranks.agg(F.sum("w").alias("n"), _tie_sum("w").alias("ties")).first()
+    n = t["n"] or 0
     middle = (n + 1) / 2
-    h = 12 / (n * (n + 1)) * sum(r[f"n{i}"] * (r[f"r{i}"] / r[f"n{i}"] - middle) ** 2 for i in range(k))
-    h /= 1 - r["ties"] / (n**3 - n)
-    return one_row(df, {"n": int(n), "groups": k, "h": h, "df": k - 1, "p": dist.chi2_sf(h, k - 1), "eps_sq": h / (n - 1)})
+    gap = F.col("r") / F.col("n") - F.lit(middle)
+    s = groups.agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * gap * gap).alias("b")).first()
+    k, free = s["k"], n**3 - n - (t["ties"] or 0)
+    h = 12 / (n * (n + 1)) * s["b"] * (n**3 - n) / free if n > 1 and free > 0 else math.nan
+    p = dist.chi2_sf(h, k - 1) if k > 1 and not math.isnan(h) else math.nan
+    return one_row(df, {"n": int(n), "groups": k, "h": h, "df": k - 1, "p": p, "eps_sq": h / (n - 1) if n > 1 else math.nan})
 
 
 def friedman(df: DataFrame, subject: str, within: str, value: str) -> DataFrame:
@@ -99,8 +97,12 @@ def friedman(df: DataFrame, subject: str, within: str, value: str) -> DataFrame:
     )
     r = wide.agg(*[F.sum(rank(c)).alias(c) for c in cols], F.sum(cube).alias("_t"), F.count(F.lit(1)).alias("_n")).first()
     n = r["_n"]
+    free = n * k * (k * k - 1) - (r["_t"] or 0)
+    if not n or k < 2 or free <= 0:
+        # No subjects, or every subject ties all levels.
+        return one_row(df, {"subjects": int(n), "levels": k, "chi2": math.nan, "df": k - 1, "p": math.nan, "kendall_w": math.nan})
     stat = 12 / (n * k * (k + 1)) * sum(r[c] ** 2 for c in cols) - 3 * n * (k + 1)
-    stat /= 1 - r["_t"] / (n * k * (k * k - 1))
+    stat *= n * k * (k * k - 1) / free
     return one_row(df, {"subjects": int(n), "levels": k, "chi2": stat, "df": k - 1, "p": dist.chi2_sf(stat, k - 1), "kendall_w": stat / (n * (k - 1))})
 
 

@@ -189,6 +189,8 @@ def kpss(df: DataFrame, value: str, order_by: Sequence[str], lags: int | None =
     run = with_running_totals(indexed.withColumn("d", F.col("v") - F.lit(c.mean)), ["t"], {"s": "d"})
     eta = run.agg(F.sum(F.col("s") * F.col("s")).alias("e")).first()["e"] / n**2
     variance = (c.sums[0] + 2 * sum((1 - k / (lags + 1)) * c.sums[k] for k in range(1, lags + 1))) / n
+    if not variance:
+        return one_row(df, {"statistic": math.nan, "p": math.nan, "lags": lags}).withColumn("stationary", F.lit(None).cast("boolean"))
     stat = eta / variance
     # Published critical values for level stationarity.
     p = float(np.interp(stat, (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)))
