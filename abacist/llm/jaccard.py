@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.llm.common import LOWER, lists, mix, raw, slices, small, span_hashes, window_hashes, word_spans, written
-from abacist.llm.recur import PACKED, buckets_of, by_bucket, flat, packed, planes
+from abacist.llm.recur import LOW, PACKED, bucket_by_high_bits, buckets_of, by_bucket, flat, long, packed, planes, short
 from abacist.plans.components import connected_components
 
 #: Bits of a document's signature.
@@ -140,13 +140,14 @@ def _packing(buckets: int):
         shared = np.flatnonzero(many)
         for s in range(0, len(shared), 1 << 16):
             k = shared[s : s + (1 << 16)]
-            yield packed(int(token[k[0]] % np.uint64(buckets)), 1, len(k), planes(token[k]), planes(ids[k]))
+            name = (token[k] & LOW) | (bucket_by_high_bits(token[k], buckets).astype(np.uint64) << np.uint64(40))
+            yield packed(int(bucket_by_high_bits(token[k[:1]], buckets)[0]), 1, len(k), planes(name), planes(ids[k]))
         t, i, m = token[first], ids[first], count > 1
-        b = (t % np.uint64(buckets)).astype(np.int32)
+        b = bucket_by_high_bits(t, buckets)
         order = np.argsort(b, kind="stable")
         t, i, m = t[order], i[order], m[order]
         for bucket, s in by_bucket(b[order], buckets):
-            yield packed(bucket, 0, s.stop - s.start, planes(t[s]), planes(i[s]), m[s].tobytes())
+            yield packed(bucket, 0, s.stop - s.start, short(t[s]), planes(i[s]), m[s].tobytes())
 
     def run(batches):
         held, size = [], 0
@@ -165,15 +166,16 @@ def _packing(buckets: int):
 
 
 def _sharing(batches):
-    """(token, id) of all tokens that more than one set has."""
-    for _, rows in buckets_of(batches):
+    """(token, id) of all tokens that more than one set has.  A token is now 40 of its bits and its bucket."""
+    for bucket, rows in buckets_of(batches):
         for r in rows:
             if r["kind"] == 1:
                 yield pa.RecordBatch.from_arrays([pa.array(flat(r["f0"], np.int64)), pa.array(flat(r["f1"], np.int64))], names=["token", "id"])
         seen = [r for r in rows if r["kind"] == 0]
         if not seen:
             continue
-        token, ids = (np.concatenate([flat(r[f], np.int64) for r in seen]) for f in ("f0", "f1"))
+        token = np.concatenate([long(r["f0"]) for r in seen]).view(np.int64) | (bucket << 40)
+        ids = np.concatenate([flat(r["f1"], np.int64) for r in seen])
         many = np.concatenate([np.frombuffer(r["f2"], bool) for r in seen])
         order = np.argsort(token, kind="stable")
         token, ids, many = token[order], ids[order], many[order]

@@ -103,7 +103,7 @@ def by_bucket(buckets: np.ndarray, count: int):
         yield int(b), slice(edges[b], edges[b + 1])
 
 
-def _trigger_bucket(trigger, count):
+def bucket_by_high_bits(trigger, count):
     return ((trigger >> np.uint64(40)) % np.uint64(count)).astype(np.int32)
 
 
@@ -125,7 +125,7 @@ def _triggers(unit: Unit, buckets: int):
         many = np.repeat(count > 1, count)
         # Triggers that occur again right here are known to recur; one row of them tells the others.
         yield from send_pairs(trigger[many], ids[many], buckets)
-        b = _trigger_bucket(trigger[first], buckets)
+        b = bucket_by_high_bits(trigger[first], buckets)
         order = np.argsort(b, kind="stable")
         t, i, m, b = trigger[first][order], ids[first][order], (count > 1)[order], b[order]
         for bucket, s in by_bucket(b, buckets):
@@ -250,9 +250,9 @@ def _candidates(unit: Unit, buckets: int):
             later[k] = (ids[h] < ids[k] or (unit.own and start[h] < start[k])) and bodies[k] == bodies[h]
         yield from send_spans(ids[later], start[later], start[later] + count[later], buckets)
         keep = np.flatnonzero(~later)
-        b = _trigger_bucket(trigger[keep], buckets)
+        b = bucket_by_high_bits(trigger[keep], buckets)
         keep = keep[np.lexsort((trigger[keep], b))]
-        for bucket, s in by_bucket(_trigger_bucket(trigger[keep], buckets), buckets):
+        for bucket, s in by_bucket(bucket_by_high_bits(trigger[keep], buckets), buckets):
             k = keep[s]
             yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.concatenate([count[k], sizes[k]])), pa.compress(b"".join(bodies[x] for x in k), "zstd", asbytes=True))
 
