@@ -13,7 +13,7 @@ from abacist.llm.common import LOWER, lists, mix, raw, slices, small, span_hashe
 from abacist.llm.recur import LOW, PACKED, bucket_by_high_bits, buckets_of, by_bucket, flat, long, packed, planes, short
 from abacist.plans.components import connected_components
 
-#: Bits of a document's signature.
+#: Bits of a document's signature: parities of the elements that hash to them.
 BITS = 512
 #: Rows of a tile that meet in one block; larger tiles are cut in blocks, and every two blocks meet.
 BLOCK_ROWS = 4096
@@ -103,8 +103,9 @@ def _signing(rule: Rule):
             for i, j in slices(offsets):
                 found, size = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 rows = j - i
-                bits = np.zeros((rows, BITS), bool)
-                bits[np.repeat(np.arange(rows), size), (found & np.uint64(BITS - 1)).astype(np.int64)] = True
+                # Parities: what two sets share cancels out, so the bits that differ count their difference only.
+                place = np.repeat(np.arange(rows), size) * BITS + (found & np.uint64(BITS - 1)).astype(np.int64)
+                bits = (np.bincount(place, minlength=rows * BITS) & 1).astype(bool).reshape(rows, BITS)
                 ends = np.concatenate([[0], np.cumsum(size)])
                 marks = []
                 for seed in (1, 2):
@@ -198,7 +199,7 @@ def _full_sets(words: int):
 
 
 def _possible(rule: Rule, n, m, a, b):
-    """Whether bit counts and sizes leave room for a link; a and b are packed signatures."""
+    """Whether bit counts and sizes leave room for a link; two sets differ in at least as many elements as bits."""
     differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     most = np.minimum((n + m - differ) // 2, np.minimum(n, m))
     return (100 + rule.percent) * most >= rule.percent * (n + m)
