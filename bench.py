@@ -24,6 +24,7 @@ HEADLINE = (
     "normalize_zscore", "bin_quantile", "row_index", "rolling", "forward_fill", "merge_nation_region",
     "t_independent_pooled", "levene", "anova_one_way", "chi_square", "mann_whitney", "chart_heatmap", "correlation_spearman",
     "ols_multiple", "durbin_watson", "pca_variance", "acf", "auc", "regression_metrics",
+    "correlation_kendall", "knn_classify", "dbscan", "isolation_forest",
 )
 
 
