@@ -14,7 +14,7 @@ from abacist.llm.recur import LOW, PACKED, bucket_by_high_bits, buckets_of, by_b
 from abacist.plans.components import connected_components
 
 #: Bits of a document's signature: parities of the elements that hash to them.
-BITS = 512
+BITS = 1024
 #: Rows of a tile that meet in one block; larger tiles are cut in blocks, and every two blocks meet.
 BLOCK_ROWS = 4096
 #: Tile rows that a task holds packed at a time, and tokens for which one partition is meant.
@@ -260,11 +260,27 @@ def _meet(rule: Rule):
     return run
 
 
+def _bounded(rule: Rule):
+    """Pairs whose signatures leave room for a link; `same` where the marks say that the sets are equal."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, n, m, same = (batch.column(k) for k in range(5))
+            if not len(a):
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(a), -1) for k in (5, 6))
+            mask = pa.array(_possible(rule, n.to_numpy(), m.to_numpy(), x, y))
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), same.filter(mask)], names=["a", "b", "same"])
+
+    return run
+
+
 def _linked(rule: Rule, docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that do link: equal sets by their 128-bit marks, others by intersection of the whole sets."""
-    one = signed.select(F.col("id").alias("a"), F.struct("n", "mark1", "mark2").alias("x"))
-    two = signed.select(F.col("id").alias("b"), F.struct("n", "mark1", "mark2").alias("y"))
-    known = written(pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("x") == F.col("y")).alias("same")))
+    one = signed.select(F.col("id").alias("a"), F.struct("n", "mark1", "mark2").alias("x"), F.col("bits").alias("bits1"))
+    two = signed.select(F.col("id").alias("b"), F.struct("n", "mark1", "mark2").alias("y"), F.col("bits").alias("bits2"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x") == F.col("y")).alias("same"), "bits1", "bits2")
+    known = written(both.mapInArrow(_bounded(rule), "a long, b long, same boolean"))
     unsure = known.filter("NOT same").select("a", "b")
     wanted = written(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.join(small(wanted), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
@@ -312,7 +328,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(rows.mapInArrow(_signing(rule), "id long, n long, mark1 long, mark2 long, bits binary, tokens array<long>"))
-    known = signed.select("id", "n", "mark1", "mark2").filter("id IS NOT NULL AND n > 0").dropDuplicates(["id"])
+    known = signed.select("id", "n", "mark1", "mark2", "bits").filter("id IS NOT NULL AND n > 0").dropDuplicates(["id"])
 
     total = signed.agg(F.sum(F.size("tokens"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
