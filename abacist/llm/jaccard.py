@@ -112,6 +112,7 @@ def _signing(rule: Rule):
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(found + np.uint64(seed)))])
                     marks.append((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
                 names, count = tokens(rule, found, size)
+                wide = [_wide(found[s:e]) if e - s > BITS else b"" for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 signature = pa.py_buffer(np.packbits(bits, axis=1).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -120,9 +121,10 @@ def _signing(rule: Rule):
                         pa.array(marks[0]),
                         pa.array(marks[1]),
                         pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), rows, [None, signature]).cast(pa.binary()),
+                        pa.array(wide, pa.binary()),
                         lists(names.view(np.int64), count, pa.int64()),
                     ],
-                    names=["id", "n", "mark1", "mark2", "bits", "tokens"],
+                    names=["id", "n", "mark1", "mark2", "bits", "wide", "tokens"],
                 )
 
     return run
@@ -260,6 +262,18 @@ def _meet(rule: Rule):
     return run
 
 
+def _wide(members: np.ndarray) -> bytes:
+    """Signature of a large set: a power of two of at least as many bits as it has elements."""
+    bits = 1 << (len(members) - 1).bit_length()
+    return np.packbits(np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+
+
+def _folded(u: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two wide signatures at the shorter one's length: halves of parities add up to parities."""
+    size = min(len(u), len(v))
+    return tuple(np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0)[None] for x in (u, v))
+
+
 def _bounded(rule: Rule):
     """Pairs whose signatures leave room for a link; `same` where the marks say that the sets are equal."""
 
@@ -269,7 +283,12 @@ def _bounded(rule: Rule):
             if not len(a):
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(a), -1) for k in (5, 6))
-            mask = pa.array(_possible(rule, n.to_numpy(), m.to_numpy(), x, y))
+            room = _possible(rule, n.to_numpy(), m.to_numpy(), x, y)
+            for k in np.flatnonzero(room).tolist():
+                u, v = batch.column(7)[k].as_py(), batch.column(8)[k].as_py()
+                if u and v:
+                    room[k] = _possible(rule, n[k].as_py(), m[k].as_py(), *_folded(u, v))[0]
+            mask = pa.array(room)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), same.filter(mask)], names=["a", "b", "same"])
 
     return run
@@ -277,9 +296,9 @@ def _bounded(rule: Rule):
 
 def _linked(rule: Rule, docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that do link: equal sets by their 128-bit marks, others by intersection of the whole sets."""
-    one = signed.select(F.col("id").alias("a"), F.struct("n", "mark1", "mark2").alias("x"), F.col("bits").alias("bits1"))
-    two = signed.select(F.col("id").alias("b"), F.struct("n", "mark1", "mark2").alias("y"), F.col("bits").alias("bits2"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x") == F.col("y")).alias("same"), "bits1", "bits2")
+    one = signed.select(F.col("id").alias("a"), F.struct("n", "mark1", "mark2").alias("x"), F.col("bits").alias("bits1"), F.col("wide").alias("wide1"))
+    two = signed.select(F.col("id").alias("b"), F.struct("n", "mark1", "mark2").alias("y"), F.col("bits").alias("bits2"), F.col("wide").alias("wide2"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x") == F.col("y")).alias("same"), "bits1", "bits2", "wide1", "wide2")
     known = written(both.mapInArrow(_bounded(rule), "a long, b long, same boolean"))
     unsure = known.filter("NOT same").select("a", "b")
     wanted = written(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -327,8 +346,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(rows.mapInArrow(_signing(rule), "id long, n long, mark1 long, mark2 long, bits binary, tokens array<long>"))
-    known = signed.select("id", "n", "mark1", "mark2", "bits").filter("id IS NOT NULL AND n > 0").dropDuplicates(["id"])
+    signed = written(rows.mapInArrow(_signing(rule), "id long, n long, mark1 long, mark2 long, bits binary, wide binary, tokens array<long>"))
+    known = signed.select("id", "n", "mark1", "mark2", "bits", "wide").filter("id IS NOT NULL AND n > 0").dropDuplicates(["id"])
 
     total = signed.agg(F.sum(F.size("tokens"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
