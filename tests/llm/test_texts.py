@@ -161,6 +161,20 @@ def test_jaccard(docs, rows, rule, monkeypatch):
     assert len(set(want.values())) < len(ids) - 10
 
 
+def test_wide_signatures_never_rule_out_a_link():
+    import numpy as np
+
+    rng, rule = np.random.default_rng(6), jaccard.Rule(5, 80)
+    base = rng.integers(1, 1 << 62, 2100).astype(np.uint64)
+    for keep, new in ((2100, 0), (1900, 0), (2000, 40), (2100, 260), (2060, 150), (1200, 900)):
+        other = np.concatenate([base[:keep], rng.integers(1, 1 << 62, new).astype(np.uint64)])
+        room = jaccard._possible(rule, len(base), len(other), *jaccard._folded(jaccard._wide(base), jaccard._wide(other)))[0]
+        linked = 100 * keep >= rule.percent * (len(base) + len(other) - keep)
+        assert room or not linked
+        if keep == 1200:
+            assert not room
+
+
 def test_jaccard_of_nothing(spark, none):
     assert jaccard.jaccard_components(none).count() == 0
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, None)], "doc_id long, text string")
