@@ -49,6 +49,9 @@ NOT = frozenset("has with no without hide".split())
 APART_TAGS = frozenset("nav aside footer dialog menu".split())
 AROUND_TAGS = frozenset("header form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
+#: Elements that their end tag ends even from inside a block that they hold, and the borders of that.
+FORMATTING = frozenset("b big code em font i nobr s small strike strong tt u".split())
+SCOPE = frozenset("caption html td th table template object".split())
 
 #: Costs, in one unit: what a block pays for the label that its signs speak against.
 APART_COST, AROUND_COST, MAIN_COST, INSIDE_COST = 8.0, 6.0, 6.0, 1.5
@@ -66,12 +69,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "apart", "around", "main", "inside", "silent", "link", "number")
+    __slots__ = ("tag", "apart", "around", "main", "inside", "silent", "hides", "link", "number")
 
     def __init__(self, tag, up, attributes, number):
-        self.tag, self.number = tag, number
+        self.tag, self.number, self.hides = tag, number, tag in SILENT
         self.apart, self.around, self.main, self.inside = up.apart, up.around, up.main, up.inside
-        self.silent = up.silent or tag in SILENT
         self.link = up.link or tag == "a"
         apart, around, inside = tag in APART_TAGS, tag in AROUND_TAGS, False
         main = tag in MAIN_TAGS
@@ -81,9 +83,9 @@ class _Element:
             for name, a, b, c in _SIGNS.findall(attributes):
                 name, value = name.lower(), (a or b or c).lower()
                 if name == "style":
-                    self.silent = self.silent or bool(_HIDDEN.search(value))
+                    self.hides = self.hides or bool(_HIDDEN.search(value))
                 elif name in ("hidden", "aria-hidden"):
-                    self.silent = self.silent or (value != "false" and (name == "hidden" or value == "true"))
+                    self.hides = self.hides or (value != "false" and (name == "hidden" or value == "true"))
                 elif tag not in ("html", "body"):
                     parts = _PARTS.findall(value)
                     real = {p for k, p in enumerate(parts) if not k or parts[k - 1] not in NOT}
@@ -91,6 +93,7 @@ class _Element:
                     inside = inside or bool(real & INSIDE)
                     around = around or (bool(real & AROUND) and not main and not (up.main and "header" in real and not real & (AROUND - {"header"})))
                     main = main or (name == "role" and "main" in real) or "articlebody" in real
+        self.silent = up.silent or self.hides
         if main and not apart:
             # The article inside a wrapper is not what the wrapper's name says.
             self.main, self.around = True, False
@@ -136,6 +139,20 @@ def blocks(page: str):
             if stack[k].tag in border:
                 return
 
+    def end_inline(tag):
+        """Ends the innermost open element of that name; only formatting ends from inside a block."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == tag:
+                if any(e.tag in BLOCKS for e in stack[k + 1 :]):
+                    del stack[k]
+                    for up, e in zip(stack[k - 1 :], stack[k:]):
+                        e.silent = up.silent or e.hides
+                else:
+                    del stack[k:]
+                return
+            if stack[k].tag in (SCOPE if tag in FORMATTING else BLOCKS) or stack[k].tag in SILENT:
+                return
+
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -160,6 +177,8 @@ def blocks(page: str):
                             end()
                         del stack[k:]
                         break
+            else:
+                end_inline(tag)
             continue
         if tag in BLOCKS:
             end()
@@ -181,6 +200,9 @@ def blocks(page: str):
                         break
             number += 1
             stack.append(_Element(tag, stack[-1], attributes, number))
+        elif tag not in VOID and tag not in SILENT and any(e.tag == tag for e in stack):  # so that its end tag does not end the outer one
+            number += 1
+            stack.append(_Element(tag, stack[-1], "", number))
     end()
     return out
 

@@ -156,3 +156,15 @@ def test_extract(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
     assert got == {1: (html.main_text(PAGE), len(html.main_text(PAGE))), 2: ("", 0)}
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_hidden_inline_elements_end_with_their_tag():
+    rest = "two three four five six seven eight nine ten eleven twelve."
+    for mark in ('<i aria-hidden="true"></i>', '<span style="display:none">x</span>', "<span hidden>x<span>y</span>z</span>", '<b hidden><em class="none">x</em></b>', "<x-icon hidden>x</x-icon>"):
+        assert html.main_text(f"<p>one {mark} {rest}</p>").split() == ["one", *rest.split()], mark
+    whole = f"<article><span hidden>x</span><p>One {rest}</p><p>Again {rest}</p></article>"
+    assert html.main_text(whole) == f"One {rest} Again {rest}"
+    assert [b[0] for b in html.blocks("<p>a <span hidden>x <div>y</span> z</div> <p>b <i hidden>x</p><p>c</p>")] == ["a", "y z", "b", "c"]
+    assert [b[0] for b in html.blocks("<div><span hidden>x<div>y</span>z</div>w</span>v</div><div>u</div>")] == ["v", "u"]
+    assert [b[0] for b in html.blocks("<div><b hidden>x<div>y</b>z</div>w</div>")] == ["z", "w"]
+    assert [b[0] for b in html.blocks('<div><span class="none">a <span>b</span> c</span> d</div>')] == ["a b c d"]
