@@ -18,6 +18,10 @@ def _words(data, offsets):
     return span_hashes(data, start, end), row, start, end
 
 
+def _same(body: bytes) -> bytes:
+    return b" ".join(body.split())
+
+
 def _judge(window: int):
     def run(trigger, ids, start, count, bodies):
         import ahocorasick
@@ -79,5 +83,5 @@ def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     that repeat an id, windows at the same place count as one.  Other columns
     are ignored; an empty table gives an empty result.
     """
-    unit = Unit(_words, window, min(TRIGGER_WORDS, window), own=True)
+    unit = Unit(_words, window, min(TRIGGER_WORDS, window), own=True, same=_same)
     return repeats(docs, id_col, text_col, unit, _judge(window), _finish, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")

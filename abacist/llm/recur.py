@@ -6,12 +6,15 @@ equal triggers.  Consecutive windows with one trigger form a phrase.  Three
 exchanges, all packed in blocks, find every window that occurs again:
 
 1. triggers meet by value; those that occur once are out;
-2. texts meet their recurring triggers and send the phrases, by trigger;
+2. texts meet their recurring triggers and send the phrases, by trigger; those of
+   triggers with too many phrases for one task send digests of single windows
+   instead, by digest;
 3. texts meet the windows found to be repeats.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,6 +30,9 @@ FLUSH_BYTES = 24 << 20
 PART_BYTES = 24 << 20
 #: Bytes of text in one compressed block.
 BLOCK_BYTES = 1 << 20
+#: Bytes of all phrases of one trigger from which its windows are sent one by one, and windows that a task holds at a time then.
+HEAVY_BYTES = 2 << 20
+HEAVY_WINDOWS = 1 << 20
 BUCKETS_PER_PART = 2
 PACKED = "bucket int, kind int, n int, f0 binary, f1 binary, f2 binary, f3 binary, f4 binary"
 FIELDS = ["bucket", "kind", "n", "f0", "f1", "f2", "f3", "f4"]
@@ -38,12 +44,14 @@ class Unit:
 
     parse(data, offsets) gives a hash for every symbol, the row of every
     symbol, and its byte span.  own: windows that recur within one row count.
+    same(bytes) is equal for the bytes of equal windows.
     """
 
     parse: Callable
     window: int
     inner: int
     own: bool
+    same: Callable = bytes
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -112,24 +120,25 @@ def _id_bucket(ids, count):
 
 
 def _triggers(unit: Unit, buckets: int):
-    def flush(trigger, ids):
+    def flush(trigger, ids, size):
         order = np.lexsort((ids, trigger))
-        trigger, ids = trigger[order], ids[order]
+        trigger, ids, size = trigger[order], ids[order], np.concatenate([[0], np.cumsum(size[order])])
+        first = np.ones(len(trigger), bool)
+        first[1:] = trigger[1:] != trigger[:-1]
+        size = np.diff(size[np.append(np.flatnonzero(first), len(trigger))])
         if not unit.own and len(trigger):
             fresh = np.ones(len(trigger), bool)
             fresh[1:] = (trigger[1:] != trigger[:-1]) | (ids[1:] != ids[:-1])
-            trigger, ids = trigger[fresh], ids[fresh]
-        first = np.ones(len(trigger), bool)
-        first[1:] = trigger[1:] != trigger[:-1]
+            trigger, ids, first = trigger[fresh], ids[fresh], first[fresh]
         count = np.diff(np.append(np.flatnonzero(first), len(trigger)))
         many = np.repeat(count > 1, count)
         # Triggers that occur again right here are known to recur; one row of them tells the others.
         yield from send_pairs(trigger[many], ids[many], buckets)
         b = bucket_by_high_bits(trigger[first], buckets)
         order = np.argsort(b, kind="stable")
-        t, i, m, b = trigger[first][order], ids[first][order], (count > 1)[order], b[order]
+        t, i, m, z, b = trigger[first][order], ids[first][order], (count > 1)[order], size[order], b[order]
         for bucket, s in by_bucket(b, buckets):
-            yield packed(bucket, 0, s.stop - s.start, short(t[s]), planes(i[s]), m[s].tobytes())
+            yield packed(bucket, 0, s.stop - s.start, short(t[s]), planes(i[s]), m[s].tobytes(), planes(z[s]))
 
     def triggers(batches):
         held, size = [], 0
@@ -137,14 +146,16 @@ def _triggers(unit: Unit, buckets: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = raw(batch.column(1))
             for i, j in slices(offsets):
-                values, at_row, _, _ = unit.parse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                row, _, _, trigger = phrases(unit, values, at_row, j - i)
+                values, at_row, begin, end = unit.parse(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                row, start, count, trigger = phrases(unit, values, at_row, j - i)
+                at = np.searchsorted(at_row, np.arange(j - i))[row] + start
+                long_ = end[at + count + unit.window - 2] - begin[at]
                 if unit.own:  # a trigger that stands twice in a document recurs even if all its windows are one phrase
                     inner = window_hashes(values, unit.inner)
                     names, times = np.unique(mix(inner ^ mix(at_row[: len(inner)].astype(np.uint64))), return_counts=True)
                     twice = np.isin(mix(trigger ^ mix(row.astype(np.uint64))), names[times > 1])
-                    trigger, row = np.concatenate([trigger, trigger[twice]]), np.concatenate([row, row[twice]])
-                held.append((trigger, ids[row + i]))
+                    trigger, row, long_ = np.concatenate([trigger, trigger[twice]]), np.concatenate([row, row[twice]]), np.concatenate([long_, np.zeros(int(twice.sum()), np.int64)])
+                held.append((trigger, ids[row + i], long_))
                 size += int(offsets[j] - offsets[i])
                 if size >= FLUSH_BYTES:
                     yield from flush(*map(np.concatenate, zip(*held)))
@@ -178,7 +189,7 @@ def buckets_of(batches):
         yield at, held
 
 
-def _recurring(buckets: int):
+def _recurring(buckets: int, most: int):
     def recurring_triggers(batches):
         out = []
         for bucket, rows in buckets_of(batches):
@@ -191,8 +202,13 @@ def _recurring(buckets: int):
             trigger = np.concatenate([long(r["f0"]) for r in seen])
             ids = np.concatenate([flat(r["f1"], np.int64) for r in seen])
             many = np.concatenate([np.frombuffer(r["f2"], bool) for r in seen])
+            size = np.concatenate([flat(r["f3"], np.int64) for r in seen])
             order = np.argsort(trigger, kind="stable")
-            trigger, ids, many = trigger[order], ids[order], many[order]
+            trigger, ids, many, size = trigger[order], ids[order], many[order], size[order]
+            new = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
+            heavy = trigger[new][np.add.reduceat(size, new) > most]
+            if len(heavy):
+                yield packed(bucket, 5, len(heavy), planes(heavy | np.uint64(bucket << 40)))
             same = np.zeros(len(trigger), bool)
             same[1:] = trigger[1:] == trigger[:-1]
             again = same.copy()
@@ -233,7 +249,30 @@ def texts_of(rows):
             yield flat(r["f0"], np.int64), data, np.concatenate([[0], np.cumsum(flat(r["f1"], np.int64))])
 
 
-def _candidates(unit: Unit, buckets: int):
+def _again(unit: Unit, high, low, ids, start):
+    """Order of windows by digest and place, and which of them, so ordered, repeat the first of their digest."""
+    order = np.lexsort((start, ids, low, high))
+    high, low, ids, start = high[order], low[order], ids[order], start[order]
+    new = np.ones(len(high), bool)
+    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(high)), 0))
+    return order, (ids[head] < ids) | (unit.own & (start[head] < start))
+
+
+def _windows(unit: Unit, buckets: int, ids, start, digests: bytes):
+    """Windows of heavy triggers: those that repeat one in this task are known, the others meet by digest."""
+    high, low = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+    order, later = _again(unit, high, low, ids, start)
+    known, keep = order[later], order[~later]
+    yield from send_spans(ids[known], start[known], start[known] + 1, buckets)
+    b = (high[keep] % np.uint64(buckets)).astype(np.int32)
+    keep = keep[np.lexsort((start[keep], ids[keep], b))]
+    for bucket, s in by_bucket((high[keep] % np.uint64(buckets)).astype(np.int32), buckets):
+        k = keep[s]
+        yield packed(bucket, 4, len(k), planes(high[k]), planes(low[k]), planes(ids[k]), planes(start[k]))
+
+
+def _candidates(unit: Unit, buckets: int, heavy: np.ndarray):
     """Phrases with recurring triggers: of equal ones in a task, only the first goes on."""
 
     def flush(ids, start, count, trigger, sizes, bodies):
@@ -256,8 +295,16 @@ def _candidates(unit: Unit, buckets: int):
             k = keep[s]
             yield packed(bucket, 2, len(k), planes(trigger[k]), planes(ids[k]), planes(start[k]), planes(np.concatenate([count[k], sizes[k]])), pa.compress(b"".join(bodies[x] for x in k), "zstd", asbytes=True))
 
+    def digest(ids, start, count, lo, hi, body):
+        """Digests of all windows of phrases: of each the document, the place and 16 bytes."""
+        own = np.repeat(np.arange(len(ids)), count)
+        inside = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        spans = zip(lo[inside + np.repeat(start, count)].tolist(), hi[inside + np.repeat(start, count) + unit.window - 1].tolist())
+        return ids[own], inside, own, b"".join(hashlib.blake2b(unit.same(body[x:y]), digest_size=16).digest() for x, y in spans)
+
     def candidate_phrases(batches):
         held, size = [], 0
+        lone, windows = [], 0
         for _, rows in buckets_of(batches):
             pairs = [r for r in rows if r["kind"] == 1]
             trigger = np.concatenate([long(r["f0"]) for r in pairs]) if pairs else np.zeros(0, np.uint64)
@@ -271,8 +318,22 @@ def _candidates(unit: Unit, buckets: int):
                 if not len(owner):
                     continue
                 at = np.searchsorted(row, np.arange(len(ids)))[owner] + start
-                lo, hi = begin[at], end[at + count + unit.window - 2]
                 body = data.tobytes()
+                much = np.isin((trigger & LOW) | (bucket_by_high_bits(trigger, buckets).astype(np.uint64) << np.uint64(40)), heavy)
+                edges = np.concatenate([[0], np.cumsum(count[much])])
+                for x, y in slices(edges, HEAVY_WINDOWS):
+                    k = np.flatnonzero(much)[x:y]
+                    doc, inside, own, digests = digest(ids[owner[k]], at[k], count[k], begin, end, body)
+                    lone.append((doc, start[k][own] + inside, np.frombuffer(digests, np.uint8)))
+                    windows += len(doc)
+                    if windows >= HEAVY_WINDOWS:
+                        doc, place, digests = map(np.concatenate, zip(*lone))
+                        yield from _windows(unit, buckets, doc, place, digests.tobytes())
+                        lone, windows = [], 0
+                owner, start, count, trigger, at = owner[~much], start[~much], count[~much], trigger[~much], at[~much]
+                if not len(owner):
+                    continue
+                lo, hi = begin[at], end[at + count + unit.window - 2]
                 held.append((ids[owner], start, count, trigger, hi - lo, [body[x:y] for x, y in zip(lo.tolist(), hi.tolist())]))
                 size += int((hi - lo).sum())
                 if size >= FLUSH_BYTES:
@@ -280,6 +341,9 @@ def _candidates(unit: Unit, buckets: int):
                     held, size = [], 0
         if held:
             yield from flush(*_joined(held))
+        if lone:
+            doc, place, digests = map(np.concatenate, zip(*lone))
+            yield from _windows(unit, buckets, doc, place, digests.tobytes())
 
     return candidate_phrases
 
@@ -319,6 +383,13 @@ def _decided(judge: Callable, unit: Unit, buckets: int):
             for r in rows:
                 if r["kind"] == 3:
                     yield packed(bucket, 3, r["n"], r["f0"], r["f1"], r["f2"])
+            single = [r for r in rows if r["kind"] == 4]
+            if single:
+                high, low = (np.concatenate([flat(r[f], np.uint64) for r in single]) for f in ("f0", "f1"))
+                ids, start = (np.concatenate([flat(r[f], np.int64) for r in single]) for f in ("f2", "f3"))
+                order, later = _again(unit, high, low, ids, start)
+                known = order[later]
+                found.append((ids[known], start[known], start[known] + 1))
             sent = [r for r in rows if r["kind"] == 2]
             if not sent:
                 continue
@@ -386,8 +457,12 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, judge: Call
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
 
     blocks = texts.mapInArrow(_blocks(count), PACKED)
-    pairs = met(texts.mapInArrow(_triggers(unit, count), PACKED)).mapInArrow(_recurring(count), PACKED)
-    found = met(pairs.unionByName(blocks)).mapInArrow(_candidates(unit, count), PACKED)
+    pairs = written(met(texts.mapInArrow(_triggers(unit, count), PACKED)).mapInArrow(_recurring(count, HEAVY_BYTES), PACKED))
+    # At most one trigger for every HEAVY_BYTES phrases of text.
+    heavy = [flat(r["f0"], np.uint64) for r in pairs.filter("kind = 5").select("f0").collect()]
+    heavy = np.concatenate(heavy) if heavy else np.zeros(0, np.uint64)
+    pairs = pairs.filter("kind <> 5")
+    found = met(pairs.unionByName(blocks)).mapInArrow(_candidates(unit, count, heavy), PACKED)
     spans = written(met(found).mapInArrow(_decided(judge, unit, count), PACKED))
     names = [x.split()[0] for x in schema.split(",")]
     return met(spans.unionByName(blocks)).mapInArrow(_finished(finish, unit, names), schema)

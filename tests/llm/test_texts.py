@@ -234,6 +234,35 @@ def test_small_flushes_and_portions(docs, rows, monkeypatch):
     assert got == passages_of(rows, 20)
 
 
+@pytest.mark.parametrize("most", [0, 2000])
+def test_no_task_judges_a_hot_trigger_whole(spark, rows, monkeypatch, most):
+    from abacist.llm import recur
+
+    rng = random.Random(8)
+    line = " ".join(f"hot{k}" for k in range(8))
+    some = [(i, t) for i, t, *_ in rows] + [(1000 + k, " ".join(f"{rng.randrange(4 + k % 2 * 9999)}" for _ in range(20)) + f"  {line} " + " ".join(f"{rng.randrange(4 + k % 2 * 9999)}" for _ in range(20))) for k in range(150)]
+    some += [(2000, some[-1][1]), (2001, f"{some[-1][1]} {some[-1][1]}")]
+
+    def bounded(judge):
+        def run(trigger, ids, start, count, bodies):
+            size = {}
+            for t, b in zip(trigger.tolist(), bodies):
+                size[t] = size.get(t, 0) + len(b)
+            assert max(size.values(), default=0) <= most
+            return judge(trigger, ids, start, count, bodies)
+
+        return run
+
+    monkeypatch.setattr(recur, "HEAVY_BYTES", most, raising=False)
+    for module in (substrings, passages):
+        monkeypatch.setattr(module, "_judge", lambda window, judge=module._judge: bounded(judge(window)))
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_substrings(docs).collect()}
+    assert got == substrings_of(some, 50)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in passages.remove_passages(docs).collect()}
+    assert got == passages_of(some, 20)
+
+
 def test_repeats_of_nothing(spark, none):
     assert passages.remove_passages(none).count() == substrings.remove_substrings(none).count() == 0
     df = spark.createDataFrame([(None, "x"), (1, None), (1, None)], "doc_id long, text string")
