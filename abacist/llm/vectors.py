@@ -76,16 +76,15 @@ def _spread(shared):
         for b in range(len(space.blocks)):
             home, (visitor, to) = space.cells(x, b)
             for r, c in enumerate(home.tolist()):
-                k = splits.get((dims, b, c), 1)
+                k, guests = splits.get((dims, b, c), (1, 1))
                 i = int(part[r] % k)
                 for j in range(k):
                     rows.append(r), names.append(f"{dims}:{b}:{c}:h:{min(i, j)}:{max(i, j)}"), sides.append(int(i > j))
-                if len(space.pivots[b]) > 1:
-                    for j in range(k):
-                        rows.append(r), names.append(f"{dims}:{b}:{c}:v:{i}:{j}"), sides.append(0)
+                for j in range(guests if len(space.pivots[b]) > 1 else 0):
+                    rows.append(r), names.append(f"{dims}:{b}:{c}:v:{i}:{j}"), sides.append(0)
             for r, c in zip(visitor.tolist(), to.tolist()):
-                k = splits.get((dims, b, c), 1)
-                j = int(part[r] % k)
+                k, guests = splits.get((dims, b, c), (1, 1))
+                j = int(part[r] % guests)
                 for i in range(k):
                     rows.append(r), names.append(f"{dims}:{b}:{c}:v:{i}:{j}"), sides.append(1)
         at = pa.array(rows, pa.int64())
@@ -175,7 +174,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     cells whose border is near enough, and the candidates' whole vectors decide
     in double precision.  A pair counts in the first block that finds it.
     Identical vectors are one class with a weight; crowded cells are cut in
-    tiles; tiles return counts and a forest, never pairs.
+    tiles, by their own vectors and by their visitors; tiles return counts and a forest, never pairs.
 
     Null, empty and zero vectors and those with null or non-finite components
     have no links and are their own component; vectors of different length do
@@ -206,12 +205,14 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 for s in range(0, len(own), 1024):
                     x = space.turned(_matrix(own.slice(s, 1024)))
                     for b in range(len(space.blocks)):
-                        cell, n = np.unique(space.cells(x, b)[0], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([int(d)] * len(cell)), pa.array([b] * len(cell)), pa.array(cell), pa.array(n)], names=["d", "b", "c", "n"])
+                        home, (_, to) = space.cells(x, b)
+                        n, guests = (np.bincount(c, minlength=len(space.pivots[b])) for c in (home, to))
+                        cell = np.flatnonzero(n + guests)
+                        yield pa.RecordBatch.from_arrays([pa.array([int(d)] * len(cell)), pa.array([b] * len(cell)), pa.array(cell), pa.array(n[cell]), pa.array(guests[cell])], names=["d", "b", "c", "n", "guests"])
 
     # One row for each cell of each block: their number is bounded by MAX_CELLS.
-    crowd = classes.select("vector").mapInArrow(homes, "d long, b long, c long, n long").groupBy("d", "b", "c").agg(F.sum("n").alias("n")).collect()
-    splits = {(r["d"], r["b"], r["c"]): k for r in crowd if (k := -(-r["n"] // (2 * CELL_ROWS))) > 1}
+    crowd = classes.select("vector").mapInArrow(homes, "d long, b long, c long, n long, guests long").groupBy("d", "b", "c").agg(F.sum("n").alias("n"), F.sum("guests").alias("guests")).collect()
+    splits = {(r["d"], r["b"], r["c"]): tuple(max(1, -(-r[x] // (2 * CELL_ROWS))) for x in ("n", "guests")) for r in crowd}
     shared = spark.sparkContext.broadcast((spaces, splits))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

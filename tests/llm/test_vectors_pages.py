@@ -3,8 +3,10 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 
@@ -44,6 +46,18 @@ def test_vectors(spark, monkeypatch, cell_rows):
     assert vectors.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_tiles_of_cells_with_many_visitors_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 8)
+    shared = []
+    spread = vectors._spread
+    monkeypatch.setattr(vectors, "_spread", lambda s: shared.append(s) or spread(s))
+    rows = [(i, x) for i, x in vector_rows() if i < 210]
+    vectors.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([1] * len(rows)), pa.array([x for _, x in rows])], names=["id", "weight", "vector"])
+    sent = Counter(x for out in spread(shared[0])([batch]) for x in zip(out["tile"].to_pylist(), out["side"].to_pylist()))
+    assert 0 < max(sent.values()) <= 4 * 8
+
+
 def page_rows():
     rng = random.Random(2)
     big = "".join(rng.choice("abcdefgh é\r\n") for _ in range(300_000))
