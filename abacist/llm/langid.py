@@ -25,6 +25,8 @@ SLOTS = 1 << 20
 PROBES = 2
 SLICE = 1 << 19
 UNKNOWN = "und"
+#: Standard deviations of the false hits that do not count as covered.
+MARGIN = 3
 
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
@@ -77,7 +79,7 @@ class LanguageFilters:
     masks: np.ndarray
     false_rate: np.ndarray
 
-    def predict(self, docs: DataFrame, text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    def predict(self, docs: DataFrame, text_col: str = "text", pred: str = "lang_pred", score: str = "score", covered: str | None = None) -> DataFrame:
         """`docs` with the language and its score added, or replaced where they exist.
 
         Every n-gram of the whole text asks the filters once and gets a mask of
@@ -86,20 +88,25 @@ class LanguageFilters:
         go to the first language.  `score` is the winner's share of all counts.
         Null text and text without a letter give `und` and 0, and so does all
         text if nothing was learnt.  Text whose n-grams are in no filter gets
-        the first language and 0.
+        the first language and 0.  `covered` names one more column: the part of
+        the text's n-grams that the winner's filter knows, less MARGIN standard
+        deviations of the false hits.  It tells foreign text; `score` does not.
         """
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast((self.languages, self.masks, self.false_rate))
-        kept = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
-        schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(pred, "string").add(score, "double")
+        added = [pred, score, *([covered] if covered else [])]
+        kept = [c for c in docs.columns if c.lower() not in [x.lower() for x in added]]
+        schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(pred, "string")
+        for name in added[1:]:
+            schema = schema.add(name, "double")
         rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(spare(docs, "_text_")))
 
         def run(batches):
             languages, masks, false_rate = shared.value
             for batch in batches:
                 text = batch.column(batch.num_columns - 1)
-                found, sure = judge(text, languages, masks, false_rate)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*kept, pred, score])
+                found, *numbers = judge(text, languages, masks, false_rate)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]]], names=[*kept, *added])
 
         return rows.mapInArrow(run, schema)
 
@@ -107,7 +114,7 @@ class LanguageFilters:
 def judge(text: pa.Array, languages: list[str], masks: np.ndarray, false_rate: np.ndarray):
     n, k = len(text), len(languages)
     if not k:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     clean = plain(text)
     data, offsets = raw(clean)
     hits, total = np.zeros((n, k)), np.zeros(n)
@@ -128,9 +135,11 @@ def judge(text: pa.Array, languages: list[str], masks: np.ndarray, false_rate: n
     best = true.argmax(axis=1)
     sums = true.sum(axis=1)
     score = np.where(sums > 0, true[np.arange(n), best] / np.where(sums > 0, sums, 1), 0.0)
+    rate = false_rate[best]
+    covered = np.clip(true[np.arange(n), best] - MARGIN * np.sqrt(total * rate * (1 - rate)) / (1 - rate), 0, None) / np.maximum(total, 1)
     # A row without letters is a lone blank, or two.
     empty = np.asarray(pc.equal(pc.utf8_trim_whitespace(clean), "").to_numpy(zero_copy_only=False), bool)
-    return [UNKNOWN if e else languages[b] for e, b in zip(empty, best)], np.where(empty, 0.0, score)
+    return [UNKNOWN if e else languages[b] for e, b in zip(empty, best)], np.where(empty, 0.0, score), np.where(empty, 0.0, covered)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> LanguageFilters:

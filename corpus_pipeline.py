@@ -16,8 +16,10 @@ from abacist.llm import exact_dedup, jaccard, langid, mixing, pieces
 from abacist.llm.common import small, written
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-#: Documents whose language is less sure than this are rejected.
-LEAST_SCORE = 0.2
+#: Documents of whose n-grams the language covers less than this are rejected.  Of 2499 labelled held-out
+#: documents of sf0.1 none is below 0.58, of their stretches of 1 to 10 words none below 0.41; made-up words of
+#: random Latin letters reach 0.27 in 3 words and 0.12 in 20, of Cyrillic or Greek ones 0.01.
+LEAST_COVERED = 0.3
 NEAR = jaccard.Rule(words=5, percent=80)
 #: No SQL: the first stage is a trained model.
 ORACLE_SQL = None
@@ -26,8 +28,8 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language: no letters, or n-grams of no language."""
     model = langid.train(docs)
-    judged = model.predict(docs, pred="_lang_pred_", score="_lang_score_")
-    sure = (F.col("_lang_pred_") != langid.UNKNOWN) & (F.col("_lang_score_") >= LEAST_SCORE)
+    judged = model.predict(docs, pred="_lang_pred_", score="_lang_score_", covered="_lang_covered_")
+    sure = (F.col("_lang_pred_") != langid.UNKNOWN) & (F.col("_lang_covered_") >= LEAST_COVERED)
     return judged.filter(sure).select(*[f"`{c}`" for c in docs.columns])
 
 

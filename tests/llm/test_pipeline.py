@@ -1,5 +1,7 @@
 """The pipeline's stages, one by one, on the smallest tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,22 @@ def test_last_stage(spark, stages):
     assert rows.filter(F.size("token_ids") != F.col("n_tokens")).count() == 0
 
 
+def test_foreign_text_is_rejected(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    made = []
+    for alphabet in ("абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz"):
+        for n in (20, 200, 1000):
+            made += [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9))) for _ in range(n)) for _ in range(5)]
+    words = [w for r in docs.filter("lang IS NOT NULL").orderBy("doc_id").limit(20).collect() for w in (r.text or "").split()[:5] if w.isalpha()]
+    clean = [" ".join(words[k : k + 4]) for k in range(0, len(words) - 4, 4)]
+    more = [(-1 - k, t, None) for k, t in enumerate(made)] + [(-1000 - k, t, None) for k, t in enumerate(clean)]
+    all_docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    got = ids(pipeline.identify_language(spark, all_docs, SF))
+    assert {i for i in got if i < 0} == {i for i, _, _ in more if i <= -1000}
+    assert {i for i in got if i >= 0} == ids(docs.filter(F.col("text").rlike(r"\pL")))
+
+
 def test_odd_documents(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, _drop_ string, size int, score int"
     rows = [(1, None, "en", "a", 0, "x", 1, 1), (None, "the words of the text", "en", None, 0, "x", 1, 1), (2, "the words of that", "en", "a", 0, "x", 1, 1), (2, "the words of that", "en", "a", 0, "x", 1, 1), (3, "THE words of that", None, "b", 0, "x", 1, 1), (4, "", None, None, None, None, None, None)]
