@@ -256,7 +256,7 @@ def normality_ks(spark, d):
 
 @query("normality_shapiro")
 def normality_shapiro(spark, d):
-    return npar.shapiro_wilk(table(spark, d, "customer"), "c_acctbal", "c_custkey", 1000)
+    return npar.shapiro_wilk(table(spark, d, "customer"), "c_acctbal")
 
 
 @query("normality_anderson")

@@ -9,18 +9,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions import dist
 from abacist.functions.columns import norm_cdf, norm_ppf
 from abacist.operators.frequency import levels
 from abacist.operators.hypothesis import _wide_levels, one_row
+from abacist.plans.ordering import with_row_index
 from abacist.plans.quantiles import clean_double
 from abacist.plans.ranks import value_ranks
 from abacist.plans.session import durable
 
-SHAPIRO_ROWS = 5000
 
 
 def _tie_sum(c: str):
@@ -159,21 +159,18 @@ def jarque_bera(df: DataFrame, column: str) -> DataFrame:
 def shapiro_wilk(df: DataFrame, column: str, key: str | None = None, sample: int | None = None) -> DataFrame:
     """W and p by Royston's 1995 approximation.
 
-    The method is defined up to 5000 rows, and larger inputs are refused.  To
-    test a sample, name its size and a key: the `sample` rows whose key hashes
-    come first count, whatever the size of the input.
+    W is over all rows, however many.  The fit behind p was made for up to 5000
+    rows and is carried on beyond.  To test a sample, name its size and a key:
+    the `sample` rows whose key hashes come first count.
     """
     v = clean_double(column)
     data = df.filter(v.isNotNull())
     if sample is not None:
         data = data.orderBy(F.xxhash64(key), key).limit(sample)
     n = data.count()
-    if n > SHAPIRO_ROWS:
-        raise ValueError("over 5000 rows: use ks_normal, or name a sample size and a key")
     if n < 3:
         return one_row(df, {"n": n, "w": math.nan, "p": math.nan})
-    # At most 5000 rows in this window.
-    ordered = data.select(v.alias("x")).withColumn("i", F.row_number().over(Window.orderBy("x")))
+    ordered = with_row_index(data.select(v.alias("x")), ["x"], "i").withColumn("i", F.col("i") + 1)
     scored = ordered.withColumn("m", norm_ppf((F.col("i") - 0.375) / (n + 0.25)))
     s = scored.agg(
         F.sum(F.col("m") * F.col("m")).alias("mm"),
@@ -229,7 +226,7 @@ def _shapiro_p(w: float, n: int) -> float:
 
 
 def normality(df: DataFrame, column: str, method: str = "ks") -> DataFrame:
-    """The named test over all rows: `ks` (Kolmogorov distance) or `shapiro` (up to 5000 rows by its definition)."""
+    """The named test over all rows: `ks` (Kolmogorov distance) or `shapiro` (its p is a fit for up to 5000 rows, carried on beyond)."""
     out, stat = {"ks": (ks_normal, "d"), "shapiro": (shapiro_wilk, "w")}[method]
     return out(df, column).select(F.lit(method).alias("test"), "n", F.col(stat).alias("statistic"), "p", (F.col("p") > 0.05).alias("is_normal"))
 

@@ -1,6 +1,7 @@
 """Known answers, published table values, edge rows and invariants."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -189,6 +190,21 @@ def test_shapiro_published_example(spark):
     assert r["w"] == pytest.approx(0.79, abs=0.005) and r["p"] == pytest.approx(0.0067, abs=0.002)
 
 
+def test_shapiro_takes_all_rows(spark):
+    from abacist.catalog import load_all
+    from abacist.catalog.base import QUERIES
+
+    load_all()
+    assert QUERIES["normality_shapiro"](spark, "/root/testdata/sf0.01").first()["n"] == 1500
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / 6000.25) for i in range(1, 6001)])
+    x = np.exp(m / 2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(m, x)], "m double, x double").repartition(7)
+    a, b = nonparametric.shapiro_wilk(df, "m").first(), nonparametric.shapiro_wilk(df, "x").first()
+    assert a["n"] == b["n"] == 6000 and a["w"] > 0.9999 and a["p"] > 0.9
+    # Far from the ends the weights are those of Shapiro and Francia.
+    assert b["w"] == pytest.approx(np.corrcoef(m, x)[0, 1] ** 2, abs=0.005) and b["p"] < 1e-6
+
+
 def test_normal_sample_passes_and_skewed_fails(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.normal(size=2000), rng.exponential(size=2000))], "n double, e double")
