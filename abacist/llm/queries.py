@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import exact_dedup, html, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
+from abacist.llm import conversations, exact_dedup, html, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
 
 MIX_SQL = r"""
 WITH d AS (
@@ -134,3 +134,47 @@ def op3(spark, sf_dir):
 @query("op6_main_text")
 def op6(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+              lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) % 20 AS k FROM conversations, crc),
+e AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM d, range(2) r(i) WHERE k <> 0 AND (i = 0 OR k = 3)),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM e),
+g AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+             WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS prior FROM f),
+puts(q, z, i, put) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''), (0, 2, 'I', chr(10) || 'user:'), (1, 2, 'I', chr(10) || 'user:'),
+  (3, 2, 'I', chr(10) || 'user:'), (2, 3, 'I', chr(10) || 'assistant:'), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (3, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 'II', chr(10) || 'assistant:' || chr(10) || 'user:')),
+edits(q, z, x, initial, name) AS (VALUES (0, 0, 'D', '', ''), (1, 1, 'D', '', ''), (2, 2, 'D', '', ''), (3, 3, 'D', '', ''),
+  (0, 1, 'K', 's', ''), (0, 2, 'K', 'u', ''), (1, 2, 'K', 'u', ''), (3, 2, 'K', 'u', ''), (2, 3, 'K', 'a', ''),
+  (0, 2, 'R', '', 'user'), (1, 2, 'R', '', 'user'), (3, 2, 'R', '', 'user'), (2, 3, 'R', '', 'assistant')),
+s(conv_id, n, q, v) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {'c': 0::BIGINT, 'a': '', 't': ''} FROM conversations
+  UNION ALL
+  SELECT s.conv_id, g.n, edits.z, min({
+      'c': s.v.c + 5 * len(puts.i) + CASE edits.x WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN edits.x <> 'D' AND fault = 'truncated' THEN 5 ELSE 0 END,
+      'a': s.v.a || puts.i || edits.x,
+      't': s.v.t || puts.put || CASE edits.x WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || edits.name || ':' || text END})
+  FROM s JOIN puts ON puts.q = s.q JOIN edits ON edits.q = puts.z JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.n = s.n + 1
+  WHERE (edits.x = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (edits.x <> 'K' OR left(role, 1) = edits.initial)
+  GROUP BY s.conv_id, g.n, edits.z),
+m AS (SELECT conv_id, max(n) AS n FROM s GROUP BY conv_id),
+w AS (SELECT s.conv_id, min({'c': v.c + 5 * len(i), 'a': v.a || i, 't': v.t || put}) AS v FROM s JOIN m ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.n = m.n JOIN puts ON puts.q = s.q
+      WHERE puts.z IN (0, 3) GROUP BY s.conv_id),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND left(prior, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       v.c AS cost, v.a AS audit, sha256(substr(v.t, 2)) AS repaired_sha256
+FROM w LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
+@query("op11_repair_conversations", REPAIR_SQL)
+def op11(spark, sf_dir):
+    return conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
