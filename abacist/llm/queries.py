@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import conversations, exact_dedup, html, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
+from abacist.llm import alignment, conversations, exact_dedup, html, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
 
 MIX_SQL = r"""
 WITH d AS (
@@ -178,3 +178,11 @@ FROM w LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id
 @query("op11_repair_conversations", REPAIR_SQL)
 def op11(spark, sf_dir):
     return conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+BYTE_TOKENS = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op12_align_tokenizers")
+def op12(spark, sf_dir):
+    return alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_TOKENS, PIECES)
