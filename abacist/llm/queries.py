@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, table
-from abacist.llm import alignment, conversations, exact_dedup, html, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
+from abacist.llm import alignment, conversations, decontaminate, exact_dedup, html, jaccard, langid, mixing, passages, pieces, substrings, vectors, warc
 
 MIX_SQL = r"""
 WITH d AS (
@@ -186,3 +186,23 @@ BYTE_TOKENS = "/opt/tokenizers/byte_bpe_50k.json"
 @query("op12_align_tokenizers")
 def op12(spark, sf_dir):
     return alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_TOKENS, PIECES)
+
+
+LEAKS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS t FROM b, range(1, 1000000) s(i) WHERE len(w) > 0 AND i <= greatest(len(w) - 9, 1)),
+l AS (SELECT DISTINCT n FROM p),
+x AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS t FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, l)),
+h AS (SELECT r, i, x.n, item FROM x JOIN p USING (n, t)),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
+f AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS told FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(told, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN f USING (r)
+"""
+
+
+@query("op13_decontaminate", LEAKS_SQL)
+def op13(spark, sf_dir):
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
