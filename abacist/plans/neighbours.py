@@ -1,29 +1,27 @@
 """Exact k nearest neighbours (Euclidean) without comparing all pairs.
 
 Small reference sides are broadcast after their size is checked.  Beyond that
-both sides are assigned to the nearest of a bounded set of pivots.  The pivot
-cells' sizes and radii give each query an upper bound on its k-th distance,
-and the triangle inequality tells which cells can hold a nearer point, so a
-query only meets the blocks of those cells.  Cells are cut into blocks of
-bounded size, so a crowded cell never lands in one task.
+the reference becomes a tree of pivots (`plans/pivots.py`).  A query first meets
+a block of its own leaf, whose k-th distance bounds the search, and then only
+the leaves that a ball of that radius can reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from abacist.plans.pivots import PivotTree, distances, in_steps, matrix, slack
 from abacist.plans.quantiles import clean_double, complete_rows
 from abacist.plans.session import durable
 
 BROADCAST_POINTS = 20_000
-PIVOTS = 256
-BLOCK_POINTS = 5_000
-QUERY_ROWS = 100_000
+FOUND = "qid long, tid long, distance double"
+_FOUND = pa.schema([("qid", pa.int64()), ("tid", pa.int64()), ("distance", pa.float64())])
 
 
 def points(df: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
@@ -46,36 +44,41 @@ def thin_copies(pts: DataFrame, keep: int) -> DataFrame:
     return some.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= keep).drop("_k", "_part")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()) if len(column) else np.zeros((0, 0))
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.clip(d2, 0, None))
-
-
-def _nearest(qid, qx, tid, tx, k: int, exclude_self: bool) -> pd.DataFrame:
-    """The k nearest of one block for each query, ties by id."""
-    ids, names, found = [qid[:0]], [tid[:0]], [np.zeros(0)]
-    step = max(1, 4_000_000 // max(len(tx), 1))
+def _nearest(qid, qx, tid, tx, k: int, exclude_self: bool, bound: np.ndarray | None = None) -> pa.Table:
+    """The k nearest of one block for each query, ties by id, none beyond its bound."""
+    out = []
     take = min(k + int(exclude_self), len(tx))
-    for s in range(0, len(qx), step):
-        q = qx[s : s + step]
-        d = _distances(q, tx)
-        limit = np.partition(d, take - 1, axis=1)[:, take - 1]
-        # Rounding of the fast distances: keep a little more, then order exactly.
-        near = d <= (limit + 1e-7 * (1.0 + limit))[:, None]
-        for i in range(len(q)):
-            cand = np.flatnonzero(near[i])
-            if exclude_self:
-                cand = cand[tid[cand] != qid[s + i]]
-            exact = np.sqrt(((q[i] - tx[cand]) ** 2).sum(1))
-            order = np.lexsort((tid[cand], exact))[:k]
-            ids.append(np.repeat(qid[s + i], len(order)))
-            names.append(tid[cand][order])
-            found.append(exact[order])
-    return pd.DataFrame({"qid": np.concatenate(ids), "tid": np.concatenate(names), "distance": np.concatenate(found)})
+    wide = min(take + 4, len(tx))
+    for s in in_steps(len(qx), len(tx)):
+        q, rows = qx[s], s.stop - s.start
+        d = distances(q, tx)
+        order = np.argpartition(d, wide - 1, axis=1)[:, :wide]
+        kept = np.take_along_axis(d, order, axis=1)
+        limit = np.partition(kept, take - 1, axis=1)[:, take - 1]
+        # Rounding of the fast distances: whatever may be among the nearest is ordered by exact ones.
+        limit = limit + slack(limit)
+        if bound is not None:
+            limit = np.minimum(limit, bound[s] + slack(bound[s]))
+        # Rows of which more than `wide` points are that near (ties) take all of them.
+        more = np.flatnonzero((kept <= limit[:, None]).all(axis=1)) if wide < len(tx) else np.zeros(0, np.int64)
+        plain = np.ones(rows, bool)
+        plain[more] = False
+        i, c = np.nonzero((kept <= limit[:, None]) & plain[:, None])
+        j = order[i, c]
+        extra, far = np.nonzero(d[more] <= limit[more, None])
+        i, j = np.concatenate([i, more[extra]]), np.concatenate([j, far])
+        exact = np.sqrt(((q[i] - tx[j]) ** 2).sum(axis=1))
+        ids = qid[s][i]
+        keep = np.ones(len(i), bool) if bound is None else exact <= bound[s][i] + slack(bound[s][i])
+        if exclude_self:
+            keep &= tid[j] != ids
+        i, j, exact, ids = i[keep], j[keep], exact[keep], ids[keep]
+        by = np.lexsort((tid[j], exact, i))
+        i, j, exact, ids = i[by], j[by], exact[by], ids[by]
+        first = np.searchsorted(i, np.arange(rows))
+        best = np.arange(len(i)) - first[i] < k
+        out.append(pa.Table.from_arrays([pa.array(ids[best]), pa.array(tid[j][best]), pa.array(exact[best])], schema=_FOUND))
+    return pa.concat_tables(out) if out else _FOUND.empty_table()
 
 
 def nearest_neighbours(
@@ -88,83 +91,65 @@ def nearest_neighbours(
     """
     ref = durable(thin_copies(reference, k + int(exclude_self)))
     size = ref.count()
-    schema = "qid long, tid long, distance double"
     if size == 0:
-        return queries.sparkSession.createDataFrame([], schema + ", rank int")
+        return queries.sparkSession.createDataFrame([], FOUND + ", rank int")
     if size <= broadcast_points:
-        rows = ref.orderBy("id").toPandas()  # size checked above
-        shared = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["x"])))
+        rows = ref.orderBy("id").toArrow()  # size checked above
+        shared = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), matrix(rows["x"])))
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search(batches):
             tid, tx = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    yield _nearest(pdf["id"].to_numpy(), _matrix(pdf["x"]), tid, tx, k, exclude_self)
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _nearest(batch.column(0).to_numpy(), matrix(batch.column(1)), tid, tx, k, exclude_self).to_batches()
 
-        found = queries.mapInPandas(search, schema)
+        found = queries.select("id", "x").mapInArrow(search, FOUND)
     else:
-        found = _by_cells(queries, ref, k, exclude_self, schema)
+        found = by_tree(queries, PivotTree.build(ref), k, exclude_self)
     best = Window.partitionBy("qid").orderBy("distance", "tid")  # k rows per block met
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _assign(pts: DataFrame, pivots) -> DataFrame:
-    """Add the nearest pivot and the distance to it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pivots.value
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(_matrix(pdf["x"]), p)
-                cell = d.argmin(1)
-                yield pdf.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
-
-    return pts.select("id", "x").mapInPandas(run, "id long, x array<double>, cell int, radius double")
-
-
-def _by_cells(queries: DataFrame, ref: DataFrame, k: int, exclude_self: bool, schema: str) -> DataFrame:
-    spark = queries.sparkSession
-    chosen = ref.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toPandas()
-    pivots = spark.sparkContext.broadcast(np.unique(_matrix(chosen["x"]), axis=0))
-    cells = durable(_assign(ref, pivots))
-    stats = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("far"), F.min("radius").alias("near")).toPandas()
-    info = spark.sparkContext.broadcast(
-        (stats["cell"].to_numpy(), stats["n"].to_numpy(), stats["far"].to_numpy(), stats["near"].to_numpy(), np.ceil(stats["n"].to_numpy() / BLOCK_POINTS).astype(int))
-    )
+def search_bounds(queries: DataFrame, tree: PivotTree, k: int, exclude_self: bool) -> DataFrame:
+    """(id, x, bound): a distance within which each query has its k nearest, from one block of its own leaf or the cells."""
     need = k + int(exclude_self)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, n, far, near, parts = info.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf["x"]), pivots.value)[:, cell]
-            reach = d + far
-            order = np.argsort(reach, axis=1)
-            seen = np.cumsum(n[order], axis=1)
-            at = np.minimum((seen < need).sum(1), len(cell) - 1)
-            bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(d)), at] + 1e-9
-            # A cell matters when its ring [near, far] around the pivot comes within the bound.
-            meets = (d - far <= bound[:, None]) & (near - d <= bound[:, None])
-            q, c = np.nonzero(meets)
-            reps = parts[c]
-            q, c = np.repeat(q, reps), np.repeat(c, reps)
-            part = np.concatenate([np.arange(r) for r in reps]) if len(reps) else np.zeros(0, int)
-            ids, xs = pdf["id"].to_numpy(), pdf["x"].to_numpy()
-            yield pd.DataFrame({"id": ids[q], "x": xs[q], "cell": cell[c].astype("int32"), "part": part.astype("int32")})
-
-    sizes = F.create_map(*[F.lit(int(v)) for pair in zip(info.value[0], info.value[4]) for v in pair])
-    parted = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(sizes, F.col("cell"))).cast("int"))
-    routed = queries.select("id", "x").mapInPandas(route, "id long, x array<double>, cell int, part int")
-    # Queries of one block are split as well; the block (bounded) is repeated for each split.
-    splits = max(1, -(-queries.count() // QUERY_ROWS))
-    routed = routed.withColumn("split", F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int"))
-    spread = parted.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "tid": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        return _nearest(left["id"].to_numpy(), _matrix(left["x"]), right["id"].to_numpy(), _matrix(right["x"]), k, exclude_self)
-
-    on = ["cell", "part", "split"]
-    return routed.groupBy(*on).cogroup(spread.groupBy(*on)).applyInPandas(meet, schema)
+    homes = tree.homes(queries).withColumn("part", F.lit(0))
+
+    def first(rows: pa.Table, points: pa.Table) -> pa.Table:
+        schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.float64())), ("bound", pa.float64())])
+        if not rows.num_rows:
+            return schema.empty_table()
+        x, bound = matrix(rows["x"]), np.full(rows.num_rows, np.inf)
+        if points.num_rows >= need:
+            tx = matrix(points["x"])
+            for s in in_steps(len(x), len(tx)):
+                d = np.partition(distances(x[s], tx), need - 1, axis=1)[:, need - 1]
+                bound[s] = d + slack(d)
+        return pa.Table.from_arrays([rows["id"], rows["x"], pa.array(bound)], schema=schema)
+
+    reach = tree.reach(need)
+
+    def filled(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bound = batch.column(2).to_numpy().copy()
+                open_ = np.isinf(bound)
+                if open_.any():
+                    d = reach(matrix(batch.column(1))[open_])
+                    bound[open_] = d + slack(np.where(np.isinf(d), 0, d))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound)], names=["id", "x", "bound"])
+
+    schema = "id long, x array<double>, bound double"
+    return durable(tree.meet(homes, first, schema).mapInArrow(filled, schema))
+
+
+def by_tree(queries: DataFrame, tree: PivotTree, k: int, exclude_self: bool) -> DataFrame:
+    """(qid, tid, distance): of every block that a query's ball reaches, its k nearest within the ball."""
+    visits = durable(tree.visits(search_bounds(queries, tree, k, exclude_self)))
+
+    def work(rows: pa.Table, points: pa.Table) -> pa.Table:
+        if not rows.num_rows or not points.num_rows:
+            return _FOUND.empty_table()
+        return _nearest(rows["id"].to_numpy(), matrix(rows["x"]), points["id"].to_numpy(), matrix(points["x"]), k, exclude_self, rows["bound"].to_numpy())
+
+    return tree.meet(visits, work, FOUND)

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from abacist.plans import skew
 from abacist.plans.components import connected_components
 from abacist.plans.kendall import kendall_counts
 from abacist.plans.moments import _narrow, _wide, complete
-from abacist.plans.neighbours import nearest_neighbours, points
+from abacist.plans.neighbours import by_tree, nearest_neighbours, points, search_bounds
 from abacist.plans.ordering import carried, windowed, with_row_index, with_running_totals
+from abacist.plans.pivots import PivotTree
 from abacist.plans.quantiles import exact_quantiles, grouped_quantiles, order_statistics
 from abacist.plans.ranks import average_ranks
 
@@ -152,3 +154,36 @@ def test_components(spark):
     edges = spark.createDataFrame([*chain, ("z", "y")], "src string, dst string")
     got = dict(map(tuple, connected_components(nodes, edges).select("node", "root").collect()))
     assert {got[f"{i:03d}"] for i in range(61)} == {"000"} and got["x"] == "x" and got["z"] == got["y"] == "y"
+
+
+def _compared(spark, x, k):
+    """Points that queries meet in the tree search, and the search's answer."""
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), **{f"f{i}": x[:, i] for i in range(x.shape[1])}}))
+    pts = points(df, "id", [f"f{i}" for i in range(x.shape[1])])
+    tree = PivotTree.build(pts, leaf_points=50, block_points=200)
+    visits = tree.visits(search_bounds(pts, tree, k, True))
+    size = tree.points.groupBy("cell", "leaf", "part").count()
+    return visits.join(size, ["cell", "leaf", "part"]).agg(F.sum("count")).first()[0], tree, pts
+
+
+def test_neighbour_search_grows_less_than_the_square(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.uniform(0, 10, (6000, 2)), rng.normal(3, 0.01, (2000, 2))])
+    rng.shuffle(x)
+    met = [_compared(spark, x[:n], 4)[0] for n in (500, 2000, 8000)]
+    assert met[1] < 6 * met[0] and met[2] < 6 * met[1]  # the square would be 16
+    assert met[2] < 0.12 * 8000 * 8000
+
+
+def test_tree_search_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, 1, (700, 5)), np.repeat(rng.normal(0, 1, (30, 5)), 10, axis=0), rng.normal(40, 5, (3, 5))])
+    _, tree, pts = _compared(spark, x, 6)
+    assert tree.leaves.count() > 8
+    got = {}
+    for r in by_tree(pts, tree, 6, True).collect():
+        got.setdefault(r["qid"], []).append((r["distance"], r["tid"]))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(len(x)):
+        want = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:6]
+        assert np.allclose([v for v, _ in sorted(got[i])[:6]], [v for v, _ in want])
