@@ -17,6 +17,8 @@ from abacist.plans.components import connected_components
 BITS = 1024
 #: Rows of a tile that meet in one block; larger tiles are cut in blocks, and every two blocks meet.
 BLOCK_ROWS = 4096
+#: Hashes that deal a set into parts, tried in turn.
+HASHES = 8
 #: Tile rows that a task holds packed at a time, and tokens for which one partition is meant.
 FLUSH_TOKENS = 1 << 21
 PART_TOKENS = 1 << 21
@@ -36,9 +38,14 @@ class Rule:
             first.append(first[-1] * 100 // self.percent + 1)
         return np.array([*first, first[-1] * 100 // self.percent + 1], np.int64)
 
-    def parts(self, following):
-        """Parts of a tile whose smaller sets have fewer than `following` elements: one more than they may differ in."""
-        return (following - 1) * (100 - self.percent) // self.percent + 1
+    def differ(self, following):
+        """In how many elements two linked sets may differ, if the smaller has fewer than `following`."""
+        return (following - 1) * (100 - self.percent) // self.percent
+
+    def spare(self, least, following):
+        """Parts beyond those that may differ: about twice as many as are empty in a set of `least` elements."""
+        parts = self.differ(following) + 1
+        return np.floor(2 * parts * np.exp(-least / parts) + 0.8).astype(np.int64) * (parts > 1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +77,13 @@ def tokens(rule: Rule, found: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
     """Tile names of each set, and how many each set has.
 
     In the tile of its own size band and in the one below, a set falls into
-    parts by hash.  Two sets that link differ in fewer elements than the tile
-    of the smaller one has parts, so in that tile some part of theirs is the
-    same; a tile's name is such a part.
+    parts by hash; a tile's name is such a part.  Let linked sets differ in d
+    elements at most, so in d parts, of d + 1 + spare.  A set with at most
+    `spare` empty parts has more than d that are not empty, one of which the
+    other set must share: empty parts, which all sets of a band would share,
+    give no name.  A set with more empty parts has names by another hash as
+    well, and so on until one suits it; two sets meet by the first hash that
+    suits either.  Only sets that none of the hashes suits keep empty parts.
     """
     first = rule.bands(int(size.max(initial=1)))
     band = np.searchsorted(first, size, "right") - 1
@@ -80,18 +91,31 @@ def tokens(rule: Rule, found: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
     value = mix(found + np.uint64(17))
     names, owners = [], []
     for below in (0, 1):
-        tile = band - below
-        count = np.where((size > 0) & (tile >= 0), rule.parts(first[np.maximum(tile, 0) + 1]), 0)
-        base = np.cumsum(count) - count
-        sums = np.zeros(int(count.sum()), np.uint64)
-        inside = count[owner] > 0
-        own = owner[inside]
-        part = ((found[inside] >> np.uint64(20)) % count[own].astype(np.uint64)).astype(np.int64)
-        np.add.at(sums, base[own] + part, value[inside])
-        of = np.repeat(np.arange(len(size)), count)
-        place = np.arange(len(sums)) - base[of]
-        names.append(mix(sums ^ mix((tile[of] * (1 << 32) + place).astype(np.uint64))))
-        owners.append(of)
+        tile = np.maximum(band - below, 0)
+        spare = rule.spare(first[tile], first[tile + 1])
+        parts = rule.differ(first[tile + 1]) + 1 + spare
+        left = (size > 0) & (band >= below)
+        for seed in range(HASHES):
+            count = np.where(left, parts, 0)
+            base = np.cumsum(count) - count
+            inside = left[owner]
+            own, hashed = owner[inside], found[inside]
+            if seed:
+                hashed = mix(hashed + np.uint64(seed))
+            at = base[own] + ((hashed >> np.uint64(20)) % count[own].astype(np.uint64)).astype(np.int64)
+            sums, filled = np.zeros(int(count.sum()), np.uint64), np.zeros(int(count.sum()), bool)
+            np.add.at(sums, at, value[inside])
+            filled[at] = True
+            of = np.repeat(np.arange(len(size)), count)
+            left = left & (np.bincount(of[~filled], minlength=len(size)) > spare)
+            if seed + 1 == HASHES:
+                filled |= left[of]
+            place = np.arange(len(sums)) - base[of]
+            kind = ((tile[of] * HASHES + seed) * (1 << 32) + place).astype(np.uint64)
+            names.append(mix(sums ^ mix(kind))[filled])
+            owners.append(of[filled])
+            if not left.any():
+                break
     names, owners = np.concatenate(names), np.concatenate(owners)
     return names[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(size))
 
