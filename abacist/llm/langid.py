@@ -61,10 +61,8 @@ def _counted(batches):
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
         for lang in sorted(set(langs)):
             own = batch.column(0).filter(pa.array(langs == lang))
-            data, offsets = raw(plain(own))
-            for i, j in slices(offsets, SLICE):
-                at = offsets[i : j + 1] - offsets[i]
-                found = [x for x, _ in grams(data[offsets[i] : offsets[j]], at)]
+            for i, j in slices(raw(own)[1], SLICE):
+                found = [x for x, _ in grams(*raw(plain(own.slice(i, j - i))))]
                 if not found:
                     continue
                 codes, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -104,9 +102,11 @@ class LanguageFilters:
         def run(batches):
             languages, masks, false_rate = shared.value
             for batch in batches:
-                text = batch.column(batch.num_columns - 1)
-                found, *numbers = judge(text, languages, masks, false_rate)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]]], names=[*kept, *added])
+                # Few rows at a time: a batch of long texts would be held in several forms at once.
+                for i, j in slices(raw(batch.column(batch.num_columns - 1))[1]):
+                    *rest, text = (c.slice(i, j - i) for c in batch.columns)
+                    found, *numbers = judge(text, languages, masks, false_rate)
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]]], names=[*kept, *added])
 
         return rows.mapInArrow(run, schema)
 
