@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from abacist.catalog.base import query, r, rounded, table
 from abacist.catalog.inference import pick, vectors
-from abacist.operators import anomaly, cluster, evaluate, learn, multivariate, neighbour_models, reduce, split
+from abacist.operators import anomaly, cluster, evaluate, learn, linkage, multivariate, neighbour_models, reduce, split
 
 
 def quality(spark, d):
@@ -415,3 +415,29 @@ def dbscan_labels(spark, d):
     from abacist.operators.density import dbscan as run
 
     return run(table(spark, d, "events").select("event_id", "value", (F.col("user_id") / 100).alias("u")), ["value", "u"], "event_id", 0.5, 10).select("event_id", "cluster")
+
+
+VECTOR_PAIRS = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
+    e AS (SELECT q.id AS qid, t.id AS tid FROM v q, v t WHERE list_distance(q.x, t.x) <= {0})"""
+
+
+@query("dbscan_vectors", VECTOR_PAIRS.format(1.15) + """,
+    core AS (SELECT qid AS id FROM e GROUP BY qid HAVING count(*) >= 4),
+    reach(id, root) AS (SELECT id, id FROM core UNION SELECT e.tid, reach.root FROM reach JOIN e ON e.qid = reach.id JOIN core c ON c.id = e.tid),
+    comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id), named AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS k FROM comp GROUP BY root),
+    label AS (SELECT comp.id, k FROM comp JOIN named USING (root)), near AS (SELECT e.qid AS id, min(k) AS k FROM e JOIN label ON label.id = e.tid GROUP BY e.qid)
+    SELECT v.id AS vec_id, CAST(coalesce(label.k, near.k, -1) AS INTEGER) AS cluster, label.id IS NOT NULL AS core FROM v LEFT JOIN label ON label.id = v.id LEFT JOIN near ON near.id = v.id""")
+def dbscan_vectors(spark, d):
+    from abacist.operators.density import dbscan as run
+
+    t, cols = vectors(spark, d)
+    return run(t, cols, "vec_id", 1.15, 4)
+
+
+@query("single_linkage", VECTOR_PAIRS.format(1.1) + """,
+    reach(id, root) AS (SELECT id, id FROM v UNION SELECT e.tid, reach.root FROM reach JOIN e ON e.qid = reach.id),
+    comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id), named AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS k FROM comp GROUP BY root)
+    SELECT id AS vec_id, CAST(k AS INTEGER) AS cluster FROM comp JOIN named USING (root)""")
+def single_linkage(spark, d):
+    t, cols = vectors(spark, d)
+    return linkage.single_linkage(t, cols, "vec_id", height=1.1, standardize=False)

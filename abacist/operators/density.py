@@ -6,20 +6,29 @@ points of thinner cells need neighbour counts, and a cell meets a bounded
 number of other cells, so those joins grow linearly with the data.  Two full
 cells are linked by testing sub-cells of a finer and finer grid, where most
 are decided by their boxes alone.
+
+Beyond four features a grid has too many neighbouring cells.  There the
+points form a tree of pivots and meet the blocks that their balls reach; only
+counts and one spanning forest per block leave a task, never pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abacist.plans.components import connected_components
+from abacist.plans.neighbours import points
+from abacist.plans.pivots import PivotTree, distances, in_steps, matrix, slack
 from abacist.plans.quantiles import clean_double, complete_rows
-from abacist.plans.session import durable
+from abacist.plans.session import durable, stored
 from abacist.plans.skew import skew_join
 
 MAX_DIMS = 4
@@ -92,14 +101,14 @@ def _full_links(full: DataFrame, dims: int, side: float, eps: float) -> DataFram
 
 
 def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, min_points: int = 5) -> DataFrame:
-    """`(key, cluster, core)`; noise is -1.  For up to four features.
+    """`(key, cluster, core)`; noise is -1.
 
     A border point within reach of several clusters joins the one with the
     smallest number.
     """
     dims = len(features)
-    if not 1 <= dims <= MAX_DIMS:
-        raise ValueError(f"the grid supports 1 to {MAX_DIMS} features; reduce the dimensions first")
+    if dims > MAX_DIMS:
+        return _by_tree(df, features, key, eps, min_points)
     side = eps / math.sqrt(dims) * (1 - 1e-12)
     rows = complete_rows(df.select(F.col(key).alias("id"), *[clean_double(c).alias(f"f{i}") for i, c in enumerate(features)]))
     # Copies of a position count once with a weight.
@@ -140,6 +149,93 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     return out.select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
+def _within(rows: pa.Table, points: pa.Table, eps: float):
+    """(visitor, point) places within eps, block of rows by block of rows."""
+    x, tx = matrix(rows["x"]), matrix(points["x"])
+    for s in in_steps(len(x), len(tx)):
+        d = distances(x[s], tx)
+        i, j = np.nonzero(d <= eps + slack(np.full(d.shape[1], eps)))
+        near = ((x[s][i] - tx[j]) ** 2).sum(axis=1) <= eps * eps
+        yield i[near] + s.start, j[near]
+
+
+def _forest(names: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join each name to the smallest one of its component among the pairs of places (src, dst)."""
+    root = np.arange(len(names))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, src, root[dst])
+        np.minimum.at(low, dst, root[src])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _by_tree(df: DataFrame, features: Sequence[str], key: str, eps: float, min_points: int) -> DataFrame:
+    rows = stored(points(df, key, features))
+    spots = stored(rows.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "x", "w"))
+    if spots.isEmpty():
+        return df.sparkSession.createDataFrame([], f"`{key}` long, cluster int, core boolean")
+    tree = PivotTree.build(spots)
+    ball = F.lit(float(eps)).alias("bound")
+    counts = pa.schema([("id", pa.int64()), ("seen", pa.int64())])
+
+    def seen(visitors: pa.Table, pts: pa.Table) -> pa.Table:
+        if not visitors.num_rows or not pts.num_rows:
+            return counts.empty_table()
+        w, total = pts["w"].to_numpy(), np.zeros(visitors.num_rows, np.int64)
+        for i, j in _within(visitors, pts, eps):
+            total += np.bincount(i, weights=w[j], minlength=len(total)).astype(np.int64)
+        return pa.Table.from_arrays([visitors["id"], pa.array(total)], schema=counts)
+
+    # Most points of a cluster have enough company in their own block and need not look further.
+    home = tree.meet(tree.points.select("id", "x", "cell", "leaf", "part"), seen, "id long, seen long")
+    sure = stored(home.filter(F.col("seen") >= min_points).select("id"))
+    visits = stored(tree.visits(spots.join(sure, "id", "left_anti").select("id", "x", ball)))
+    more = tree.meet(visits, seen, "id long, seen long").groupBy("id").agg(F.sum("seen").alias("seen"))
+    core = stored(sure.unionByName(more.filter(F.col("seen") >= min_points).select("id")))
+    cores = replace(tree, points=stored(tree.points.join(core, "id")))
+    links = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def linked(visitors: pa.Table, pts: pa.Table) -> pa.Table:
+        if not visitors.num_rows or not pts.num_rows:
+            return links.empty_table()
+        mine, theirs = visitors["id"].to_numpy(), pts["id"].to_numpy()
+        names = np.union1d(mine, theirs)
+        at, to = np.searchsorted(names, mine), np.searchsorted(names, theirs)
+        src, dst = names[:0], names[:0]
+        for i, j in _within(visitors, pts, eps):
+            u, v = _forest(names, np.concatenate([np.searchsorted(names, src), at[i]]), np.concatenate([np.searchsorted(names, dst), to[j]]))
+            src, dst = u, v
+        return pa.Table.from_arrays([pa.array(src), pa.array(dst)], schema=links)
+
+    visits = stored(tree.visits(spots.join(core, "id").select("id", "x", ball)))
+    edges = cores.meet(visits, linked, "src long, dst long").distinct()
+    comp = connected_components(core.select(F.col("id").alias("node")), edges)
+    label = stored(_numbered(comp).select(F.col("node").alias("id"), "cluster"))
+    named = replace(tree, points=stored(cores.points.join(label, "id")))
+    reached = pa.schema([("id", pa.int64()), ("cluster", pa.int32())])
+
+    def bordering(visitors: pa.Table, pts: pa.Table) -> pa.Table:
+        if not visitors.num_rows or not pts.num_rows:
+            return reached.empty_table()
+        cluster, best = pts["cluster"].to_numpy(), np.full(visitors.num_rows, np.iinfo(np.int32).max, np.int32)
+        for i, j in _within(visitors, pts, eps):
+            np.minimum.at(best, i, cluster[j])
+        hit = np.flatnonzero(best != np.iinfo(np.int32).max)
+        return pa.Table.from_arrays([visitors["id"].combine_chunks().take(pa.array(hit)), pa.array(best[hit])], schema=reached)
+
+    visits = stored(tree.visits(spots.join(core, "id", "left_anti").select("id", "x", ball)))
+    border = named.meet(visits, bordering, "id long, cluster int").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    labels = label.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
+    known = spots.join(labels, "id").select("x", "cluster", "core")
+    out = skew_join(rows, known, ["x"], "left")
+    return out.select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+
+
 def _numbered(components: DataFrame) -> DataFrame:
     """Cluster numbers from 0 in the order of their smallest cell name."""
     from abacist.plans.ordering import with_row_index

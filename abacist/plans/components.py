@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abacist.plans.session import durable
+from abacist.plans.session import stored
 from abacist.plans.skew import skew_join
 
 
@@ -17,8 +17,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     are written out, so the plan does not grow.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = durable(both.distinct())
-    labels = durable(nodes.select("node", F.col("node").alias("root")).distinct())
+    both = stored(both.distinct())
+    labels = stored(nodes.select("node", F.col("node").alias("root")).distinct())
     for _ in range(max_rounds):
         heard = (
             both.join(labels.select(F.col("node").alias("dst"), "root"), "dst")
@@ -28,11 +28,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         lower = labels.join(heard, "node", "left").select(
             "node", F.col("root").alias("old"), F.least("root", F.coalesce("heard", "root")).alias("root")
         )
-        lower = durable(lower)
+        lower = stored(lower)
         # Many nodes share one label: the label side is the one that may be hot.
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
         short = skew_join(lower, jump, ["root"], "left")
-        new = durable(short.select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old"))
+        new = stored(short.select("node", F.least("root", F.coalesce("next", "root")).alias("root"), "old"))
         changed = new.filter(F.col("root") != F.col("old")).limit(1).count()
         labels = new.select("node", "root")
         if not changed:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from abacist.plans.pivots import PivotTree, distances, in_steps, matrix, slack
 from abacist.plans.quantiles import clean_double, complete_rows
-from abacist.plans.session import durable
+from abacist.plans.session import stored
 
 BROADCAST_POINTS = 20_000
 FOUND = "qid long, tid long, distance double"
@@ -89,7 +89,7 @@ def nearest_neighbours(
     Both inputs are `points`; ids are integers.  Copies in the reference are
     thinned to the number that can matter, which cannot change the distances.
     """
-    ref = durable(thin_copies(reference, k + int(exclude_self)))
+    ref = stored(thin_copies(reference, k + int(exclude_self)))
     size = ref.count()
     if size == 0:
         return queries.sparkSession.createDataFrame([], FOUND + ", rank int")
@@ -140,12 +140,12 @@ def search_bounds(queries: DataFrame, tree: PivotTree, k: int, exclude_self: boo
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound)], names=["id", "x", "bound"])
 
     schema = "id long, x array<double>, bound double"
-    return durable(tree.meet(homes, first, schema).mapInArrow(filled, schema))
+    return stored(tree.meet(homes, first, schema).mapInArrow(filled, schema))
 
 
 def by_tree(queries: DataFrame, tree: PivotTree, k: int, exclude_self: bool) -> DataFrame:
     """(qid, tid, distance): of every block that a query's ball reaches, its k nearest within the ball."""
-    visits = durable(tree.visits(search_bounds(queries, tree, k, exclude_self)))
+    visits = stored(tree.visits(search_bounds(queries, tree, k, exclude_self)))
 
     def work(rows: pa.Table, points: pa.Table) -> pa.Table:
         if not rows.num_rows or not points.num_rows:

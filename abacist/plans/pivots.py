@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abacist.plans.session import durable
+from abacist.plans.session import stored
 
 #: Points of a leaf, on average; points and visitors of a leaf that meet in one task.
 LEAF_POINTS = 1_000
@@ -85,11 +85,13 @@ def _split(df: DataFrame, keys: list[str], most: int, parts: str) -> DataFrame:
 
 def _together(left: DataFrame, right: DataFrame, keys: list[str], most: int, work: Callable, schema: str) -> DataFrame:
     """cogroup by keys, where `left` is dealt to as many tasks as it needs and `right` (bounded by key) goes to each."""
-    parts = durable(_split(left, keys, most, "_tasks"))
+    parts = stored(_split(left, keys, most, "_tasks"))
     tasks = F.coalesce("_tasks", F.lit(1))
     dealt = left.join(parts, keys, "left").withColumn("_task", F.pmod(F.xxhash64("id", F.lit(5)), tasks).cast("int")).drop("_tasks")
     copied = right.join(parts, keys, "left").withColumn("_task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("_tasks")
     on = [*keys, "_task"]
+    # Both sides may stem from one table: new names for its columns keep them apart.
+    dealt, copied = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (dealt, copied))
     return dealt.groupBy(*on).cogroup(copied.groupBy(*on)).applyInArrow(work, schema)
 
 
@@ -114,32 +116,32 @@ class PivotTree:
         wanted = min(MAX_TOP, max(1, round((count / leaf_points) ** 0.5)))
         chosen = points.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
         top = np.unique(matrix(chosen["x"]), axis=0)
-        placed = durable(_celled(points, top))
+        placed = stored(_celled(points, top))
         stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far")).toPandas()
         sizes, near, far = np.zeros(len(top), np.int64), np.zeros(len(top)), np.full(len(top), -np.inf)
         sizes[stats["cell"]], near[stats["cell"]], far[stats["cell"]] = stats["n"], stats["near"], stats["far"]
         first = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(top)], "cell int, x array<double>")
         pivots = placed.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(leaf_points)) == 0).select("cell", "x").unionByName(first)
-        numbered = durable(pivots.groupBy("cell").applyInArrow(_numbered, "cell int, leaf int, p array<double>"))
+        numbered = stored(pivots.groupBy("cell").applyInArrow(_numbered, "cell int, leaf int, p array<double>"))
         found = _leafed(placed, numbered)
-        found = durable(found)
+        found = stored(found)
         leaves = found.groupBy("cell", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far"))
         leaves = leaves.withColumn("parts", F.ceil(F.col("n") / block_points).cast("int"))
-        leaves = durable(numbered.join(leaves, ["cell", "leaf"]))
+        leaves = stored(numbered.join(leaves, ["cell", "leaf"]))
         # Few rows have leaves of several parts.
         home = found.join(leaves.select("cell", "leaf", "parts"), ["cell", "leaf"])
         home = home.withColumn("part", F.pmod(F.xxhash64("id", F.lit(4)), F.col("parts")).cast("int"))
         points = placed.drop("cell", "away").join(home.select("id", "cell", "leaf", "part"), "id") if len(placed.columns) > 4 else home.select("id", "x", "cell", "leaf", "part")
-        return cls(durable(points), leaves, top, sizes, near, far)
+        return cls(stored(points), leaves, top, sizes, near, far)
 
     def homes(self, rows: DataFrame) -> DataFrame:
         """(id, x, cell, leaf): the leaf whose pivot is nearest, within the cell whose pivot is nearest."""
-        placed = durable(_celled(rows.select("id", "x"), self.top))
+        placed = stored(_celled(rows.select("id", "x"), self.top))
         return _leafed(placed, self.leaves.select("cell", "leaf", "p")).select("id", "x", "cell", "leaf")
 
     def visits(self, rows: DataFrame) -> DataFrame:
         """(id, x, bound, cell, leaf, part): the blocks that may hold points within `bound` of x."""
-        cells = durable(rows.select("id", "x", "bound").mapInArrow(self._cells_met(), "id long, x array<double>, bound double, cell int"))
+        cells = stored(rows.select("id", "x", "bound").mapInArrow(self._cells_met(), "id long, x array<double>, bound double, cell int"))
         leaves = self.leaves.select("cell", "leaf", "p", "near", "far", "parts")
         return _together(cells, leaves, ["cell"], CELL_ROWS, _leaves_met, "id long, x array<double>, bound double, cell int, leaf int, part int")
 
