@@ -45,6 +45,15 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_text(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns `kept` and the text, sent once if it is one of them; the text's place."""
+    names = [c.lower() for c in kept]
+    columns = [F.col(f"`{c}`") for c in kept]
+    if text_col.lower() in names:
+        return docs.select(*columns), names.index(text_col.lower())
+    return docs.select(*columns, F.col(f"`{text_col}`").alias(spare(docs, "_text_"))), len(kept)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if its counted rows are few enough."""
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df

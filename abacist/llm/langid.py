@@ -10,11 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abacist.llm.common import mix, raw, slices, spare, written
+from abacist.llm.common import mix, raw, slices, with_text, written
 
 #: n-grams of so many bytes of lower-cased text, in which all but letters is one blank.
 SIZES = (3, 4)
-#: Documents of one language that training reads, on average; picked by a hash of id and text.
+#: Documents of one language that training reads, on average; picked by a hash of the id.
 TRAIN_DOCS = 4000
 #: The n-grams of one language that the filters hold: the most frequent ones of the sample.
 GRAMS = 40_000
@@ -97,16 +97,16 @@ class LanguageFilters:
         schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(pred, "string")
         for name in added[1:]:
             schema = schema.add(name, "double")
-        rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(spare(docs, "_text_")))
+        rows, place = with_text(docs, kept, text_col)
 
         def run(batches):
             languages, masks, false_rate = shared.value
             for batch in batches:
                 # Few rows at a time: a batch of long texts would be held in several forms at once.
-                for i, j in slices(raw(batch.column(batch.num_columns - 1))[1]):
-                    *rest, text = (c.slice(i, j - i) for c in batch.columns)
-                    found, *numbers = judge(text, languages, masks, false_rate)
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]]], names=[*kept, *added])
+                for i, j in slices(raw(batch.column(place))[1]):
+                    columns = [c.slice(i, j - i) for c in batch.columns]
+                    found, *numbers = judge(columns[place], languages, masks, false_rate)
+                    yield pa.RecordBatch.from_arrays([*columns[: len(kept)], pa.array(found, pa.string()), *[pa.array(x, pa.float64()) for x in numbers[: len(added) - 1]]], names=[*kept, *added])
 
         return rows.mapInArrow(run, schema)
 
@@ -137,8 +137,8 @@ def judge(text: pa.Array, languages: list[str], masks: np.ndarray, false_rate: n
     score = np.where(sums > 0, true[np.arange(n), best] / np.where(sums > 0, sums, 1), 0.0)
     rate = false_rate[best]
     covered = np.clip(true[np.arange(n), best] - MARGIN * np.sqrt(total * rate * (1 - rate)) / (1 - rate), 0, None) / np.maximum(total, 1)
-    # A row without letters is a lone blank, or two.
-    empty = np.asarray(pc.equal(pc.utf8_trim_whitespace(clean), "").to_numpy(zero_copy_only=False), bool)
+    # Marks alone are no letters.
+    empty = ~np.asarray(pc.match_substring_regex(clean, r"\pL").to_numpy(zero_copy_only=False), bool)
     return [UNKNOWN if e else languages[b] for e, b in zip(empty, best)], np.where(empty, 0.0, score), np.where(empty, 0.0, covered)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abacist.llm.common import lists, mix, slices, spare
+from abacist.llm.common import lists, mix, slices, spare, with_text
 
 BLANK = 0x2581
 #: Longer words are merged one by one, or searched in steps.
@@ -401,12 +401,12 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     kept = [c for c in docs.columns if c.lower() not in (out.lower(), digest.lower())]
     schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(out, T.ArrayType(T.IntegerType())).add(digest, "string")
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(spare(docs, "_text_")))
+    rows, place = with_text(docs, kept, text_col)
 
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(place)
             at = 0
             while at < len(column):
                 texts, chars = [], 0
@@ -420,7 +420,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", out: str = "
                 if None in texts:
                     ids = pa.array([None if t is None else x for t, x in zip(texts, ids.to_pylist())], ids.type)
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array(shas, pa.string())], names=[*kept, out, digest])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, pa.array(shas, pa.string())], names=[*kept, out, digest])
                 at += len(texts)
 
     return rows.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from abacist.llm import jaccard, mixing
+from abacist.llm import jaccard, langid, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +83,10 @@ def test_odd_documents(spark):
             assert docs.columns == [x.split()[0] for x in schema.split(", ")]
         assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
         assert ids(docs) <= {3, None}
+
+
+def test_marks_and_digits_are_no_letters(spark):
+    rows = [(k, "plain words of one language again", "en") for k in range(8)] + [(90, "́̂ 12 ̃", None), (91, "á", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_text_", F.lit("other"))
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.train(docs).predict(docs).collect()}
+    assert found[90] == ("und", 0.0) and found[91][0] == "en" and found[0] == ("en", 1.0)
