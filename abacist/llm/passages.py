@@ -22,7 +22,7 @@ def _same(body: bytes) -> bytes:
     return b" ".join(body.split())
 
 
-def _judge(window: int):
+def _judge(window: int, bits: int = 0):
     def run(trigger, ids, start, count, bodies):
         import ahocorasick
 
@@ -32,7 +32,7 @@ def _judge(window: int):
         # A phrase alone under its trigger has only itself to repeat.  Two equal windows d words
         # apart have at most d different words, and all windows share the words in the middle.
         open_ = {k for k, m in enumerate(many.tolist()) if m or len(set(split[k][int(count[k]) - 1 : window])) < count[k]}
-        order = [k for k in np.lexsort((start, ids)).tolist() if k in open_]
+        order = [k for k in np.lexsort((start, ids >> bits)).tolist() if k in open_]
         numbers = {w: i for i, w in enumerate(sorted({w for k in order for w in split[k]}))}
         base = int(len(numbers) ** 0.5) + 1
         # A word is two digits of separate alphabets: nodes have few children, and matches start at words.
@@ -40,9 +40,12 @@ def _judge(window: int):
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         texts = {k: tuple(d for w in split[k] for d in digits[w]) for k in order}
         for k in reversed(order):  # against corpus order, so the first occurrence is what stays
-            doc, at, words = int(ids[k]), int(start[k]), texts[k]
+            doc, at, words = int(ids[k]) >> bits, int(start[k]), texts[k]
             for i in range(int(count[k]) - 1, -1, -1):
-                machine.add_word(words[2 * i : 2 * (i + window)], (doc, at + i))
+                name = words[2 * i : 2 * (i + window)]
+                # Rows of one id may lie in each other's way: the least place is kept.
+                if not bits or machine.get(name, (doc, at + i)) >= (doc, at + i):
+                    machine.add_word(name, (doc, at + i))
         out = []
         if len(machine):
             machine.make_automaton()
@@ -50,7 +53,7 @@ def _judge(window: int):
                 doc, at = int(ids[k]), int(start[k])
                 for last, first in machine.iter(texts[k]):
                     place = at + last // 2 - window + 1
-                    if first < (doc, place):
+                    if first < (doc >> bits, place):
                         out.append((doc, place))
         found = np.array(out, np.int64).reshape(-1, 2)
         return found[:, 0], found[:, 1], found[:, 1] + 1
@@ -79,9 +82,10 @@ def remove_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     one occurs, and all but the first are repeats.
 
     Returns id, n_words, n_removed, kept_sha256 (kept words joined by one
-    space).  Null text has no words.  Rows with a null id are left out; of rows
-    that repeat an id, windows at the same place count as one.  Other columns
-    are ignored; an empty table gives an empty result.
+    space).  Null text has no words.  Every row is judged: under a shared id, a
+    window that starts further up in any of its rows is the earlier one, and
+    equal places count as one; a null id comes after all others.  Other columns are ignored; an empty table gives an
+    empty result.
     """
     unit = Unit(_words, window, min(TRIGGER_WORDS, window), own=True, same=_same)
-    return repeats(docs, id_col, text_col, unit, _judge(window), _finish, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")
+    return repeats(docs, id_col, text_col, unit, lambda bits: _judge(window, bits) if bits else _judge(window), _finish, f"{id_col} long, n_words long, n_removed long, kept_sha256 string")

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.llm.common import mix, raw, slices, window_hashes, written
+from abacist.plans.ordering import with_row_index
+from abacist.plans.skew import skew_join
 
 #: Bytes of text that one task holds packed at a time, and that one partition of packed rows stands for.
 FLUSH_BYTES = 24 << 20
@@ -52,6 +54,12 @@ class Unit:
     inner: int
     own: bool
     same: Callable = bytes
+    bits: int = 0
+
+    def sooner(self, ids, start, other, later):
+        """Whether places come before others: in a document of smaller id, or further up under one id if that counts."""
+        a, b = ids >> self.bits, other >> self.bits
+        return (a < b) | (self.own & (a == b) & (start < later))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -251,12 +259,12 @@ def texts_of(rows):
 
 def _again(unit: Unit, high, low, ids, start):
     """Order of windows by digest and place, and which of them, so ordered, repeat the first of their digest."""
-    order = np.lexsort((start, ids, low, high))
+    order = np.lexsort((start, ids >> unit.bits, low, high))
     high, low, ids, start = high[order], low[order], ids[order], start[order]
     new = np.ones(len(high), bool)
     new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(high)), 0))
-    return order, (ids[head] < ids) | (unit.own & (start[head] < start))
+    return order, unit.sooner(ids[head], start[head], ids, start)
 
 
 def _windows(unit: Unit, buckets: int, ids, start, digests: bytes):
@@ -278,7 +286,7 @@ def _candidates(unit: Unit, buckets: int, heavy: np.ndarray):
     def flush(ids, start, count, trigger, sizes, bodies):
         # Equal phrases of one flush: those after the first are repeats as a whole.
         name = np.array([hash_of(b) for b in bodies], np.uint64) ^ trigger
-        order = np.lexsort((start, ids, name))
+        order = np.lexsort((start, ids >> unit.bits, name))
         name, rank = name[order], order
         new = np.ones(len(name), bool)
         new[1:] = name[1:] != name[:-1]
@@ -286,7 +294,7 @@ def _candidates(unit: Unit, buckets: int, heavy: np.ndarray):
         later = np.zeros(len(ids), bool)
         # The name is a hash: only equal bytes count as equal.
         for k, h in zip(rank[~new].tolist(), head[~new].tolist()):
-            later[k] = (ids[h] < ids[k] or (unit.own and start[h] < start[k])) and bodies[k] == bodies[h]
+            later[k] = unit.sooner(ids[h], start[h], ids[k], start[k]) and bodies[k] == bodies[h]
         yield from send_spans(ids[later], start[later], start[later] + count[later], buckets)
         keep = np.flatnonzero(~later)
         b = bucket_by_high_bits(trigger[keep], buckets)
@@ -372,7 +380,7 @@ def _first_of_equal(unit: Unit, trigger, ids, start, bodies) -> np.ndarray:
     later = np.zeros(len(ids), bool)
     for k, name in enumerate(zip(trigger.tolist(), bodies)):
         doc, place = first.setdefault(name, (ids[k], start[k]))
-        later[k] = doc < ids[k] or (unit.own and place < start[k])
+        later[k] = unit.sooner(doc, place, ids[k], start[k])
     return later
 
 
@@ -401,7 +409,7 @@ def _decided(judge: Callable, unit: Unit, buckets: int):
             each = [int(p.sum()) for p in (flat(r["f3"], np.int64).reshape(2, -1)[1] for r in sent)]
             data = b"".join(pa.decompress(r["f4"], n, "zstd", asbytes=True) for r, n in zip(sent, each))
             ends = np.cumsum(size)
-            order = np.lexsort((start, ids, trigger))
+            order = np.lexsort((start, ids >> unit.bits, trigger))
             # Whole groups of one trigger, in portions of bounded size.
             edges = np.append(np.flatnonzero(np.append(True, trigger[order][1:] != trigger[order][:-1])), len(order))
             upto = np.concatenate([[0], np.cumsum(size[order])])
@@ -441,16 +449,47 @@ def _finished(finish: Callable, unit: Unit, names: list[str]):
     return kept_text
 
 
+#: Bits of a key that number the rows of one document id.
+ROW_BITS = 31
+
+
+def _keyed(texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Texts under a key of their own, and which id each key stands for: None if the ids are such keys as they are.
+
+    Keys order as the ids do, nulls last; rows of one id are numbered in the
+    order of their digests.  No task gathers the rows of one id.
+    """
+    if texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").isEmpty():
+        return texts, None
+    named = texts.withColumns({"none": F.col("id").isNull(), "sha": F.sha2(F.coalesce("text", F.lit("")), 256), "lies": F.monotonically_increasing_id()})
+    placed = written(with_row_index(named, ["none", "id", "sha", "lies"], "place").select("id", "text", "place"))
+    firsts = placed.groupBy("id").agg(F.min("place").alias("first"))
+    order = written(with_row_index(firsts, ["first"], "rank"))
+    keyed = skew_join(placed, order, ["id"], null_safe=True)
+    key = F.shiftleft("rank", ROW_BITS) + F.col("place") - F.col("first")
+    keyed = written(keyed.select("id", key.alias("key"), "text"))
+    return keyed.select(F.col("key").alias("id"), "text"), keyed.select("key", F.col("id").alias("told"))
+
+
 def repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, judge: Callable, finish: Callable, schema: str) -> DataFrame:
-    """One row per document from `finish`, which is told the removed symbols of whole texts.
+    """One row per row of docs from `finish`, which is told the removed symbols of whole texts.
 
-    judge(trigger, ids, start, count, bodies) gets phrases sorted by trigger,
-    document and place, and returns documents, first and last windows (end
-    excluded) that are repeats.
+    judge(bits) gives a function of (trigger, ids, start, count, bodies) that
+    gets phrases sorted by trigger, document and place, and returns documents,
+    first and last windows (end excluded) that are repeats.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    texts, told = _keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    unit = replace(unit, bits=0 if told is None else ROW_BITS)
+    found = _repeats(texts, unit, judge(unit.bits), finish, schema)
+    if told is None:
+        return found
+    back = found.withColumnRenamed(id_col, "key").join(told, "key")
+    return back.select(F.col("told").alias(id_col), *[c for c in found.columns if c != id_col])
+
+
+def _repeats(texts: DataFrame, unit: Unit, judge: Callable, finish: Callable, schema: str) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     count = parts * BUCKETS_PER_PART
 
     def met(df):

@@ -37,7 +37,7 @@ def ranks(data: np.ndarray, length: int) -> np.ndarray:
     return np.unique(rank[: len(data)], return_inverse=True)[1]
 
 
-def _judge(length: int):
+def _judge(length: int, bits: int = 0):
     def run(trigger, ids, start, count, bodies):
         # A phrase alone under its trigger has no equal strings elsewhere.
         group = np.cumsum(np.append(True, trigger[1:] != trigger[:-1])) if len(trigger) else np.zeros(0, np.int64)
@@ -54,8 +54,9 @@ def _judge(length: int):
         owner = np.repeat(np.arange(len(bodies)), count)
         order = rank[at]
         least = np.full(int(order.max()) + 1 if len(order) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, order, ids[owner])
-        again = least[order] < ids[owner]
+        document = ids[owner] >> bits
+        np.minimum.at(least, order, document)
+        again = least[order] < document
         place = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         return _runs(again, owner, ids[owner], place)
 
@@ -95,9 +96,9 @@ def remove_substrings(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     of equal rank are equal, and their least document keeps its bytes.
 
     Returns id, n_bytes, n_removed, n_spans, kept_sha256.  Null text counts as
-    empty.  Rows with a null id are left out; rows that repeat an id are one
-    document each and never remove each other's bytes.  Other columns are
+    empty.  Each row is a document; rows that repeat an id never remove each
+    other's bytes, and a null id counts as larger than all others.  Other columns are
     ignored; an empty table gives an empty result.
     """
     unit = Unit(_bytes, length, min(TRIGGER_BYTES, length), own=False)
-    return repeats(docs, id_col, text_col, unit, _judge(length), _finish, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats(docs, id_col, text_col, unit, lambda bits: _judge(length, bits) if bits else _judge(length), _finish, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

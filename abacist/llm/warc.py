@@ -194,8 +194,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
     keys = rows.filter((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest", F.octet_length("html").alias("size"))
     firsts = keys.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = keys.join(written(firsts), ["digest", "size"]).filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    marked = rows.join(small(written(again)), "page_id", "left").select("page_id", "url", "html", "digest", "refers_to")
+    again = keys.join(written(firsts), ["digest", "size"]).filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    marked = rows.join(small(written(again)), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return written(marked.mapInArrow(_writing(folder), MANIFEST))
 
 
@@ -215,7 +215,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Write the archives to a new shared folder, read them back: one row per record.
 
-    Repeated rows are repeated records.  An empty table gives an empty result.
+    Repeated rows are repeated records, and rows that share an id but not the
+    payload are records of their own.  An empty table gives an empty result.
     """
     folder = shared_folder(pages.sparkSession)
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
