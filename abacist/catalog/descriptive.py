@@ -518,3 +518,24 @@ def chart_heatmap(spark, d):
 )
 def chart_grid(spark, d):
     return charts.grid_2d(table(spark, d, "lineitem"), "l_quantity", "l_discount")
+
+
+def _report_sql(numeric, text):
+    """What a report says of each column of customer."""
+    rows = []
+    for c, kind in numeric:
+        rows.append(f"""SELECT '{c}' AS "column", '{kind}' AS kind, count(*) AS rows, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median,
+            round(quantile_cont({c}, 0.99), 6) AS p99, CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top FROM customer""")
+    for c in text:
+        rows.append(f"""SELECT '{c}', 'categorical', count(*), count(*) - count({c}), NULL, NULL, NULL, count(DISTINCT {c}),
+            (SELECT {c} FROM customer WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) FROM customer""")
+    return " UNION ALL ".join(rows)
+
+
+@query("summary_report", _report_sql([("c_custkey", "integer"), ("c_nationkey", "integer"), ("c_acctbal", "numeric")], ["c_name", "c_mktsegment"]))
+def summary_report_query(spark, d):
+    t = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_name", "c_mktsegment")
+    report = describe.summary_report(t)
+    numeric = report["numeric"].select("column", r(F.col("mean"), 6, "mean"), r(F.col("median"), 6, "median"), r(F.col("p99"), 6, "p99"))
+    text = report["categorical"].select("column", "unique", F.col("mode").alias("top"))
+    return report["columns"].select("column", "kind", "rows", "missing").join(numeric, "column", "left").join(text, "column", "left")

@@ -271,6 +271,16 @@ def model_store_round_trip(spark, d):
     return store.load("quality-logit").transform(t).select("doc_id", "prediction", "predicted_label")
 
 
+@query("evaluate_stored_model")
+def evaluate_stored_model(spark, d):
+    from abacist.catalog.preparation import _folder
+
+    t = quality(spark, d)
+    store = learn.ModelStore(spark, _folder(spark))
+    store.save(learn.fit(t, "quality", CLASS_FEATURES, "logistic", "classification"), "quality-logit")
+    return store.load("quality-logit").evaluate(t)
+
+
 # ---- clusters ----------------------------------------------------------------------
 
 @query("kmeans")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from abacist.functions import dist
 from abacist.functions.columns import columns_of, missing, nan_to_null
 from abacist.sources.readers import upload_summary
-from abacist.plans.quantiles import clean_double, column_spans, exact_quantiles, grouped_quantiles, order_statistics
+from abacist.plans.quantiles import clean_double, column_spans, exact_quantiles, grouped_quantiles, ranked_summary
 
+#: Share of the rows that a trimmed mean leaves out at each end.
+TRIMMED = 0.1
 PERCENTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 # Aggregates per job stay well below what one generated class can hold.
 COLUMNS_PER_JOB = 12
@@ -109,39 +111,14 @@ def _chunks(columns: Sequence[str], size: int = COLUMNS_PER_JOB):
     return [list(columns[i : i + size]) for i in range(0, len(columns), size)]
 
 
-def trimmed_means(df: DataFrame, columns: Sequence[str], share: float = 0.1) -> dict[str, float | None]:
+def trimmed_means(df: DataFrame, columns: Sequence[str], share: float = TRIMMED) -> dict[str, float | None]:
     """Mean without the `int(share * n)` smallest and largest values.
 
-    Only the two cut-off order statistics are looked up; everything between
-    them is one conditional sum.
+    Only values near the two cut-offs are listed; all between them are summed
+    in the pass that finds them.
     """
     spans = column_spans(df, columns)
-    n = {c: spans[c]["n"] for c in columns}
-    cut = {c: int(share * n[c]) for c in columns}
-    ranks = {c: [cut[c], n[c] - 1 - cut[c]] for c in columns if n[c] > 2 * cut[c]}
-    if not ranks:
-        return {c: None for c in columns}
-    edge = order_statistics(df, ranks, spans=spans)
-    aggs = []
-    for c in ranks:
-        v, lo, hi = clean_double(c), edge[c, ranks[c][0]], edge[c, ranks[c][1]]
-        aggs.append(
-            F.struct(
-                F.coalesce(F.sum(F.when((v > lo) & (v < hi), v)), F.lit(0.0)).alias("inner"),
-                F.count_if(v <= lo).alias("upto_lo"),
-                F.count_if(v < hi).alias("under_hi"),
-            ).alias(c)
-        )
-    row = df.agg(*aggs).first()
-    out: dict[str, float | None] = {c: None for c in columns}
-    for c in ranks:
-        lo, hi, k, m = edge[c, ranks[c][0]], edge[c, ranks[c][1]], cut[c], n[c] - 2 * cut[c]
-        if lo == hi:
-            out[c] = lo
-        else:
-            r = row[c]
-            out[c] = (r["inner"] + lo * (r["upto_lo"] - k) + hi * (n[c] - k - r["under_hi"])) / m
-    return out
+    return ranked_summary(df, columns, {c: (spans[c]["n"], spans[c]["lo"], spans[c]["hi"]) for c in columns}, (), share).trimmed
 
 
 def mean_absolute_deviations(df: DataFrame, means: Mapping[str, float | None]) -> dict[str, float | None]:
@@ -170,15 +147,17 @@ def describe_numeric(
 ) -> DataFrame:
     """One row per numeric column: location, spread, shape, quantiles, intervals, outliers."""
     columns = list(columns) if columns else columns_of(df, "numeric")
-    basic: dict = {}
+    probs = sorted({0.25, 0.5, 0.75, *percentiles})
+    basic, quant, trim = {}, {}, {}
     for part in _chunks(columns):
         first = df.agg(*[_basic(c) for c in part]).first()
-        second = df.agg(*[_central(c, first[c]["mean"]) for c in part]).first()
-        basic |= {c: _moment_statistics(first[c], second[c]) for c in part}
-    probs = sorted({0.25, 0.5, 0.75, *percentiles})
-    quant = exact_quantiles(df, columns, probs)
+        spans = {c: (first[c]["count"], first[c]["min"], first[c]["max"]) for c in part}
+        central = [_central(c, first[c]["mean"]) for c in part]
+        ranked = ranked_summary(df, part, spans, probs, TRIMMED if include_advanced else None, central)
+        basic |= {c: _moment_statistics(first[c], ranked.extra[c]) for c in part}
+        quant |= ranked.quantiles
+        trim |= ranked.trimmed
     mode = {r["column"]: r["mode"] for r in modes(df, columns).collect()} if include_mode else {}
-    trim = trimmed_means(df, columns) if include_advanced else {}
     bounds = {}
     for c in columns:
         q = dict(zip(probs, quant[c]))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from abacist.functions.columns import missing
 from abacist.plans.ordering import with_running_totals
+from abacist.plans.session import stored
 from abacist.plans.skew import skew_join
 
 ACCURACY = 10_000
@@ -121,31 +122,39 @@ def _edges(b: _Bracket, rank: int) -> tuple[float, float]:
     return max(p - eps, 0.0), min(p + eps, 1.0)
 
 
+def _sketches(brackets: Sequence[_Bracket]) -> list[Column]:
+    """One quantile sketch per bracket, read at both ends of every rank's share."""
+    out = []
+    for k, b in enumerate(brackets):
+        v = F.col(b.column)
+        cuts = [p for r in b.ranks for p in _edges(b, r)]
+        out.append(F.percentile_approx(F.when((v >= b.lo) & (v <= b.hi), v), cuts, ACCURACY).alias(f"s{k}"))
+    return out
+
+
+def _narrowed(brackets: Sequence[_Bracket], sketched: Sequence) -> list[_Bracket]:
+    """Brackets around the ranks by what the sketches say; those that overlap become one."""
+    narrow: list[_Bracket] = []
+    for k, b in enumerate(brackets):
+        spans: list[_Bracket] = []
+        for t, r in enumerate(b.ranks):
+            p_lo, p_hi = _edges(b, r)
+            lo = b.lo if p_lo == 0.0 else sketched[k][2 * t]
+            hi = b.hi if p_hi == 1.0 else sketched[k][2 * t + 1]
+            if spans and lo <= spans[-1].hi:
+                spans[-1].hi = max(spans[-1].hi, hi)
+                spans[-1].ranks.append(r)
+            else:
+                spans.append(_Bracket(b.column, lo, hi, [r], b.slack, parent=b))
+        narrow += spans
+    return narrow
+
+
 def _refine(data: DataFrame, open_: list[_Bracket], limit: int) -> list[_Bracket]:
     """Narrow each bracket until it holds at most `limit` rows or a single value."""
     done: list[_Bracket] = []
     while open_:
-        sketches = []
-        for k, b in enumerate(open_):
-            v = F.col(b.column)
-            cuts = [p for r in b.ranks for p in _edges(b, r)]
-            sketches.append(
-                F.percentile_approx(F.when((v >= b.lo) & (v <= b.hi), v), cuts, ACCURACY).alias(f"s{k}")
-            )
-        sketched = data.agg(*sketches).first()
-        narrow: list[_Bracket] = []
-        for k, b in enumerate(open_):
-            spans: list[_Bracket] = []
-            for t, r in enumerate(b.ranks):
-                p_lo, p_hi = _edges(b, r)
-                lo = b.lo if p_lo == 0.0 else sketched[k][2 * t]
-                hi = b.hi if p_hi == 1.0 else sketched[k][2 * t + 1]
-                if spans and lo <= spans[-1].hi:
-                    spans[-1].hi = max(spans[-1].hi, hi)
-                    spans[-1].ranks.append(r)
-                else:
-                    spans.append(_Bracket(b.column, lo, hi, [r], b.slack, parent=b))
-            narrow += spans
+        narrow = _narrowed(open_, data.agg(*_sketches(open_)).first())
         _count(data, narrow)
         open_ = []
         for b in narrow:
@@ -161,6 +170,131 @@ def _refine(data: DataFrame, open_: list[_Bracket], limit: int) -> list[_Bracket
     return done
 
 
+@dataclass
+class RankedSummary:
+    """What one sketch and one counting pass tell of several columns.
+
+    quantiles[c] are in the order of the asked shares, trimmed[c] is the mean
+    without the cut-off ends, extra the further aggregates of the sketch's pass.
+    """
+
+    quantiles: dict[str, list[float | None]]
+    trimmed: dict[str, float | None]
+    extra: Row | None
+
+
+def ranked_summary(
+    df: DataFrame, columns: Sequence[str], spans: Mapping[str, tuple[int, float, float]], probs: Sequence[float], share: float | None = None,
+    extra: Sequence[Column] = (), bracket_rows: int = BRACKET_ROWS,
+) -> RankedSummary:
+    """Quantiles and trimmed means of all columns together, with `extra` aggregates of df.
+
+    spans: per column the rows that are not missing, their smallest and largest
+    value.  All ranks of all columns share one sketch; one pass then counts
+    and sums the values between the brackets and lists those inside.  Columns
+    whose brackets the sketch missed, or which hold too many rows, are asked
+    again by `order_statistics`.
+    """
+    n = {c: spans[c][0] for c in columns}
+    targets = {c: _targets(n[c], probs) if n[c] else [] for c in columns}
+    cut = {c: int(share * n[c]) for c in columns if share is not None and n[c] > 2 * int(share * n[c])}
+    ranks = {c: sorted({r for i, j, _ in targets[c] for r in (i, j)} | ({cut[c], n[c] - 1 - cut[c]} if c in cut else set())) for c in columns}
+    data = df.select(*[clean_double(c).alias(c) for c in columns])
+    roots = [_Bracket(c, spans[c][1], spans[c][2], ranks[c], inside=n[c]) for c in columns if n[c]]
+    large = [b for b in roots if b.inside > bracket_rows and b.lo < b.hi]
+    asked = [*_sketches(large), *extra]
+    row = data.select("*").agg(*asked).first() if asked else None
+    small = [_Bracket(b.column, b.lo, b.hi, b.ranks, parent=b) for b in roots if b not in large]
+    brackets = small + (_narrowed(large, row) if large else [])
+    # Wider than sketches should leave them: too many values to list.
+    wide = {b.column for b in brackets if b.lo < b.hi and b.parent in large and 4 * b.slack * len(b.ranks) / ACCURACY * b.parent.inside > bracket_rows}
+    families = _families([b for b in brackets if b.column not in wide])
+    table = stored(data.mapInPandas(_tallying(families), "f int, at int, v double, n long, s double").groupBy("f", "at", "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    total = {(r["f"], r["at"]): (r["n"], r["s"]) for r in table.filter("v IS NULL").collect()}  # two per bracket
+    missed = set(wide)
+    for f, family in enumerate(families):
+        _settle(family, {at: k for (g, at), (k, _) in total.items() if g == f})
+        missed |= {b.column for b in family if b.below > b.ranks[0] or b.ranks[-1] >= b.below + b.inside}
+    found = _picked(table.filter("v IS NOT NULL").select("f", "at", "v", "n"), families)
+    again = {c: ranks[c] for c in missed}
+    if again:
+        found |= order_statistics(df, again, bracket_rows)
+    trimmed: dict[str, float | None] = dict.fromkeys(columns)
+    ends = {c: (found[c, cut[c]], found[c, n[c] - 1 - cut[c]]) for c in cut}
+    trimmed |= {c: lo for c, (lo, hi) in ends.items() if lo == hi}
+    open_ = {c: e for c, e in ends.items() if e[0] < e[1] and c not in missed}
+    trimmed |= _inner_means(table, families, total, open_, cut, n)
+    late = [c for c in cut if c in missed]
+    if late:
+        trimmed |= _trimmed_by_pass(df, {c: ends[c] for c in late}, cut, n)
+    quantiles = {c: [found[c, i] + (found[c, j] - found[c, i]) * w for i, j, w in targets[c]] or [None] * len(probs) for c in columns}
+    return RankedSummary(quantiles, trimmed, row)
+
+
+def _tallying(families: Sequence[Sequence[_Bracket]]):
+    """Rows and sums of every place between and inside the brackets (v is NULL), and the values inside with their counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [np.zeros(2 * len(family) + 1, dtype="int64") for family in families]
+        sums = [np.zeros(2 * len(family) + 1) for family in families]
+        for pdf in batches:
+            for f, family in enumerate(families):
+                v = pdf[family[0].column].to_numpy(dtype=float)
+                v = v[~np.isnan(v)] + 0.0
+                at = _places(v, family)
+                rows[f] += np.bincount(at, minlength=len(rows[f]))
+                sums[f] += np.bincount(at, weights=v, minlength=len(rows[f]))
+                v, n = np.unique(v[at % 2 == 1], return_counts=True)
+                yield pd.DataFrame({"f": f, "at": _places(v, family), "v": v, "n": n, "s": 0.0})
+        for f in range(len(families)):
+            yield pd.DataFrame({"f": f, "at": np.arange(len(rows[f])), "v": pd.Series([None] * len(rows[f]), dtype="float64"), "n": rows[f], "s": sums[f]})
+
+    return run
+
+
+def _inner_means(table: DataFrame, families, total, ends: Mapping[str, tuple[float, float]], cut: Mapping[str, int], n: Mapping[str, int]) -> dict[str, float]:
+    """Trimmed means from the tallies between the two cut-off values and the listed values beside them."""
+    place = {}
+    for f, family in enumerate(families):
+        c = family[0].column
+        if c in ends:
+            low, high = (next(k for k, b in enumerate(family) if b.lo <= e <= b.hi) for e in ends[c])
+            place[c] = (f, 2 * low + 1, 2 * high + 1, family[low].below, family[high].below)
+    if not place:
+        return {}
+    aggs = []
+    for c, (f, low, high, *_) in place.items():
+        lo, hi = ends[c]
+        here, v, k = F.col("f") == f, F.col("v"), F.col("n")
+        beside = here & F.col("at").isin(low, high) & (v > lo) & (v < hi)
+        sums = [(beside, v * k), (here & (F.col("at") == low) & (v <= lo), k), (here & (F.col("at") == high) & (v < hi), k)]
+        aggs.append(F.struct(*[F.coalesce(F.sum(F.when(when, x)), F.lit(0)).alias(f"x{i}") for i, (when, x) in enumerate(sums)]).alias(c))
+    row = table.filter("v IS NOT NULL").agg(*aggs).first()
+    out = {}
+    for c, (f, low, high, below_low, below_high) in place.items():
+        (lo, hi), k = ends[c], cut[c]
+        inner = row[c]["x0"] + sum(total.get((f, at), (0, 0.0))[1] for at in range(low + 1, high))
+        # Brackets between the two ends were summed as a whole.
+        upto_lo, under_hi = below_low + row[c]["x1"], below_high + row[c]["x2"]
+        out[c] = (inner + lo * (upto_lo - k) + hi * (n[c] - k - under_hi)) / (n[c] - 2 * k)
+    return out
+
+
+def _trimmed_by_pass(df: DataFrame, ends: Mapping[str, tuple[float, float]], cut: Mapping[str, int], n: Mapping[str, int]) -> dict[str, float]:
+    """Trimmed means by one more pass, from cut-off values that are known."""
+    aggs = []
+    for c, (lo, hi) in ends.items():
+        v = clean_double(c)
+        inner = F.coalesce(F.sum(F.when((v > lo) & (v < hi), v)), F.lit(0.0))
+        aggs.append(F.struct(inner.alias("inner"), F.count_if(v <= lo).alias("upto_lo"), F.count_if(v < hi).alias("under_hi")).alias(c))
+    row = df.agg(*aggs).first()
+    out = {}
+    for c, (lo, hi) in ends.items():
+        k, r = cut[c], row[c]
+        out[c] = lo if lo == hi else (r["inner"] + lo * (r["upto_lo"] - k) + hi * (n[c] - k - r["under_hi"])) / (n[c] - 2 * k)
+    return out
+
+
 def _families(brackets: Sequence[_Bracket]) -> list[list[_Bracket]]:
     """Brackets that came from one enclosing bracket: ordered and disjoint."""
     groups: dict[tuple[str, int], list[_Bracket]] = {}
@@ -191,18 +325,22 @@ def _count(data: DataFrame, brackets: list[_Bracket]) -> None:
     parts = data.mapInPandas(tally, "f int, at int, n long")
     seen = {(r["f"], r["at"]): r["n"] for r in parts.groupBy("f", "at").agg(F.sum("n").alias("n")).collect()}  # two per bracket
     for f, family in enumerate(families):
-        below = 0
-        for k, b in enumerate(family):
-            below += seen.get((f, 2 * k), 0)
-            b.below, b.inside = below, seen.get((f, 2 * k + 1), 0)
-            below += b.inside
+        _settle(family, {at: n for (g, at), n in seen.items() if g == f})
+
+
+def _settle(family: Sequence[_Bracket], rows: Mapping[int, int]) -> None:
+    """Rows below and inside each bracket from the counts of all places."""
+    below = 0
+    for k, b in enumerate(family):
+        below += rows.get(2 * k, 0)
+        b.below, b.inside = below, rows.get(2 * k + 1, 0)
+        below += b.inside
 
 
 def _read_off(data: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int], float]:
     """Count each value inside the brackets and pick the wanted ranks."""
     if not brackets:
         return {}
-    spark = data.sparkSession
     families = _families(brackets)
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,19 +353,24 @@ def _read_off(data: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, int]
                 yield pd.DataFrame({"f": f, "at": _places(v, family), "v": v, "n": n})
 
     kept = data.mapInPandas(inside, "f int, at int, v double, n long")
-    counts = kept.groupBy("f", "at", "v").agg(F.sum("n").alias("n"))
+    return _picked(kept.groupBy("f", "at", "v").agg(F.sum("n").alias("n")), families)
+
+
+def _picked(counts: DataFrame, families: Sequence[Sequence[_Bracket]]) -> dict[tuple[str, int], float]:
+    """The wanted ranks among values with counts, by family and place."""
+    rows = [
+        (f, 2 * k + 1, b.column, r, r - b.below)
+        for f, family in enumerate(families)
+        for k, b in enumerate(family)
+        for r in b.ranks
+        if 0 <= r - b.below < b.inside
+    ]
+    if not rows:
+        return {}
     running = F.sum("n").over(
         Window.partitionBy("f", "at").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
-    wanted = spark.createDataFrame(
-        [
-            (f, 2 * k + 1, b.column, r, r - b.below)
-            for f, family in enumerate(families)
-            for k, b in enumerate(family)
-            for r in b.ranks
-        ],
-        "wf int, wat int, name string, rank long, pos long",
-    )
+    wanted = counts.sparkSession.createDataFrame(rows, "wf int, wat int, name string, rank long, pos long")
     here = (F.col("f") == F.col("wf")) & (F.col("at") == F.col("wat"))
     picked = (
         counts.withColumn("upto", running)

@@ -15,7 +15,7 @@ from abacist.plans.moments import _narrow, _wide, complete
 from abacist.plans.neighbours import by_tree, nearest_neighbours, points, search_bounds
 from abacist.plans.ordering import carried, windowed, with_row_index, with_running_totals
 from abacist.plans.pivots import PivotTree
-from abacist.plans.quantiles import exact_quantiles, grouped_quantiles, order_statistics
+from abacist.plans.quantiles import exact_quantiles, grouped_quantiles, order_statistics, ranked_summary
 from abacist.plans.ranks import average_ranks
 
 
@@ -187,3 +187,25 @@ def test_tree_search_equals_brute_force(spark):
     for i in range(len(x)):
         want = sorted((d[i, j], j) for j in range(len(x)) if j != i)[:6]
         assert np.allclose([v for v, _ in sorted(got[i])[:6]], [v for v, _ in want])
+
+
+@pytest.mark.parametrize("limit", [10, 60, 100_000])
+def test_ranked_summary_of_several_columns(spark, limit):
+    rng = np.random.default_rng(limit)
+    n = 4000
+    x = pd.DataFrame({
+        "a": rng.normal(0, 5, n), "b": rng.integers(0, 6, n).astype(float), "c": np.where(rng.random(n) < 0.4, 7.0, rng.normal(7, 3, n)),
+        "d": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(2, n)), "e": np.full(n, 2.5), "g": np.full(n, np.nan),
+    })
+    df = spark.createDataFrame(x).repartition(7)
+    spans = {c: (int(x[c].count()), *((float(x[c].min()), float(x[c].max())) if x[c].count() else (None, None))) for c in x}
+    probs = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    got = ranked_summary(df, list(x), spans, probs, 0.1, [F.sum("b").alias("total")], bracket_rows=limit)
+    assert got.extra["total"] == x["b"].sum()
+    for c in x:
+        v = np.sort(x[c].dropna().to_numpy())
+        if not len(v):
+            assert got.quantiles[c] == [None] * 6 and got.trimmed[c] is None
+            continue
+        k = int(0.1 * len(v))
+        assert np.allclose(got.quantiles[c], np.quantile(v, probs)) and np.isclose(got.trimmed[c], v[k : len(v) - k].mean()), c
