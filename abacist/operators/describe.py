@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from abacist.functions import dist
 from abacist.functions.columns import columns_of, missing, nan_to_null
 from abacist.sources.readers import upload_summary
+from abacist.plans.distinct import exact_counts
 from abacist.plans.quantiles import clean_double, column_spans, exact_quantiles, grouped_quantiles, ranked_summary
 
 #: Share of the rows that a trimmed mean leaves out at each end.
@@ -282,8 +283,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
         entries = [F.struct(F.lit(c).alias("column"), F.col(c)["d"].alias("unique"), F.col(c)["n"].alias("count")) for c in columns]
         out = one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     else:
-        counts = value_counts(df, columns)
-        out = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.sum("n").alias("count"))
+        # A column without values has no row.
+        out = exact_counts(df, columns).filter(F.col("unique") > 0)
     return out.withColumn("unique_ratio", F.try_divide(F.col("unique"), F.col("count")))
 
 

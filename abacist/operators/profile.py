@@ -5,37 +5,44 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abacist.functions.columns import columns_of
 from abacist.operators.describe import distinct_counts, iqr_bounds, missing_counts
+from abacist.plans.distinct import settled_counts
 from abacist.plans.quantiles import clean_double, exact_quantiles
 
 
+def _role(numeric: bool, unique: float, ratio: float) -> str:
+    if unique == 2:
+        return "binary"
+    if numeric:
+        return "ordinal" if ratio < 0.05 and unique < 20 else "numeric"
+    return "categorical" if ratio < 0.5 else "text"
+
+
 def infer_roles(df: DataFrame) -> DataFrame:
-    """Role per column: numeric, ordinal, binary, categorical, text, datetime."""
+    """Role per column: numeric, ordinal, binary, categorical, text, datetime.
+
+    Distinct values come from sketches where those decide the role; `unique` is
+    then an estimate and `exact` false.  Columns near a threshold are counted.
+    """
     numeric = set(columns_of(df, "numeric")) | set(columns_of(df, "boolean"))
     dates = set(columns_of(df, "datetime"))
+    n = df.count()
+
+    def role(c: str, unique: float) -> str:
+        return _role(c in numeric, unique, unique / n if n else 1.0)
+
     usable = [c for c in df.columns if c not in dates]
-    n = F.lit(df.count())
-    counted = distinct_counts(df, usable) if usable else None
-    names = df.sparkSession.createDataFrame(
-        [(i, c, c in numeric, c in dates) for i, c in enumerate(df.columns)], "position int, column string, is_num boolean, is_date boolean"
-    )
-    if counted is None:
-        return names.select("position", "column", F.lit("datetime").alias("role"), F.lit(None).cast("long").alias("unique"))
-    joined = names.join(counted.select("column", "unique"), "column", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
-    ratio = F.try_divide(F.col("unique"), n)
-    role = (
-        F.when(F.col("is_date"), "datetime")
-        .when(F.col("unique") == 2, "binary")
-        .when(F.col("is_num") & (ratio < 0.05) & (F.col("unique") < 20), "ordinal")
-        .when(F.col("is_num"), "numeric")
-        .when(ratio < 0.5, "categorical")
-        .otherwise("text")
-    )
-    return joined.select("position", "column", role.alias("role"), F.when(~F.col("is_date"), F.col("unique")).alias("unique"))
+    known = settled_counts(df, usable, lambda c, d: role(c, d.low) != role(c, d.high)) if usable else {}
+    rows = []
+    for i, c in enumerate(df.columns):
+        d = known.get(c)
+        middle = None if d is None else round((d.low + d.high) / 2)
+        rows.append((i, c, "datetime" if d is None else role(c, middle), middle, None if d is None else d.exact))
+    return df.sparkSession.createDataFrame(rows, "position int, column string, role string, unique long, exact boolean")
 
 
 def apply_roles(df: DataFrame) -> DataFrame:
@@ -44,9 +51,20 @@ def apply_roles(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata={**df.schema[c].metadata, "role": roles[c]}) for c in df.columns])
 
 
+def row_names(df: DataFrame) -> list[Column]:
+    """128 bits that name a row: equal rows have equal names, NULLs and their places included."""
+    floats = {f.name for f in df.schema.fields if f.dataType.simpleString() in ("float", "double")}
+    # Adding zero turns -0.0 into 0.0; hashes pass over NULL, so where they stand is hashed as well.
+    cells = [F.col(f"`{c}`") + 0.0 if c in floats else F.col(f"`{c}`") for c in df.columns]
+    gaps = [F.col(f"`{c}`").isNull() for c in df.columns]
+    return [F.xxhash64(F.lit(seed), *cells, *gaps).alias(f"_name{seed}") for seed in (1, 2)]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row: count and rate."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows that repeat an earlier row: count and rate.  Rows meet by 128-bit names, not by their whole width."""
+    if any("map<" in f.dataType.simpleString() for f in df.schema.fields):
+        df = df.select(*[F.to_json(f"`{f.name}`").alias(f.name) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields])
+    groups = df.select(*row_names(df)).groupBy("_name1", "_name2").agg(F.count(F.lit(1)).alias("_n"))
     out = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
     return out.withColumn("rate", F.coalesce(F.try_divide(F.col("duplicates"), F.col("rows")), F.lit(0.0)))
 
@@ -56,9 +74,10 @@ def duplicate_columns(df: DataFrame) -> list[str]:
 
 
 def id_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Columns in which every row has its own value."""
-    counts = distinct_counts(df, list(columns or df.columns))
-    return counts.filter(F.col("unique") == F.lit(df.count())).select("column")
+    """Columns in which every row has its own value; only those that a sketch lets be so are counted."""
+    n = df.count()
+    known = settled_counts(df, list(columns or df.columns), lambda c, d: d.count == n and d.high >= n)
+    return df.sparkSession.createDataFrame([(c,) for c, d in known.items() if n and d.exact and d.low == n], "column string")
 
 
 def mixed_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
