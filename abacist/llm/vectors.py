@@ -30,7 +30,7 @@ class Space:
         self.budget = [(2 - 2 * threshold) * len(b) / max(dims, 1) + 1e-9 for b in self.blocks]
         self.threshold = threshold
         cells = int(min(MAX_CELLS, max(1, -(-rows // CELL_ROWS)), max(1, len(sample))))
-        turned = self.turned(sample)
+        turned = self.turned(scaled(sample))
         self.pivots = [turned[np.linspace(0, len(sample) - 1, cells).astype(int)][:, b] if len(sample) else np.zeros((1, len(b))) for b in self.blocks]
 
     def turned(self, x: np.ndarray) -> np.ndarray:
@@ -50,9 +50,14 @@ class Space:
         return home, np.nonzero(near)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 0.5 to 1: squares neither overflow nor vanish, angles stay."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    return scaled(values.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
 
 
 def _spread(shared):

@@ -62,3 +62,13 @@ def test_pages_of_one_id(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     wanted = [(3, sha(a), "response", 0), (4, sha(b), "response", 0), (7, sha(a), "revisit", 3), (7, sha(b), "revisit", 4), (7, sha(c), "response", 0), (0, sha(a), "response", 0)]
     assert found == sorted(wanted)
+
+
+def test_vectors_of_any_magnitude(spark):
+    from abacist.llm import vectors
+
+    rows = [(1, [1e-170, 2e-170]), (2, [1.1e-170, 2e-170]), (3, [1e200, 2e200]), (4, [1.1e200, 2.1e200]), (5, [5e-324, 1e-323]), (6, [1.0, -2.0]), (7, [1e308, 0.0]), (8, [0.0, 1e-300]), (9, [2e-300, 1e-310])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    unit = {i: [x / max(map(abs, v)) for x in v] for i, v in rows}
+    cos = lambda u, v: sum(a * b for a, b in zip(u, v)) / (sum(a * a for a in u) * sum(b * b for b in v)) ** 0.5
+    assert {i: n for i, (n, _) in found.items()} == {i: sum(j != i and cos(unit[i], unit[j]) >= 0.9 for j in unit) for i in unit}
