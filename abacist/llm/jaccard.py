@@ -19,6 +19,8 @@ BITS = 1024
 BLOCK_ROWS = 4096
 #: Hashes that deal a set into parts, tried in turn.
 HASHES = 8
+#: Rounds in which tiles of several components try the first set of a second one before all pairs are compared.
+ROUNDS = 2
 #: Tile rows that a task holds packed at a time, and tokens for which one partition is meant.
 FLUSH_TOKENS = 1 << 21
 PART_TOKENS = 1 << 21
@@ -334,10 +336,22 @@ def _linked(rule: Rule, docs: DataFrame, signed: DataFrame, pairs: DataFrame) ->
     return met.unionByName(known.filter("same").select("a", "b"))
 
 
-def _crossing(rule: Rule, shared: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, id, label): the tiles with the component that each set is in so far."""
+    return written(shared.join(labels, "id", "left").select("token", "id", F.coalesce("root", "id").alias("label")))
+
+
+def _second_heads(named: DataFrame) -> DataFrame:
+    """Pairs of each set with the first set of its tile that is in another component than the tile's first one: as many as there are rows."""
+    first = named.groupBy("token").agg(F.min(F.struct("id", "label")).alias("first"))
+    mixed = named.join(first, "token").filter("label <> first.label")
+    second = mixed.groupBy("token").agg(F.min(F.struct("id", "label")).alias("second"))
+    pairs = named.join(second, "token").filter("label <> second.label")
+    return pairs.select(F.least("id", "second.id").alias("a"), F.greatest("id", "second.id").alias("b")).distinct()
+
+
+def _crossing(rule: Rule, named: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs of tiles that may join two components."""
-    named = shared.join(labels, "id", "left").select("token", "id", F.coalesce("root", "id").alias("label"))
-    named = written(named)
     mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
     rows = named.join(mixed.select("token", "rows"), "token")
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
@@ -357,8 +371,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     Words are runs without ASCII white space, A-Z lower-cased.  A set enters
     the tiles of its size band and of the one below, one for each part of the
     set, so that sets that link share a tile.  A first round compares each set
-    with the smallest id of its tiles.  The second takes the tiles in which
-    more than one component is left and compares all pairs across components:
+    with the smallest id of its tiles.  Where more than one component is left in
+    a tile, further rounds compare each set with the first one of a second
+    component.  The last takes the tiles in which components still differ and
+    compares all pairs across them:
     sizes and bit counts of signatures bound the intersection from above, then
     whole sorted sets decide.  Groups of copies thus never form all their
     pairs, and no link between components is lost.
@@ -382,7 +398,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     heads = shared.groupBy("token").agg(F.min("id").alias("a"))
     near = written(shared.join(heads, "token").filter("a < id").select("a", F.col("id").alias("b")).distinct())
     links = _linked(rule, rows, known, near)
-    rest = _crossing(rule, shared, signed, _roots(links)).join(near, ["a", "b"], "left_anti")
+    for _ in range(ROUNDS):
+        more = _second_heads(_labelled(shared, _roots(links))).join(near, ["a", "b"], "left_anti")
+        more = written(more)
+        links, near = written(links.unionByName(_linked(rule, rows, known, more))), near.unionByName(more)
+    rest = _crossing(rule, _labelled(shared, _roots(links)), signed).join(near, ["a", "b"], "left_anti")
     roots = _roots(links.unionByName(_linked(rule, rows, known, rest)))
     return signed.select("id", "n").join(roots, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
