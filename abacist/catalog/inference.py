@@ -600,3 +600,13 @@ def accelerated_failure(spark, d):
     t = table(spark, d, "events").filter("value > 0").select("value", (F.col("event_type") != "error").cast("double").alias("e"), F.col("user_id").cast("double").alias("u"))
     m = ts.accelerated_failure(t, "value", "e", ["u"])
     return spark.createDataFrame([("u", float(m.coefficients[0])), ("intercept", float(m.intercept)), ("scale", float(m.scale))], "term string, coef double")
+
+
+@query("multinomial_logit", """WITH c AS (SELECT o_orderstatus AS k, count(*) FILTER (o_orderpriority <> '1-URGENT') AS a, count(*) FILTER (o_orderpriority = '1-URGENT') AS b FROM orders GROUP BY 1),
+    r AS (SELECT a AS ra, b AS rb FROM c ORDER BY k LIMIT 1), t AS (SELECT k, ln(a / ra) AS const, ln(b / rb) - ln(a / ra) AS slope, sqrt(1 / a + 1 / ra) AS sc, sqrt(1 / a + 1 / ra + 1 / b + 1 / rb) AS ss FROM c, r WHERE k <> (SELECT min(k) FROM c))
+    SELECT k AS "class", 'urgent' AS term, round(slope, 6) AS coef, round(ss, 6) AS se, round(slope / ss, 4) AS z FROM t UNION ALL SELECT k, 'const', round(const, 6), round(sc, 6), round(const / sc, 4) FROM t""")
+def multinomial_logit(spark, d):
+    from abacist.operators.multinomial import multinomial_logit as fit
+
+    t = table(spark, d, "orders").select("o_orderstatus", (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"))
+    return pick(fit(t, "o_orderstatus", ["urgent"]).summary(), **{"class": None, "term": None, "coef": 6, "se": 6, "z": 4})

@@ -14,7 +14,7 @@ from abacist.operators.evaluate import classification_metrics
 from abacist.plans.moments import moments
 from abacist.plans.neighbours import nearest_neighbours, points
 from abacist.plans.quantiles import clean_double, complete_rows, exact_quantiles
-from abacist.plans.session import durable
+from abacist.plans.session import durable, stored
 from abacist.plans.skew import skew_join
 
 
@@ -88,7 +88,8 @@ class IsolationForest:
         self.unit = float(_average_path(size))
         self.offset = 0.5
         if self.contamination is not None:
-            self.offset = _cut(self.scores(df), 1.0 - self.contamination)
+            # The search for the cut reads the scores several times: the trees run once.
+            self.offset = _cut(stored(self.scores(df).select("score")), 1.0 - self.contamination)
         return self
 
     def scores(self, df: DataFrame) -> DataFrame:

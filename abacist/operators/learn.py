@@ -22,10 +22,11 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     NaiveBayes,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -212,22 +213,31 @@ class TrainedModel:
             out = out.withColumns({"auc": F.lit(auc(p, LABEL, "p").first()["auc"]), "log_loss": F.lit(log_loss(p, LABEL, "p").first()[0])})
         return out
 
+    def input_names(self) -> list[str]:
+        """Names of the vector's places: features, or `feature=level` where levels have places of their own."""
+        hot = any(isinstance(s, OneHotEncoderModel) for s in self.fitted.stages)
+        known = {c: x for s in self.fitted.stages if isinstance(s, StringIndexerModel) and hot for c, x in zip(s.getInputCols(), s.labelsArray)}
+        return [name for c in self.meta.features for name in ([f"{c}={x}" for x in known[c]] if c in known else [c])]
+
     def importance(self, normalize: bool = False) -> DataFrame:
         """Tree importances or absolute coefficients, largest first."""
-        scored = [s for s in self.fitted.stages if hasattr(s, "featureImportances") or hasattr(s, "coefficients") or hasattr(s, "coefficientMatrix")]
+        kinds = ("featureImportances", "coefficients", "coefficientMatrix", "models")
+        scored = [s for s in self.fitted.stages if any(hasattr(s, k) for k in kinds)]
         if not scored:
             raise ValueError(f"{self.meta.algorithm} has no feature importance")
         model = scored[0]
-        if hasattr(model, "featureImportances"):
+        if isinstance(model, OneVsRestModel):
+            parts = [m.featureImportances if hasattr(m, "featureImportances") else m.coefficients for m in model.models]
+            values = np.abs([p.toArray() for p in parts]).mean(0)
+        elif hasattr(model, "featureImportances"):
             values = model.featureImportances.toArray()
         elif getattr(model, "numClasses", 2) > 2:
             values = np.abs(model.coefficientMatrix.toArray()).mean(0)
         else:
             values = np.abs(model.coefficients.toArray())
-        if len(values) != len(self.meta.features):
+        names = self.input_names()
+        if len(values) != len(names):  # features made by a kernel have no names of their own
             names = [f"{i}" for i in range(len(values))]
-        else:
-            names = self.meta.features
         total = values.sum()
         if normalize and total > 0:
             values = values / total
@@ -401,7 +411,9 @@ def grid_search(
     builder = ParamGridBuilder()
     chosen = dict(grid or GRIDS.get(algorithm, {}))
     for name, values in chosen.items():
-        builder = builder.addGrid(last.getParam(name), list(values))
+        # Several classes wrap the learner that has the parameter.
+        owner = last.getClassifier() if isinstance(last, OneVsRest) else last
+        builder = builder.addGrid(owner.getParam(name), list(values))
     maps = builder.build()
     judge = (
         MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
