@@ -266,7 +266,7 @@ def test_no_task_judges_a_hot_trigger_whole(spark, rows, monkeypatch, most):
 def test_repeats_of_nothing(spark, none):
     assert passages.remove_passages(none).count() == substrings.remove_substrings(none).count() == 0
     df = spark.createDataFrame([(None, "x"), (1, None), (1, None)], "doc_id long, text string")
-    assert [r.n_words for r in passages.remove_passages(df).collect()] == [0, 0]
+    assert sorted(r.n_words for r in passages.remove_passages(df).collect()) == [0, 0, 1]
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted(tuple(r)[:3] for r in passages.remove_passages(df).collect()) == [(1, 30, 0), (1, 30, 0), (2, 30, 30)]
