@@ -54,6 +54,15 @@ def _shifted(cell: Column, dims: int, offsets: Sequence[tuple[int, ...]]) -> Col
     return F.array(*[F.array(*[cell[i] + F.lit(o[i]) for i in range(dims)]) for o in offsets])
 
 
+def _around(rows: DataFrame, dims: int, offsets: Sequence[tuple[int, ...]], *keep: str | Column) -> DataFrame:
+    """(keep, near): each row once for every cell near its own.
+
+    The planner takes the repeats for as many rows as there were before; by that size it would send all of them to
+    the driver as a broadcast.
+    """
+    return rows.select(*keep, F.explode(_shifted(F.col("cell"), dims, offsets)).alias("near")).hint("merge")
+
+
 def _square_distance(a: str, b: str, dims: int) -> Column:
     return sum(((F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(dims)), F.lit(0.0))
 
@@ -119,15 +128,15 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     full = durable(skew_join(spots, heavy.withColumn("_full", F.lit(True)), ["cell"]).drop("_full"))
     thin = durable(spots.join(heavy, "cell", "left_anti"))
     offsets = _offsets(dims)
-    asking = thin.select("x", "cell", F.explode(_shifted(F.col("cell"), dims, offsets)).alias("near"))
+    asking = _around(thin, dims, offsets, "x", F.col("cell").alias("from_cell"))
     # Each cell is asked by at most (offsets x min_points) points of thin cells.
-    met = skew_join(spots.select(F.col("cell").alias("near"), F.col("x").alias("y"), "w"), asking.withColumnRenamed("cell", "from_cell"), ["near"])
+    met = skew_join(spots.select(F.col("cell").alias("near"), F.col("x").alias("y"), "w"), asking, ["near"])
     close = met.filter(_square_distance("x", "y", dims) <= F.lit(eps * eps))
     counts = close.groupBy("x").agg(F.sum("w").alias("seen"))
     thin_core = durable(thin.join(counts, "x").filter(F.col("seen") >= min_points).select("x", "cell"))
     core = durable(full.select("x", "cell").unionByName(thin_core))
     # Links that involve a core point of a thin cell, again a bounded number per cell.
-    asking = thin_core.select("x", F.col("cell").alias("from_cell"), F.explode(_shifted(F.col("cell"), dims, offsets)).alias("near"))
+    asking = _around(thin_core, dims, offsets, "x", F.col("cell").alias("from_cell"))
     met = skew_join(core.select(F.col("cell").alias("near"), F.col("x").alias("y")), asking, ["near"])
     thin_links = met.filter(_square_distance("x", "y", dims) <= F.lit(eps * eps)).select(F.col("from_cell").alias("a"), F.col("near").alias("b")).distinct()
     links = thin_links.unionByName(_full_links(full, dims, side, eps))
@@ -140,7 +149,7 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     core_label = durable(core_label)
     # Border points: thin, not core, within eps of a core point.
     border = thin.join(thin_core.select("x"), "x", "left_anti")
-    asking = border.select("x", F.explode(_shifted(F.col("cell"), dims, offsets)).alias("near"))
+    asking = _around(border, dims, offsets, "x")
     met = skew_join(core_label.select(F.col("cell").alias("near"), F.col("x").alias("y"), "cluster"), asking, ["near"])
     reached = met.filter(_square_distance("x", "y", dims) <= F.lit(eps * eps)).groupBy("x").agg(F.min("cluster").alias("cluster"))
     labels = core_label.select("x", "cluster", F.lit(True).alias("core")).unionByName(reached.withColumn("core", F.lit(False)))

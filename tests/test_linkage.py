@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from abacist.operators import linkage
+from abacist.operators import density, linkage
 from abacist.operators.density import dbscan
 from abacist.plans.neighbours import points
 
@@ -79,3 +79,19 @@ def test_density_beyond_four_features(spark):
     number = {v: k for k, v in enumerate(sorted(set(label[core])))}
     want = [number[label[i]] if core[i] else min([number[label[j]] for j in np.flatnonzero(near[i] & core)], default=-1) for i in range(len(x))]
     assert got["core"].tolist() == core.tolist() and got["cluster"].tolist() == want
+
+
+def test_repeated_points_of_the_grid_are_not_broadcast(spark, monkeypatch):
+    plans, join = [], density.skew_join
+
+    def seen(big, other, on, *rest, **options):
+        out = join(big, other, on, *rest, **options)
+        if list(on) == ["near"]:
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(density, "skew_join", seen)
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 0.3, (60, 2)), rng.uniform(-9, 9, (60, 2))])
+    dbscan(frame(spark, x), ["f0", "f1"], "id", 0.5, 5).collect()
+    assert len(plans) == 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
