@@ -8,8 +8,9 @@ cells are linked by testing sub-cells of a finer and finer grid, where most
 are decided by their boxes alone.
 
 Beyond four features a grid has too many neighbouring cells.  There the
-points form a tree of pivots and meet the blocks that their balls reach; only
-counts and one spanning forest per block leave a task, never pairs.
+points form a tree of pivots and meet the leaves that their balls reach, room
+by room; only counts and one spanning forest per room leave a task, never
+pairs.
 """
 
 from __future__ import annotations
@@ -203,8 +204,15 @@ def _by_tree(df: DataFrame, features: Sequence[str], key: str, eps: float, min_p
     # Most points of a cluster have enough company in their own block and need not look further.
     home = tree.meet(tree.points.select("id", "x", "cell", "leaf", "part"), seen, "id long, seen long")
     sure = stored(home.filter(F.col("seen") >= min_points).select("id"))
-    visits = stored(tree.visits(spots.join(sure, "id", "left_anti").select("id", "x", ball)))
-    more = tree.meet(visits, seen, "id long, seen long").groupBy("id").agg(F.sum("seen").alias("seen"))
+
+    def summed(found: pa.Table) -> pa.Table:
+        ids, at = np.unique(found["id"].to_numpy(), return_inverse=True)
+        total = np.zeros(len(ids), np.int64)
+        np.add.at(total, at, found["seen"].to_numpy())
+        return pa.Table.from_arrays([pa.array(ids), pa.array(total)], schema=counts)
+
+    asking = stored(spots.join(sure, "id", "left_anti").select("id", "x", ball))
+    more = tree.search(asking, seen, "id long, seen long", summed).groupBy("id").agg(F.sum("seen").alias("seen"))
     core = stored(sure.unionByName(more.filter(F.col("seen") >= min_points).select("id")))
     cores = replace(tree, points=stored(tree.points.join(core, "id")))
     links = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
@@ -221,8 +229,14 @@ def _by_tree(df: DataFrame, features: Sequence[str], key: str, eps: float, min_p
             src, dst = u, v
         return pa.Table.from_arrays([pa.array(src), pa.array(dst)], schema=links)
 
-    visits = stored(tree.visits(spots.join(core, "id").select("id", "x", ball)))
-    edges = cores.meet(visits, linked, "src long, dst long").distinct()
+    def joined(found: pa.Table) -> pa.Table:
+        src, dst = found["src"].to_numpy(), found["dst"].to_numpy()
+        names = np.union1d(src, dst)
+        src, dst = _forest(names, np.searchsorted(names, src), np.searchsorted(names, dst))
+        return pa.Table.from_arrays([pa.array(src), pa.array(dst)], schema=links)
+
+    asking = cores.points.select("id", "x", ball)
+    edges = cores.search(asking, linked, "src long, dst long", joined).distinct()
     comp = connected_components(core.select(F.col("id").alias("node")), edges)
     label = stored(_numbered(comp).select(F.col("node").alias("id"), "cluster"))
     named = replace(tree, points=stored(cores.points.join(label, "id")))
@@ -237,8 +251,14 @@ def _by_tree(df: DataFrame, features: Sequence[str], key: str, eps: float, min_p
         hit = np.flatnonzero(best != np.iinfo(np.int32).max)
         return pa.Table.from_arrays([visitors["id"].combine_chunks().take(pa.array(hit)), pa.array(best[hit])], schema=reached)
 
-    visits = stored(tree.visits(spots.join(core, "id", "left_anti").select("id", "x", ball)))
-    border = named.meet(visits, bordering, "id long, cluster int").groupBy("id").agg(F.min("cluster").alias("cluster"))
+    def smallest(found: pa.Table) -> pa.Table:
+        ids, at = np.unique(found["id"].to_numpy(), return_inverse=True)
+        best = np.full(len(ids), np.iinfo(np.int32).max, np.int32)
+        np.minimum.at(best, at, found["cluster"].to_numpy())
+        return pa.Table.from_arrays([pa.array(ids), pa.array(best)], schema=reached)
+
+    asking = stored(spots.join(core, "id", "left_anti").select("id", "x", ball))
+    border = named.search(asking, bordering, "id long, cluster int", smallest).groupBy("id").agg(F.min("cluster").alias("cluster"))
     labels = label.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
     known = spots.join(labels, "id").select("x", "cluster", "core")
     out = skew_join(rows, known, ["x"], "left")

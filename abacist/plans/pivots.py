@@ -7,6 +7,10 @@ a leaf only if it reaches the ring of distances that the leaf's points have
 from their pivot, and the side of the leaf's pivot of the plane between it and
 the pivot nearest to the ball's centre.  Cells and leaves are cut by their own
 counts of points and of visitors, so no task holds a crowded one.
+
+Cells share a bounded number of rooms.  A search sends a visitor, with its
+coordinates, once to each room that its ball reaches, not once to each leaf;
+the leaves to compare are picked inside the room's task.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +33,17 @@ BLOCK_VISITORS = 20_000
 #: Top pivots at most: their coordinates are broadcast.
 MAX_TOP = 4_096
 #: Rows of one cell that look for their leaves in one task.
-CELL_ROWS = 100_000
+CELL_ROWS = 32_768
+#: Rooms that small cells are packed into; points and bytes of coordinates of a room, and visitors of it in one task.
+ROOMS = 16
+ROOM_POINTS = 65_536
+ROOM_BYTES = 32 << 20
+ROOM_VISITORS = 32_768
+#: Bytes of coordinates that one batch of visitors takes; rows of a room's results that are folded at a time.
+BATCH_BYTES = 8 << 20
+FOLD_ROWS = 250_000
 #: Distances held at a time.
-STEP = 4_000_000
+STEP = 1_000_000
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -151,6 +164,73 @@ class PivotTree:
         right = self.points.select(*known)
         return _together(visits, right, ["cell", "leaf", "part"], BLOCK_VISITORS, work, schema)
 
+    def search(self, rows: DataFrame, work: Callable, schema: str, fold: Callable | None = None) -> DataFrame:
+        """work(visitors, points) for the leaves that may hold points within `bound` of x; further columns of rows are kept.
+
+        `rows` is read twice.  `fold` shortens a table of results; a room returns what is left of all its leaves.
+        """
+        first, parts = self._rooms()
+        used = np.flatnonzero(self.sizes > 0)
+        spark = rows.sparkSession
+        # At most MAX_TOP rows.
+        rooms = F.broadcast(spark.createDataFrame([(int(c), int(first[c]), int(parts[c])) for c in used], "cell int, first int, parts int"))
+        known = [c for c in self.points.columns if c != "part"]
+        points = self.points.select(*known).join(rooms, "cell").withColumn("room", (F.col("first") + F.pmod(F.xxhash64("id", F.lit(6)), F.col("parts"))).cast("int"))
+        pivots = self.leaves.select("cell", "leaf", F.col("p").alias("x")).join(rooms, "cell").withColumn("room", F.explode(F.expr("sequence(first, first + parts - 1)")))
+        pivots = pivots.select("room", *[F.col(c) if c in ("x", "cell", "leaf") else F.lit(None).cast(self.points.schema[c].dataType).alias(c) for c in known])
+        right = points.select("room", *known).unionByName(pivots)
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        visitors = rows.mapInArrow(self._rooms_met(first, parts), f"{fields}, room int, cells array<int>")
+        most = int(min(ROOM_VISITORS, self._room_points(), max(BLOCK_POINTS, self.sizes.sum() // 4)))
+        return _together(visitors, right, ["room"], most, _in_room(work, fold), schema)
+
+    def _room_points(self) -> int:
+        return max(LEAF_POINTS, min(ROOM_POINTS, ROOM_BYTES // (8 * max(1, self.top.shape[1]))))
+
+    def _rooms(self) -> tuple[np.ndarray, np.ndarray]:
+        """By cell the first of its rooms and how many it has: small cells share one, large ones are cut."""
+        limit = self._room_points()
+        aim = min(limit, max(BLOCK_POINTS, -(-int(self.sizes.sum()) // ROOMS)))
+        middle = self.top - self.top.mean(axis=0)
+        axis = np.linalg.eigh(middle.T @ middle)[1][:, -1]
+        first, parts = np.zeros(len(self.top), np.int64), np.maximum(1, -(-self.sizes // limit))
+        room, held = 0, 0
+        for c in np.argsort(middle @ axis, kind="stable"):
+            if held and held + self.sizes[c] > aim:
+                room, held = room + 1, 0
+            first[c] = room
+            if parts[c] > 1:
+                room, held = room + int(parts[c]), 0
+            else:
+                held += int(self.sizes[c])
+        return first, parts
+
+    def _rooms_met(self, first: np.ndarray, parts: np.ndarray):
+        top, sizes, near, far = self.top, self.sizes, self.near, self.far
+        used = np.flatnonzero(sizes > 0)
+        rooms = int((first + parts).max())
+        step = max(1, min(STEP // len(top), BATCH_BYTES // (8 * max(1, top.shape[1]) * min(rooms, len(top)))))
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, bound = matrix(batch.column(batch.schema.get_field_index("x"))), batch.column(batch.schema.get_field_index("bound")).to_numpy()
+                for s in range(0, len(x), step):
+                    q, c = np.nonzero(meets(distances(x[s : s + step], top), near, far, bound[s : s + step])[:, used])
+                    c = used[c]
+                    times = parts[c]
+                    room = np.repeat(first[c], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    q, c = np.repeat(q, times), np.repeat(c, times)
+                    order = np.lexsort((c, room, q))
+                    q, c, room = q[order], c[order], room[order]
+                    new = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (room[1:] != room[:-1])]) if len(q) else np.zeros(0, np.int64)
+                    cells = pa.ListArray.from_arrays(pa.array(np.r_[new, len(q)], pa.int32()), pa.array(c, pa.int32()))
+                    taken = pa.array(q[new] + s)
+                    yield pa.RecordBatch.from_arrays([*[v.take(taken) for v in batch.columns], pa.array(room[new], pa.int32()), cells], names=[*batch.schema.names, "room", "cells"])
+
+        return run
+
     def reach(self, need: int):
         """For rows x: a distance within which at least `need` points lie, from the cells alone (infinite if there are fewer)."""
         sizes, far, top = self.sizes, self.far, self.top
@@ -206,6 +286,49 @@ def _numbered(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.full(n, table["cell"][0].as_py(), np.int32)), pa.array(np.arange(n, dtype=np.int32)), row_lists(pivots)], names=["cell", "leaf", "p"])
 
 
+def _in_room(work: Callable, fold: Callable | None) -> Callable:
+    """work() for each leaf of a room and the visitors whose balls reach it.  The leaves' pivots come among the points, without an id."""
+
+    def run(rows: pa.Table, pts: pa.Table) -> pa.Table:
+        named = pc.is_valid(pts["id"])
+        pivots, pts = pts.filter(pc.invert(named)), pts.filter(named)
+        if not rows.num_rows or not pts.num_rows:
+            return work(rows.slice(0, 0), pts.slice(0, 0))
+        pts = pts.take(pa.array(np.lexsort((pts["leaf"].to_numpy(), pts["cell"].to_numpy())))).combine_chunks()
+        name = lambda t: t["cell"].to_numpy().astype(np.int64) << 32 | t["leaf"].to_numpy()
+        names, starts = np.unique(name(pts), return_index=True)
+        ends = np.append(starts[1:], pts.num_rows)
+        known = name(pivots)
+        order = np.argsort(known)
+        p = matrix(pivots["x"])[order[np.searchsorted(known, names, sorter=order)]]
+        tx = matrix(pts["x"])
+        away = [np.sqrt(((tx[s:e] - c) ** 2).sum(axis=1)) for s, e, c in zip(starts, ends, p)]
+        near, far = np.array([a.min() for a in away]), np.array([a.max() for a in away])
+        x, bound = matrix(rows["x"]), rows["bound"].to_numpy()
+        cells = rows["cells"].combine_chunks()
+        met, visitor = cells.flatten().to_numpy(), np.repeat(np.arange(rows.num_rows), cells.value_lengths().to_numpy())
+        rows = rows.drop_columns(["cells"]).combine_chunks()
+        out, held = [], 0
+        for cell in np.unique(names >> 32):
+            who, leaves = visitor[met == cell], np.flatnonzero(names >> 32 == cell)
+            hit = np.zeros((len(who), len(leaves)), bool)
+            for s in in_steps(len(who), len(leaves)):
+                hit[s] = meets(distances(x[who[s]], p[leaves]), near[leaves], far[leaves], bound[who[s]])
+            for k, leaf in enumerate(leaves):
+                some = who[hit[:, k]]
+                if len(some):
+                    out.append(work(rows.take(pa.array(some)), pts.slice(starts[leaf], ends[leaf] - starts[leaf])))
+                    held += out[-1].num_rows
+                    if fold and held > FOLD_ROWS:
+                        out = [fold(pa.concat_tables(out))]
+                        held = 0
+        if not out:
+            return work(rows.slice(0, 0), pts.slice(0, 0))
+        return fold(pa.concat_tables(out)) if fold and len(out) > 1 else pa.concat_tables(out)
+
+    return run
+
+
 def _nothing(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
