@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,12 @@ def _nearest_other(ids, x, label, tids, tx, tlabel, bound=None) -> pa.Table:
     return pa.concat_tables(out) if out else _EDGES.empty_table()
 
 
+def _least_of_each(edges: pa.Table) -> pa.Table:
+    ids, a, b, distance = (edges[c].to_numpy() for c in ("id", "a", "b", "distance"))
+    order = np.lexsort((b, a, distance, ids))
+    return edges.take(pa.array(order[np.unique(ids[order], return_index=True)[1]]))
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """The least edge of each label among (label, a, b, distance); equal lengths go by their ends, so no circle closes."""
     best = edges.groupBy("label").agg(F.min(F.struct("distance", "a", "b")).alias("e"))
@@ -110,18 +117,20 @@ def _large_tree(spots: DataFrame, max_rounds: int = 60) -> DataFrame:
         bounds = stored(bounds)
         # Points whose known neighbours reach beyond the bound have nothing to add.
         asking = named.join(bounds, "label").join(reach, "id", "left").filter(F.coalesce(F.col("reach") <= F.col("bound"), F.lit(True)))
-        asking = stored(asking.select("id", "x", "bound"))
-        plain = named.groupBy("cell", "leaf").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        visits = stored(tree.visits(asking)).join(labels, "id").join(plain, ["cell", "leaf"])
-        visits = stored(visits.filter("low <> high OR low <> label"))
+        asking = stored(asking.select("id", "x", "bound", "label"))
 
         def work(rows: pa.Table, pts: pa.Table) -> pa.Table:
             if not rows.num_rows or not pts.num_rows:
                 return _EDGES.empty_table()
+            own = pts["label"].to_numpy()
+            if (own == own[0]).all():  # a leaf of one component has nothing for its own points
+                rows = rows.filter(pc.not_equal(rows["label"], int(own[0])))
+                if not rows.num_rows:
+                    return _EDGES.empty_table()
             cells = [t[c].to_numpy() for t, c in ((rows, "id"), (rows, "label"), (pts, "id"), (pts, "label"))]
             return _nearest_other(cells[0], matrix(rows["x"]), cells[1], cells[2], matrix(pts["x"]), cells[3], rows["bound"].to_numpy())
 
-        met = replace(tree, points=named).meet(visits, work, f"id long, {EDGE}").join(labels, "id").select("label", "a", "b", "distance")
+        met = replace(tree, points=named).search(asking, work, f"id long, {EDGE}", _least_of_each).join(labels, "id").select("label", "a", "b", "distance")
         chosen = stored(_least(near.unionByName(met)).select("a", "b", "distance").distinct())
         found = chosen if found is None else stored(found.unionByName(chosen))
         linked = chosen.join(labels.select(F.col("id").alias("a"), F.col("label").alias("src")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("dst")), "b")
