@@ -51,6 +51,27 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple[int
     return nodes
 
 
+def _flat(tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """A tree as (feature, cut, children by place, path, steps to its deepest leaf); a leaf is its own child."""
+    leaf, own = tree[:, 0] < 0, np.arange(len(tree))
+    child = np.where(leaf[:, None], own[:, None], tree[:, 2:4]).astype(np.int32)
+    depth, at = 0, np.zeros(1, np.int32)
+    while not leaf[at].all():
+        depth, at = depth + 1, np.unique(child[at])
+    return np.where(leaf, 0, tree[:, 0]).astype(np.int32), np.where(leaf, np.inf, tree[:, 1]), child.ravel(), tree[:, 4], depth
+
+
+def _path_sums(trees: list, x: np.ndarray) -> np.ndarray:
+    """Path lengths of each row, summed over the trees."""
+    values, first, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+    for feature, cut, child, path, depth in trees:
+        at = np.zeros(len(x), np.int32)
+        for _ in range(depth):
+            at = child[2 * at + ~(values[first + feature[at]] <= cut[at])]
+        total += path[at]
+    return total
+
+
 class IsolationForest:
     """Trees on small hash samples, built one per group; scoring is one map over the rows."""
 
@@ -94,33 +115,28 @@ class IsolationForest:
 
     def scores(self, df: DataFrame) -> DataFrame:
         """Rows with an anomaly `score` in (0, 1], larger is more isolated."""
-        forest, unit, names = self.forest, self.unit, self.features
-        shared = df.sparkSession.sparkContext.broadcast(forest)
+        trees, unit, names = [_flat(t) for t in self.forest], self.unit, self.features
+        score = lambda total, n=len(trees): 2.0 ** (-(total / n) / max(unit, 1e-12))
+        known, one = trees, len(names) == 1
+        if one:
+            # All trees of one feature are one step function: a value up to steps[i] scores as steps[i] does.
+            steps = np.unique(np.concatenate([cut[cut < np.inf] for _, cut, *_ in trees]))
+            known = steps, score(_path_sums(trees, np.append(steps, np.inf)[:, None]))
+        shared = df.sparkSession.sparkContext.broadcast(known)
         data = complete_rows(df.withColumns({f"_f{i}": clean_double(c) for i, c in enumerate(names)}), [f"_f{i}" for i in range(len(names))])
-        packed = data.withColumn("_x", F.array(*[f"_f{i}" for i in range(len(names))]))
-
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            trees = shared.value
-            for s in batches:
-                if not len(s):
-                    yield pd.Series([], dtype=float)
-                    continue
-                x = np.vstack(s.to_numpy())
-                total = np.zeros(len(x))
-                for t in trees:
-                    at = np.zeros(len(x), dtype=int)
-                    live = np.arange(len(x))
-                    while len(live):
-                        rec = t[at[live]]
-                        inner = rec[:, 0] >= 0
-                        total[live[~inner]] += rec[~inner, 4]
-                        live, rec = live[inner], rec[inner]
-                        go_left = x[live, rec[:, 0].astype(int)] <= rec[:, 1]
-                        at[live] = np.where(go_left, rec[:, 2], rec[:, 3]).astype(int)
-                yield pd.Series(2.0 ** (-(total / len(trees)) / max(unit, 1e-12)))
-
-        score = F.pandas_udf(run, "double")
-        return packed.withColumn("score", score("_x")).drop("_x", *[f"_f{i}" for i in range(len(names))])
+
+        def run(batches):
+            known = shared.value
+            for columns in batches:
+                if one:  # a lone column comes as it is, not in a tuple
+                    yield pd.Series(known[1][np.searchsorted(known[0], columns.to_numpy(dtype=float))])
+                else:
+                    yield pd.Series(score(_path_sums(known, np.column_stack([c.to_numpy(dtype=float) for c in columns]))))
+
+        rows = pd.Series if one else tuple[pd.Series, ...]
+        run.__annotations__ = {"batches": Iterator[rows], "return": Iterator[pd.Series]}
+        scored = F.pandas_udf(run, "double")
+        return data.withColumn("score", scored(*[f"_f{i}" for i in range(len(names))])).drop(*[f"_f{i}" for i in range(len(names))])
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.scores(df).withColumn("prediction", F.when(F.col("score") > F.lit(self.offset), -1).otherwise(1))
