@@ -21,8 +21,8 @@ BLOCK_ROWS = 4096
 HASHES = 8
 #: Rounds in which tiles of several components try the first set of a second one before all pairs are compared.
 ROUNDS = 2
-#: Tile rows that a task holds packed at a time, and tokens for which one partition is meant.
-FLUSH_TOKENS = 1 << 21
+#: Tile rows that a task holds packed at a time (about 100 bytes each at the peak), and tokens for which one partition is meant.
+FLUSH_TOKENS = 1 << 18
 PART_TOKENS = 1 << 21
 
 

@@ -1,9 +1,12 @@
 """Tiles of the Jaccard join: linked sets share one, unrelated sets do not."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from abacist.llm.jaccard import Rule, jaccard_components, tokens
+from abacist.llm.jaccard import Rule, _packing, jaccard_components, tokens
 
 
 def named(rule, sets):
@@ -63,3 +66,17 @@ def test_five_words_eighty_percent_against_brute_force(spark):
                 root[b] = a
     found = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), Rule(5, 80)).collect()}
     assert found == {i: find(i) for i in range(len(sets))}
+
+
+def test_packing_holds_few_tokens():
+    def batches():
+        rng = np.random.default_rng(3)
+        for k in range(12):
+            names = pa.ListArray.from_arrays(pa.array(np.arange(0, 200_001, 50), pa.int32()), pa.array(rng.integers(0, 1 << 62, 200_000)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(4000) + 4000 * k), names], names=["id", "tokens"])
+
+    tracemalloc.start()
+    rows = sum(sum(b.column(2).to_pylist()) for b in _packing(64)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2_400_000 and peak < 64 << 20
