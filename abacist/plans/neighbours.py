@@ -144,12 +144,17 @@ def search_bounds(queries: DataFrame, tree: PivotTree, k: int, exclude_self: boo
 
 
 def by_tree(queries: DataFrame, tree: PivotTree, k: int, exclude_self: bool) -> DataFrame:
-    """(qid, tid, distance): of every block that a query's ball reaches, its k nearest within the ball."""
-    visits = stored(tree.visits(search_bounds(queries, tree, k, exclude_self)))
+    """(qid, tid, distance): of every room that a query's ball reaches, its k nearest within the ball."""
 
     def work(rows: pa.Table, points: pa.Table) -> pa.Table:
         if not rows.num_rows or not points.num_rows:
             return _FOUND.empty_table()
         return _nearest(rows["id"].to_numpy(), matrix(rows["x"]), points["id"].to_numpy(), matrix(points["x"]), k, exclude_self, rows["bound"].to_numpy())
 
-    return tree.meet(visits, work, FOUND)
+    def nearest(found: pa.Table) -> pa.Table:
+        qid, tid, distance = (found[c].to_numpy() for c in ("qid", "tid", "distance"))
+        by = np.lexsort((tid, distance, qid))
+        start = np.searchsorted(qid[by], qid[by])
+        return found.take(pa.array(by[np.arange(len(by)) - start < k]))
+
+    return tree.search(search_bounds(queries, tree, k, exclude_self), work, FOUND, nearest)
