@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abacist.llm.common import LOWER, lists, mix, raw, slices, small, span_hashes, window_hashes, word_spans, written
@@ -17,6 +17,10 @@ from abacist.plans.components import connected_components
 BITS = 1024
 #: Rows of a tile that meet in one block; larger tiles are cut in blocks, and every two blocks meet.
 BLOCK_ROWS = 4096
+#: Bytes of wide signatures or of whole sets that meet in one block.
+BLOCK_BYTES = 1 << 24
+#: Tiles before the present one that a row names, so that a pair is one tile's work.
+EARLIER = 16
 #: Hashes that deal a set into parts, tried in turn.
 HASHES = 8
 #: Rounds in which tiles of several components try the first set of a second one before all pairs are compared.
@@ -233,45 +237,143 @@ def _possible(rule: Rule, n, m, a, b):
     return (100 + rule.percent) * most >= rule.percent * (n + m)
 
 
+def _earlier(column: pa.ChunkedArray) -> np.ndarray:
+    """The tiles that rows name, -1 where they name fewer."""
+    named = column.combine_chunks()
+    out = np.full((len(named), EARLIER), -1, np.int64)
+    out[np.arange(EARLIER) < named.value_lengths().to_numpy()[:, None]] = named.flatten().to_numpy()
+    return out
+
+
+def _met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two rows name an earlier tile both: their pair is that tile's work."""
+    x, y = x[:, :, None], y[:, None, :]
+    return ((x == y) & (x >= 0)).any(axis=(1, 2))
+
+
+def _whole_keys(batches):
+    """Tables of whole keys, from rows sorted by key, of about BLOCK_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            table = pa.concat_tables(held)
+            key = table["key"].to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))
+            if whole:
+                yield table.slice(0, whole)
+            held, size = [table.slice(whole)], 0
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _each_tile(t: pa.Table):
+    """First and last row of each key."""
+    key = t["key"].to_numpy()
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)).tolist()
+    return zip([0, *ends[:-1]], ends)
+
+
 def _tiles(rule: Rule):
-    """Pairs of tiles, sorted by key and size, that have different labels and may link."""
+    """Rows of tiles, sorted by key and size, that may link to a row with another label: at most as many as come in."""
 
-    def pairs(key, ids, n, bits, label, own, alone):
-        left, right = [ids[:0]], [ids[:0]]
-        live, d = np.arange(len(ids)), 0
+    def possible(key, n, bits, label, own, alone, before):
+        found = np.zeros(len(key), bool)
+        live, d = np.arange(len(key)), 0
         while len(live):
             d += 1
-            live = live[live + d < len(ids)]
+            live = live[live + d < len(key)]
             # Sorted by size: once a partner is too large, those after it are as well.
             live = live[(key[live] == key[live + d]) & (100 * n[live] >= rule.percent * n[live + d])]
-            i = live[(label[live] != label[live + d]) & (alone[live] | (own[live] != own[live + d]))]
+            i = live[(label[live] != label[live + d]) & (alone[live] | (own[live] != own[live + d])) & ~(found[live] & found[live + d])]
             if len(i):
                 i = i[_possible(rule, n[i], n[i + d], bits[i], bits[i + d])]
-                left.append(np.minimum(ids[i], ids[i + d])), right.append(np.maximum(ids[i], ids[i + d]))
-        return np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+                i = i[~_met(before[i], before[i + d])]
+                found[i] = found[i + d] = True
+        return found
 
-    def out(t):
-        if len(t):
+    def run(batches):
+        for t in _whole_keys(batches):
             bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(t), -1)
-            key, ids, n, label, own, alone = (t[x].to_numpy() for x in ("key", "id", "n", "label", "own", "alone"))
-            found = pairs(key, ids, n, bits, label, own, alone)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            key, n, label, own, alone = (t[x].to_numpy() for x in ("key", "n", "label", "own", "alone"))
+            found = possible(key, n, bits, label, own, alone, _earlier(t["before"]))
+            yield from _sent_on(t, found)
+
+    return run
+
+
+def _sent_on(t: pa.Table, found: np.ndarray):
+    return t.select(["token", "id", "n", "label", "before"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+
+def _candidates(rule: Rule, t: pa.Table, bits: np.ndarray, root: np.ndarray):
+    """Each row of one tile with later rows that may link to it and have another root when its turn comes."""
+    n, own, alone, before = t["n"].to_numpy(), t["own"].to_numpy(), t["alone"].to_numpy(), _earlier(t["before"])
+    last = np.searchsorted(n, 100 * n // rule.percent, "right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, last[i])
+        j = j[(root[j] != root[i]) & (alone[i] | (own[j] != own[i]))]
+        j = j[_possible(rule, n[i], n[j], bits[i], bits[j])]
+        j = j[~_met(before[[i]], before[j])]
+        if len(j):
+            yield i, j.tolist()
+
+
+def _wide_tiles(rule: Rule):
+    """As `_tiles`, by the signatures of large sets as well."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = held["key"].to_numpy()
-            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if whole >= 20_000:
-                yield from out(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None:
-            yield from out(held)
+        for t in _whole_keys(batches):
+            found = np.zeros(len(t), bool)
+            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(t), -1)
+            for s, e in _each_tile(t):
+                tile, here = t.slice(s, e - s), found[s:e]
+                n, wide = tile["n"].to_numpy(), tile["wide"].to_pylist()
+                for i, later in _candidates(rule, tile, bits[s:e], tile["label"].to_numpy()):
+                    for k in later:
+                        if not (here[i] and here[k]) and _room(rule, n[i], n[k], wide[i], wide[k]):
+                            here[i] = here[k] = True
+            yield from _sent_on(t, found)
 
     return run
 
 
+def _forests(rule: Rule):
+    """Links of whole sets that join the components of a tile: fewer than it has rows, whatever the number of its pairs."""
+
+    def forest(tile):
+        n, root = tile["n"].to_numpy(), tile["label"].to_numpy().copy()
+        sets = [x.values.to_numpy().view(np.uint64) for x in tile["members"].combine_chunks()]
+        bits = np.stack([_parities(x, BITS) for x in sets]).view(np.uint64)
+        wide = [_wide(x) if len(x) > BITS else b"" for x in sets]
+        for i, later in _candidates(rule, tile, bits, root):
+            for k in later:
+                if root[k] != root[i] and _room(rule, n[i], n[k], wide[i], wide[k]) and _links(rule, sets[i], sets[k]):
+                    root[root == root[k]] = root[i]
+                    yield i, k
+
+    def run(batches):
+        for t in _whole_keys(batches):
+            pairs = [(s + i, s + k) for s, e in _each_tile(t) for i, k in forest(t.slice(s, e - s))]
+            x, y = t["id"].to_numpy()[np.array(pairs, np.int64).reshape(-1, 2)].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return run
+
+
+def _room(rule: Rule, n: int, m: int, u: bytes, v: bytes) -> bool:
+    """Whether the signatures of two large sets leave room for a link; smaller sets have none."""
+    return not (u and v) or bool(_possible(rule, n, m, *_folded(u, v))[0])
+
+
+def _links(rule: Rule, s: np.ndarray, t: np.ndarray) -> bool:
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * shared >= rule.percent * (len(s) + len(t) - shared)
+
+
 def _meet(rule: Rule):
     def run(batches):
         for batch in batches:
@@ -279,19 +381,21 @@ def _meet(rule: Rule):
             x, y = batch.column(2), batch.column(3)
             keep = []
             for k in range(len(a)):
-                s, t = x[k].values.to_numpy(), y[k].values.to_numpy()
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * shared >= rule.percent * (len(s) + len(t) - shared))
+                keep.append(_links(rule, x[k].values.to_numpy(), y[k].values.to_numpy()))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
     return run
 
 
+def _parities(members: np.ndarray, bits: int) -> np.ndarray:
+    """Signature of one set: parities of the elements that hash to each bit."""
+    return np.packbits(np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1)
+
+
 def _wide(members: np.ndarray) -> bytes:
     """Signature of a large set: a power of two of at least as many bits as it has elements."""
-    bits = 1 << (len(members) - 1).bit_length()
-    return np.packbits(np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).tobytes()
+    return _parities(members, 1 << (len(members) - 1).bit_length()).tobytes()
 
 
 def _folded(u: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -311,15 +415,20 @@ def _bounded(rule: Rule):
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(a), -1) for k in (5, 6))
             room = _possible(rule, n.to_numpy(), m.to_numpy(), x, y)
             for k in np.flatnonzero(room).tolist():
-                u, v = batch.column(7)[k].as_py(), batch.column(8)[k].as_py()
-                if u and v:
-                    room[k] = _possible(rule, n[k].as_py(), m[k].as_py(), *_folded(u, v))[0]
+                room[k] = _room(rule, n[k].as_py(), m[k].as_py(), batch.column(7)[k].as_py(), batch.column(8)[k].as_py())
             mask = pa.array(room)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), same.filter(mask)], names=["a", "b", "same"])
 
     return run
 
 
+def _sets(rule: Rule, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The whole sets of the documents named."""
+    wanted = written(ids.distinct())
+    texts = docs.join(small(wanted), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+    return written(texts.mapInArrow(_full_sets(rule.words), "id long, members array<long>"))
+
+
 def _linked(rule: Rule, docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that do link: equal sets by their 128-bit marks, others by intersection of the whole sets."""
     one = signed.select(F.col("id").alias("a"), F.struct("n", "mark1", "mark2").alias("x"), F.col("bits").alias("bits1"), F.col("wide").alias("wide1"))
@@ -327,9 +436,7 @@ def _linked(rule: Rule, docs: DataFrame, signed: DataFrame, pairs: DataFrame) ->
     both = pairs.join(one, "a").join(two, "b").select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), (F.col("x") == F.col("y")).alias("same"), "bits1", "bits2", "wide1", "wide2")
     known = written(both.mapInArrow(_bounded(rule), "a long, b long, same boolean"))
     unsure = known.filter("NOT same").select("a", "b")
-    wanted = written(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = docs.join(small(wanted), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
-    sets = written(texts.mapInArrow(_full_sets(rule.words), "id long, members array<long>"))
+    sets = _sets(rule, docs, unsure.select(F.explode(F.array("a", "b")).alias("id")))
     both = unsure.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     met = written(both.select("a", "b", "x", "y").mapInArrow(_meet(rule), "a long, b long"))
@@ -350,19 +457,48 @@ def _second_heads(named: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "second.id").alias("a"), F.greatest("id", "second.id").alias("b")).distinct()
 
 
-def _crossing(rule: Rule, named: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs of tiles that may join two components."""
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
-    rows = named.join(mixed.select("token", "rows"), "token")
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+def _blocked(rows: DataFrame, blocks) -> DataFrame:
+    """Rows of tiles cut in blocks, one key for every two blocks of a tile and for each alone."""
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(F.xxhash64("token", low, high).alias("key"), "id", "label", "own", (low == high).alias("alone"))
-    rows = rows.join(signed.select("id", "n", "bits").dropDuplicates(["id"]), "id").select("key", "id", "n", "label", "own", "alone", "bits")
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id")
-    return written(rows.mapInArrow(_tiles(rule), "a long, b long").distinct())
+    return rows.withColumn("key", F.xxhash64("token", low, high)).withColumn("alone", low == high)
+
+
+def _again(rows: DataFrame, bytes_each: float) -> DataFrame:
+    """The rows sent on, once each, in blocks of so many rows and bytes for each element."""
+    rows = rows.dropDuplicates(["token", "id"])
+    size = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("elements") * bytes_each / BLOCK_BYTES))
+    return _blocked(rows.join(size, "token"), blocks.cast("int"))
+
+
+def _by_tile(rows: DataFrame, judge, schema: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartition(parts, "key").sortWithinPartitions("key", "n", "id").mapInArrow(judge, schema))
+
+
+def _crossing(rule: Rule, docs: DataFrame, named: DataFrame, known: DataFrame) -> DataFrame:
+    """Links that join the components of each tile.
+
+    Every pair of a tile that is in two components is judged: by its sizes and
+    signatures, by the wide signatures of large sets, by the whole sets.  The
+    rows that may have a link are sent on to the next of these, as rows, not as
+    pairs, and in the end only links that join two components come out.  Two
+    sets that share several tiles are judged in the first; rows name the tiles
+    just before the present one, and where those do not tell, the pair is
+    judged again.
+    """
+    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low <> high")
+    just_before = Window.partitionBy("id").orderBy("token").rowsBetween(-EARLIER, -1)
+    rows = named.join(mixed.select("token", "rows"), "token").withColumn("before", F.collect_list("token").over(just_before))
+    rows = _blocked(rows.join(known.select("id", "n", "bits"), "id"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
+    carried, sent = ["key", "token", "id", "n", "label", "own", "alone", "before"], "token long, id long, n long, label long, before array<long>"
+    near = _by_tile(rows.select(*carried, "bits"), _tiles(rule), sent)
+    rows = _again(near, 1 / 8).join(known.select("id", "bits", "wide"), "id")
+    near = _by_tile(rows.select(*carried, "bits", "wide"), _wide_tiles(rule), sent)
+    rows = _again(near, 8).join(_sets(rule, docs, near.select("id")), "id")
+    return _by_tile(rows.select(*carried, "members"), _forests(rule), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,10 +510,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     with the smallest id of its tiles.  Where more than one component is left in
     a tile, further rounds compare each set with the first one of a second
     component.  The last takes the tiles in which components still differ and
-    compares all pairs across them:
+    compares all pairs across them inside the tile:
     sizes and bit counts of signatures bound the intersection from above, then
-    whole sorted sets decide.  Groups of copies thus never form all their
-    pairs, and no link between components is lost.
+    whole sorted sets decide.  Only links that join two components leave a
+    tile, so that no table grows with the pairs of a group, and no link between
+    components is lost.
 
     Null or empty texts, and texts of white space, have n_shingles 0, link with
     nothing and are their own component.  Ids are integers, unique but for
@@ -402,8 +539,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
         more = _second_heads(_labelled(shared, _roots(links))).join(near, ["a", "b"], "left_anti")
         more = written(more)
         links, near = written(links.unionByName(_linked(rule, rows, known, more))), near.unionByName(more)
-    rest = _crossing(rule, _labelled(shared, _roots(links)), signed).join(near, ["a", "b"], "left_anti")
-    roots = _roots(links.unionByName(_linked(rule, rows, known, rest)))
+    rest = _crossing(rule, rows, _labelled(shared, _roots(links)), known)
+    roots = _roots(links.unionByName(rest))
     return signed.select("id", "n").join(roots, "id", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )

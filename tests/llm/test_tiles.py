@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from abacist.llm import jaccard
 from abacist.llm.jaccard import Rule, _packing, jaccard_components, tokens
 
 
@@ -80,3 +81,52 @@ def test_packing_holds_few_tokens():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 2_400_000 and peak < 64 << 20
+
+
+def near_misses(copies):
+    """Texts of one group: any two differ in 240 shingles of 996 each, too many for 80 percent, but too few for 1024 bits to tell."""
+    for i in range(copies):
+        yield " ".join([f"w{k}" for k in range(880)] + [f"x{i}_{k}" for k in range(120)])
+
+
+def test_rows_made_grow_with_the_group_not_with_its_pairs(spark, monkeypatch):
+    made, kept = {}, jaccard.written
+
+    def counted(df):
+        out = kept(df)
+        if out.columns in (["a", "b"], ["a", "b", "same"]):
+            made[copies] = made.get(copies, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 100_000, raising=False)
+    for copies in (30, 120):
+        texts = [*near_misses(copies)]
+        texts += [texts[-1] + f" end{k}" for k in range(3)]
+        rows = [(i, t) for i, t in enumerate(texts)]
+        found = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), Rule(5, 80)).collect()}
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        assert min(min(p) for p in linked) == copies - 1
+        assert found == {i: min(i, copies - 1) for i in range(len(texts))}
+    assert made[120] <= 6 * made[30]
+
+
+def test_forest_of_a_tile_has_fewer_links_than_rows():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[:280], rng.integers(1, 1 << 62, 20, dtype=np.uint64)])) for _ in range(60)]
+    table = pa.table(
+        {
+            "key": np.zeros(60, np.int64),
+            "id": np.arange(60),
+            "n": np.full(60, 300),
+            "label": np.arange(60),
+            "own": np.zeros(60, np.int32),
+            "alone": np.ones(60, bool),
+            "before": pa.array([[]] * 60, pa.list_(pa.int64())),
+            "members": [s.view(np.int64) for s in sets],
+        }
+    )
+    links = [(a, b) for batch in jaccard._forests(Rule(5, 80))(table.to_batches(13)) for a, b in zip(*(c.to_pylist() for c in batch.columns))]
+    assert len(links) == 59 and len({*range(60)} - {x for link in links for x in link}) == 0
