@@ -18,9 +18,11 @@ BITS = 1024
 #: Rows of a tile that meet in one block; larger tiles are cut in blocks, and every two blocks meet.
 BLOCK_ROWS = 4096
 #: Bytes of wide signatures or of whole sets that meet in one block.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
 #: Tiles before the present one that a row names, so that a pair is one tile's work.
 EARLIER = 16
+#: Bytes of text whose shingles are formed at a time: some 100 bytes of memory each.
+TEXT_BYTES = 1 << 18
 #: Hashes that deal a set into parts, tried in turn.
 HASHES = 8
 #: Rounds in which tiles of several components try the first set of a second one before all pairs are compared.
@@ -130,7 +132,7 @@ def _signing(rule: Rule):
     def run(batches):
         for batch in batches:
             data, offsets = raw(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TEXT_BYTES):
                 found, size = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.words)
                 rows = j - i
                 # Parities: what two sets share cancels out, so the bits that differ count their difference only.
@@ -223,7 +225,7 @@ def _full_sets(words: int):
     def run(batches):
         for batch in batches:
             data, offsets = raw(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TEXT_BYTES):
                 found, size = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists(found.view(np.int64), size, pa.int64())], names=["id", "members"])
 
@@ -247,8 +249,10 @@ def _earlier(column: pa.ChunkedArray) -> np.ndarray:
 
 def _met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether two rows name an earlier tile both: their pair is that tile's work."""
-    x, y = x[:, :, None], y[:, None, :]
-    return ((x == y) & (x >= 0)).any(axis=(1, 2))
+    found = np.zeros(len(y), bool)
+    for k in range(EARLIER):
+        found |= ((x == y[:, k : k + 1]) & (x >= 0)).any(axis=1)
+    return found
 
 
 def _whole_keys(batches):
