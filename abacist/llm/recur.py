@@ -129,22 +129,18 @@ def _id_bucket(ids, count):
 
 def _triggers(unit: Unit, buckets: int):
     def flush(trigger, ids, size):
-        order = np.lexsort((ids, trigger))
+        order = np.argsort(trigger)
         trigger, ids, size = trigger[order], ids[order], np.concatenate([[0], np.cumsum(size[order])])
-        first = np.ones(len(trigger), bool)
-        first[1:] = trigger[1:] != trigger[:-1]
-        size = np.diff(size[np.append(np.flatnonzero(first), len(trigger))])
-        if not unit.own and len(trigger):
-            fresh = np.ones(len(trigger), bool)
-            fresh[1:] = (trigger[1:] != trigger[:-1]) | (ids[1:] != ids[:-1])
-            trigger, ids, first = trigger[fresh], ids[fresh], first[fresh]
-        count = np.diff(np.append(np.flatnonzero(first), len(trigger)))
-        many = np.repeat(count > 1, count)
+        first = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1])[: len(trigger)])
+        edges = np.append(first, len(trigger))
+        size, count = np.diff(size[edges]), np.diff(edges)
+        many = count > 1 if unit.own else np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
         # Triggers that occur again right here are known to recur; one row of them tells the others.
-        yield from send_pairs(trigger[many], ids[many], buckets)
+        again = np.repeat(many, count)
+        yield from send_pairs(trigger[again], ids[again], buckets, unit.own)
         b = bucket_by_high_bits(trigger[first], buckets)
         order = np.argsort(b, kind="stable")
-        t, i, m, z, b = trigger[first][order], ids[first][order], (count > 1)[order], size[order], b[order]
+        t, i, m, z, b = trigger[first][order], ids[first][order], many[order], size[order], b[order]
         for bucket, s in by_bucket(b, buckets):
             yield packed(bucket, 0, s.stop - s.start, short(t[s]), planes(i[s]), m[s].tobytes(), planes(z[s]))
 
@@ -174,11 +170,14 @@ def _triggers(unit: Unit, buckets: int):
     return triggers
 
 
-def send_pairs(trigger, ids, buckets):
+def send_pairs(trigger, ids, buckets, copies=True):
     """Recurring triggers of documents, packed by document."""
     b = _id_bucket(ids, buckets)
     order = np.lexsort((trigger, ids, b))
     trigger, ids, b = trigger[order], ids[order], b[order]
+    if not copies and len(ids):
+        new = np.append(True, (trigger[1:] != trigger[:-1]) | (ids[1:] != ids[:-1]))
+        trigger, ids, b = trigger[new], ids[new], b[new]
     for bucket, s in by_bucket(b, buckets):
         yield packed(bucket, 1, s.stop - s.start, short(trigger[s]), planes(ids[s]))
 
@@ -197,6 +196,15 @@ def buckets_of(batches):
         yield at, held
 
 
+def _again_of(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values occur more than once."""
+    same = np.zeros(len(values), bool)
+    same[1:] = values[1:] == values[:-1]
+    again = same.copy()
+    again[:-1] |= same[1:]
+    return again
+
+
 def _recurring(buckets: int, most: int):
     def recurring_triggers(batches):
         out = []
@@ -211,17 +219,13 @@ def _recurring(buckets: int, most: int):
             ids = np.concatenate([flat(r["f1"], np.int64) for r in seen])
             many = np.concatenate([np.frombuffer(r["f2"], bool) for r in seen])
             size = np.concatenate([flat(r["f3"], np.int64) for r in seen])
-            order = np.argsort(trigger, kind="stable")
+            order = np.argsort(trigger)
             trigger, ids, many, size = trigger[order], ids[order], many[order], size[order]
             new = np.flatnonzero(np.append(True, trigger[1:] != trigger[:-1]))
             heavy = trigger[new][np.add.reduceat(size, new) > most]
             if len(heavy):
                 yield packed(bucket, 5, len(heavy), planes(heavy | np.uint64(bucket << 40)))
-            same = np.zeros(len(trigger), bool)
-            same[1:] = trigger[1:] == trigger[:-1]
-            again = same.copy()
-            again[:-1] |= same[1:]
-            take = again & ~many
+            take = _again_of(trigger) & ~many
             out.append((trigger[take], ids[take]))
         if out:
             yield from send_pairs(*map(np.concatenate, zip(*out)), buckets)
@@ -250,11 +254,43 @@ def _blocks(buckets: int):
 
 
 def texts_of(rows):
-    """(ids, bytes, offsets) of each block of text among packed rows."""
+    """(ids, bytes, offsets) of the text among packed rows, as many blocks at a time as BLOCK_BYTES hold.
+
+    The more buckets there are, the smaller are the blocks that a task gets of each.
+    """
+
+    def together():
+        ids, sizes, data = zip(*held)
+        data = data[0] if len(data) == 1 else b"".join(data)
+        return np.concatenate(ids), np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    held, size = [], 0
     for r in rows:
         if r["kind"] == 9:
-            data = np.frombuffer(pa.decompress(r["f2"], int.from_bytes(r["f3"], "little"), "zstd"), np.uint8)
-            yield flat(r["f0"], np.int64), data, np.concatenate([[0], np.cumsum(flat(r["f1"], np.int64))])
+            n = int.from_bytes(r["f3"], "little")
+            if held and size + n > BLOCK_BYTES:
+                yield together()
+                held, size = [], 0
+            held.append((flat(r["f0"], np.int64), flat(r["f1"], np.int64), pa.decompress(r["f2"], n, "zstd")))
+            size += n
+    if held:
+        yield together()
+
+
+def among(wanted: np.ndarray) -> Callable:
+    """Tells which of the values it gets are wanted.  A table of low bits, made once, rules most of the others out."""
+    wanted = np.unique(wanted)
+    low = np.uint64((1 << min(26, (16 * len(wanted)).bit_length())) - 1)
+    seen = np.zeros(int(low) + 1, bool)
+    seen[wanted & low] = True
+
+    def run(values: np.ndarray) -> np.ndarray:
+        hit = seen[values & low]
+        at = np.flatnonzero(hit)
+        hit[at] = wanted[np.minimum(np.searchsorted(wanted, values[at]), len(wanted) - 1)] == values[at]
+        return hit
+
+    return run
 
 
 def _again(unit: Unit, high, low, ids, start):
@@ -285,16 +321,7 @@ def _candidates(unit: Unit, buckets: int, heavy: np.ndarray):
 
     def flush(ids, start, count, trigger, sizes, bodies):
         # Equal phrases of one flush: those after the first are repeats as a whole.
-        name = np.array([hash_of(b) for b in bodies], np.uint64) ^ trigger
-        order = np.lexsort((start, ids >> unit.bits, name))
-        name, rank = name[order], order
-        new = np.ones(len(name), bool)
-        new[1:] = name[1:] != name[:-1]
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        later = np.zeros(len(ids), bool)
-        # The name is a hash: only equal bytes count as equal.
-        for k, h in zip(rank[~new].tolist(), head[~new].tolist()):
-            later[k] = unit.sooner(ids[h], start[h], ids[k], start[k]) and bodies[k] == bodies[h]
+        later = _first_of_equal(unit, trigger, ids, start, bodies)
         yield from send_spans(ids[later], start[later], start[later] + count[later], buckets)
         keep = np.flatnonzero(~later)
         b = bucket_by_high_bits(trigger[keep], buckets)
@@ -313,21 +340,22 @@ def _candidates(unit: Unit, buckets: int, heavy: np.ndarray):
     def candidate_phrases(batches):
         held, size = [], 0
         lone, windows = [], 0
+        much_of = among(heavy)
         for _, rows in buckets_of(batches):
             pairs = [r for r in rows if r["kind"] == 1]
             trigger = np.concatenate([long(r["f0"]) for r in pairs]) if pairs else np.zeros(0, np.uint64)
             owner = np.concatenate([flat(r["f1"], np.int64) for r in pairs]) if pairs else np.zeros(0, np.int64)
-            wanted = np.unique(mix(trigger ^ mix(owner.view(np.uint64))))
+            wanted = among(mix(trigger ^ mix(owner.view(np.uint64))))
             for ids, data, offsets in texts_of(rows):
                 values, row, begin, end = unit.parse(data, offsets)
                 owner, start, count, trigger = phrases(unit, values, row, len(ids))
-                hit = np.isin(mix((trigger & LOW) ^ mix(ids[owner].view(np.uint64))), wanted)
+                hit = wanted(mix((trigger & LOW) ^ mix(ids.view(np.uint64))[owner]))
                 owner, start, count, trigger = owner[hit], start[hit], count[hit], trigger[hit]
                 if not len(owner):
                     continue
                 at = np.searchsorted(row, np.arange(len(ids)))[owner] + start
                 body = data.tobytes()
-                much = np.isin((trigger & LOW) | (bucket_by_high_bits(trigger, buckets).astype(np.uint64) << np.uint64(40)), heavy)
+                much = much_of((trigger & LOW) | (bucket_by_high_bits(trigger, buckets).astype(np.uint64) << np.uint64(40)))
                 edges = np.concatenate([[0], np.cumsum(count[much])])
                 for x, y in slices(edges, HEAVY_WINDOWS):
                     k = np.flatnonzero(much)[x:y]
@@ -361,26 +389,31 @@ def _joined(held):
     return [*map(np.concatenate, columns), [b for part in bodies for b in part]]
 
 
-def hash_of(body: bytes) -> int:
-    return hash(body) & 0x7FFFFFFFFFFFFFFF
-
-
 def send_spans(ids, begin, end, buckets):
     """Ranges of windows to remove, packed by document."""
     b = _id_bucket(ids, buckets)
     order = np.lexsort((begin, ids, b))
     ids, begin, end, b = ids[order], begin[order], end[order], b[order]
+    # Ranges of one document that follow each other are sent as one.
+    new = np.ones(len(ids) + 1, bool)
+    new[1:-1] = (ids[1:] != ids[:-1]) | (begin[1:] != end[:-1])
+    ids, begin, end, b = ids[new[:-1]], begin[new[:-1]], end[new[1:]], b[new[:-1]]
     for bucket, s in by_bucket(b, buckets):
         yield packed(bucket, 3, s.stop - s.start, planes(ids[s]), planes(begin[s]), planes(end[s]))
 
 
 def _first_of_equal(unit: Unit, trigger, ids, start, bodies) -> np.ndarray:
-    """Whether a phrase, of those sorted in corpus order under each trigger, repeats an earlier one as a whole."""
-    first: dict = {}
+    """Whether a phrase repeats, as a whole, one that comes before it."""
+    name = np.fromiter(map(hash, bodies), np.int64, len(bodies)).view(np.uint64) ^ trigger
+    order = np.argsort(name)
+    order = order[_again_of(name[order])]  # only phrases that share a name are put in corpus order
+    order = order[np.lexsort((start[order], ids[order] >> unit.bits, name[order]))]
+    new = np.append(True, name[order][1:] != name[order][:-1])[: len(order)]
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    # The name is a hash: only equal bytes count as equal.
+    same = np.fromiter((bodies[k] == bodies[h] for k, h in zip(order.tolist(), head.tolist())), bool, len(order))
     later = np.zeros(len(ids), bool)
-    for k, name in enumerate(zip(trigger.tolist(), bodies)):
-        doc, place = first.setdefault(name, (ids[k], start[k]))
-        later[k] = unit.sooner(doc, place, ids[k], start[k])
+    later[order] = same & unit.sooner(ids[head], start[head], ids[order], start[order])
     return later
 
 
