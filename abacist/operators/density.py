@@ -4,8 +4,11 @@ The grid side is eps / sqrt(dims), so any two points of one cell are within
 eps.  A cell that holds `min_points` rows is therefore all core, unseen.  Only
 points of thinner cells need neighbour counts, and a cell meets a bounded
 number of other cells, so those joins grow linearly with the data.  Two full
-cells are linked by testing sub-cells of a finer and finer grid, where most
-are decided by their boxes alone.
+cells are linked by testing few of their points, then the rest, unless other
+cells join them already.  Boxes of cells, with the cells around them, are worked on in
+one task each; their components meet in the cells that several boxes hold.
+Where a few cells have more points than a task should hold, cells are joined
+as tables instead, and full ones linked by sub-cells of a finer and finer grid.
 
 Beyond four features a grid has too many neighbouring cells.  There the
 points form a tree of pivots and meet the leaves that their balls reach, room
@@ -27,13 +30,16 @@ from pyspark.sql import functions as F
 
 from abacist.plans.components import connected_components
 from abacist.plans.neighbours import points
-from abacist.plans.pivots import PivotTree, distances, in_steps, matrix, slack
+from abacist.plans.pivots import STEP, PivotTree, distances, in_steps, matrix, row_lists, slack
 from abacist.plans.quantiles import clean_double, complete_rows
 from abacist.plans.session import durable, stored
 from abacist.plans.skew import skew_join
+from abacist.plans.tiles import FIRST, LAST, Cells, Tiles, any_within, int_matrix, linked, portions, ranges, square_distances
 
 MAX_DIMS = 4
 HALVINGS = 5
+#: Distinct points that a box of cells and its surroundings may have to be worked on by one task.
+MOST_POINTS = 1_000_000
 
 
 def _cell(x: Column, dims: int, side: float) -> Column:
@@ -123,7 +129,134 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     rows = complete_rows(df.select(F.col(key).alias("id"), *[clean_double(c).alias(f"f{i}") for i, c in enumerate(features)]))
     # Copies of a position count once with a weight.
     spots = rows.select(F.array(*[f"f{i}" for i in range(dims)]).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    spots = durable(spots.withColumn("cell", _cell(F.col("x"), dims, side)))
+    spots = stored(spots.withColumn("cell", _cell(F.col("x"), dims, side)))
+    # A point counts its neighbours in the cells around its own, of which all points must be there, too.
+    tiles = Tiles.plan(spots, dims, 2 * math.ceil(math.sqrt(dims)))
+    labels = _by_boxes(spots, tiles, dims, eps, min_points) if tiles.most <= MOST_POINTS else _by_joins(spots, dims, side, eps, min_points)
+    spread = rows.select("id", F.array(*[f"f{i}" for i in range(dims)]).alias("x"))
+    out = skew_join(spread, labels, ["x"], "left")
+    return out.select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+
+
+FOUND = pa.schema([("kind", pa.int32()), ("x", pa.list_(pa.float64())), ("label", pa.string()), ("cell", pa.string())])
+CORE, BORDER, LINK = 0, 1, 2
+
+
+def _close(cells: Cells, x: np.ndarray, own: np.ndarray, who: np.ndarray, met: np.ndarray, offsets: Sequence[tuple[int, ...]], eps: float):
+    """(asking, met) places of points within eps, portion by portion; points are sorted by their cell."""
+    start = np.searchsorted(own[met], np.arange(cells.count + 1))
+    asked, at = np.unique(own[who], return_inverse=True)
+    for o in offsets:
+        there = cells.find(cells.rows[asked] + np.array(o))[at]
+        q = who[there >= 0]
+        there = there[there >= 0]
+        count = start[there + 1] - start[there]
+        for s in portions(count, STEP):
+            i, j = np.repeat(q[s], count[s]), met[ranges(start[there[s]], count[s])]
+            near = square_distances(x[i], x[j]) <= eps * eps
+            yield i[near], j[near]
+
+
+def _link_full(root: np.ndarray, cells: Cells, x: np.ndarray, own: np.ndarray, full: np.ndarray, offsets: Sequence[tuple[int, ...]], eps: float) -> np.ndarray:
+    """Joins full cells with points within eps; cells that hang together already are not compared."""
+    start = np.searchsorted(own, np.arange(cells.count + 1))
+    size, mine = np.diff(start), np.flatnonzero(full)
+    ahead = [o for o in offsets if o > tuple([0] * x.shape[1])]
+    for o in sorted(ahead, key=lambda o: sum(v * v for v in o)):
+        there = cells.find(cells.rows[mine] + np.array(o))
+        a, b = mine[there >= 0], there[there >= 0]
+        a, b = a[full[b]], b[full[b]]
+        # Few points of each often tell already.
+        for few in (4, 0):
+            open_ = root[a] != root[b]
+            a, b = a[open_], b[open_]
+            m, n = (np.minimum(size[c], few) if few else size[c] for c in (a, b))
+            small = np.flatnonzero(m * n <= STEP)
+            hit = np.zeros(len(a), bool)
+            for s in portions((m * n)[small], STEP):
+                k = small[s]
+                pair = np.repeat(k, (m * n)[k])
+                place = ranges(np.zeros(len(k), np.int64), (m * n)[k])
+                i, j = start[a[pair]] + place // n[pair], start[b[pair]] + place % n[pair]
+                hit[pair[square_distances(x[i], x[j]) <= eps * eps]] = True
+            root = linked(root, a[hit], b[hit])
+            for k in np.flatnonzero(m * n > STEP):
+                if root[a[k]] != root[b[k]] and any_within(*(x[start[c[k]] : start[c[k] + 1]] for c in (a, b)), eps):
+                    root = linked(root, a[k : k + 1], b[k : k + 1])
+    return root
+
+
+def _boxed(tiles: Tiles, dims: int, eps: float, min_points: int):
+    """DBSCAN of one box: of its core points the component, of its border points all components they touch.
+
+    Components are those of the box and the cells next to it, named by their least cell; those of different boxes meet
+    in the cells that both hold.
+    """
+    offsets, reach = _offsets(dims), tiles.halo // 2
+
+    def run(table: pa.Table) -> pa.Table:
+        tile = table["tile"][0].as_py()
+        cells = Cells(int_matrix(table["cell"]))
+        if (cells.rows < FIRST + tiles.halo).any() or (cells.rows > LAST - tiles.halo).any():
+            raise OverflowError("values are too far from 0 for cells of this eps")
+        order = np.argsort(cells.number, kind="stable")
+        own, x, w = cells.number[order], matrix(table["x"])[order], table["w"].to_numpy()[order]
+        low, high = tiles.low[tile], tiles.high[tile]
+        edge = lambda d: (np.where(low == FIRST, FIRST, low - d), np.where(high == LAST, LAST, high + d))
+        inside = lambda d: ((cells.rows >= edge(d)[0]) & (cells.rows <= edge(d)[1])).all(axis=1)
+        home, zone, middle = inside(0), inside(reach), inside(-reach)
+        full = np.bincount(own, weights=w, minlength=cells.count) >= min_points
+        everyone = np.arange(len(x))
+        thin = np.flatnonzero(zone[own] & ~full[own])
+        seen = np.zeros(len(x))
+        for i, j in _close(cells, x, own, thin, everyone, offsets, eps):
+            seen += np.bincount(i, weights=w[j], minlength=len(x))
+        core = full[own] & zone[own]
+        core[thin[seen[thin] >= min_points]] = True
+        root = _link_full(np.arange(cells.count), cells, x, own, full & zone, offsets, eps)
+        solid = np.flatnonzero(core)
+        for i, j in _close(cells, x, own, thin[core[thin]], solid, offsets, eps):
+            root = linked(root, own[i], own[j])
+        held = np.unique(own[solid])
+        names = np.array([",".join(map(str, c)) for c in cells.rows[held].tolist()], object)
+        ranked = np.argsort(names.astype(str))
+        comp, first = np.unique(root[held][ranked], return_index=True)
+        least = names[ranked[first]]
+        name = lambda c: least[np.searchsorted(comp, root[c])]
+        border = np.flatnonzero(home[own] & ~full[own] & ~core)
+        touched = [np.zeros((0, 2), np.int64)]
+        for i, j in _close(cells, x, own, border, solid, offsets, eps):
+            touched.append(np.unique(np.stack([i, root[own[j]]], axis=1), axis=0))
+        touched = np.unique(np.concatenate(touched), axis=0)
+        mine, seam = solid[home[own[solid]]], ~middle[held]
+        told = np.concatenate([name(own[mine]), name(touched[:, 1]), name(held[seam]), least])
+        kinds = np.repeat(np.array([CORE, BORDER, LINK], np.int32), [len(mine), len(touched), int(seam.sum()) + len(least)])
+        places = np.concatenate([mine, touched[:, 0]])
+        lists = pa.concat_arrays([row_lists(x[places].reshape(len(places), dims)), pa.nulls(len(kinds) - len(places), pa.list_(pa.float64()))])
+        meets = [None] * len(places) + [*names[seam], *least]
+        return pa.Table.from_arrays([pa.array(kinds), lists, pa.array(told, pa.string()), pa.array(meets, pa.string())], schema=FOUND)
+
+    return run
+
+
+def _by_boxes(spots: DataFrame, tiles: Tiles, dims: int, eps: float, min_points: int) -> DataFrame:
+    """`(x, cluster, core)` of all points but noise, box by box."""
+    found = tiles.dealt(spots).groupBy("tile").applyInArrow(_boxed(tiles, dims, eps, min_points), "kind int, x array<double>, label string, cell string")
+    found = stored(found)
+    seams = found.filter(F.col("kind") == LINK).select("label", "cell").distinct()
+    # A cell at a border is held by few boxes: one link from each of its names to the least of them.
+    least = seams.groupBy("cell").agg(F.min("label").alias("least"))
+    links = stored(seams.join(least, "cell").select(F.col("label").alias("src"), F.col("least").alias("dst")).distinct())
+    comp = connected_components(links.select(F.col("src").alias("node")), links.filter("src <> dst"))
+    numbers = stored(_numbered(comp).select(F.col("node").alias("label"), "cluster"))
+    told = found.filter(F.col("kind") != LINK).select("kind", "x", "label")
+    told = skew_join(told, numbers, ["label"]).select("kind", "x", "cluster")
+    border = told.filter(F.col("kind") == BORDER).groupBy("x").agg(F.min("cluster").alias("cluster")).withColumn("core", F.lit(False))
+    return stored(told.filter(F.col("kind") == CORE).select("x", "cluster", F.lit(True).alias("core")).unionByName(border))
+
+
+def _by_joins(spots: DataFrame, dims: int, side: float, eps: float, min_points: int) -> DataFrame:
+    """The same by joins of cells, for points so dense that no task holds a few cells."""
     weights = durable(spots.groupBy("cell").agg(F.sum("w").alias("cell_w")))
     heavy = weights.filter(F.col("cell_w") >= min_points).select("cell")
     full = durable(skew_join(spots, heavy.withColumn("_full", F.lit(True)), ["cell"]).drop("_full"))
@@ -153,10 +286,7 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.5, m
     asking = _around(border, dims, offsets, "x")
     met = skew_join(core_label.select(F.col("cell").alias("near"), F.col("x").alias("y"), "cluster"), asking, ["near"])
     reached = met.filter(_square_distance("x", "y", dims) <= F.lit(eps * eps)).groupBy("x").agg(F.min("cluster").alias("cluster"))
-    labels = core_label.select("x", "cluster", F.lit(True).alias("core")).unionByName(reached.withColumn("core", F.lit(False)))
-    spread = rows.select("id", F.array(*[f"f{i}" for i in range(dims)]).alias("x"))
-    out = skew_join(spread, labels, ["x"], "left")
-    return out.select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    return core_label.select("x", "cluster", F.lit(True).alias("core")).unionByName(reached.withColumn("core", F.lit(False)))
 
 
 def _within(rows: pa.Table, points: pa.Table, eps: float):
