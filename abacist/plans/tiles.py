@@ -35,6 +35,7 @@ class Tiles:
     low: np.ndarray
     high: np.ndarray
     halo: int
+    total: int
     #: Points of the fullest box and its surroundings, estimated.
     most: float
 
@@ -68,7 +69,7 @@ class Tiles:
             return -len(low)
 
         cut(cells, cells, np.full(dims, FIRST), np.full(dims, LAST))
-        return cls(splits, np.array(low), np.array(high), halo, max(near) * each)
+        return cls(splits, np.array(low), np.array(high), halo, total, max(near) * each)
 
     def dealt(self, spots: DataFrame) -> DataFrame:
         """(tile, x, cell, w): every spot once for each box whose surroundings hold it."""

@@ -40,6 +40,7 @@ def labels(spark, x, eps, min_points):
 def test_boxes_give_what_plain_loops_give(spark, monkeypatch, dims, n, scale, eps):
     # Points are not repeated as rows for each of the cells around them.
     monkeypatch.setattr(density, "_around", None)
+    monkeypatch.setattr(density, "LEAST_POINTS", 0)
     monkeypatch.setattr(tiles, "TILE_POINTS", 60)
     x = points(dims, n, scale)
     found = labels(spark, x, eps, 5)
