@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.operators.cluster import Scaling
-from abacist.plans.components import connected_components
+from abacist.plans.components import components_of_chains, connected_components
 from abacist.plans.neighbours import BROADCAST_POINTS, nearest_neighbours, points
 from abacist.plans.ordering import with_row_index
 from abacist.plans.pivots import PivotTree, distances, in_steps, matrix, slack
 from abacist.plans.session import stored
 from abacist.plans.skew import skew_join
+from abacist.plans.tiles import linked
 
 EDGE = "a long, b long, distance double"
 #: Neighbours of each point that are kept for all rounds.
 KNOWN = 8
+#: Edges that are thinned to a forest at a time, and that one task may hold.
+SOME_EDGES = 65_536
+TASK_EDGES = 2_000_000
 _EDGES = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64())])
 
 
@@ -139,17 +143,123 @@ def _large_tree(spots: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the spanning tree did not close")
 
 
-def spanning_tree(pts: DataFrame, broadcast_points: int = BROADCAST_POINTS) -> DataFrame:
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.float64())])
+
+
+def _lightest(edges: pa.Table) -> pa.Table:
+    """The minimum spanning forest of some edges; an edge that it lacks is in no forest of more edges either."""
+    a, b, distance = (edges[c].to_numpy() for c in _PAIRS.names)
+    order = np.lexsort((b, a, distance))
+    names, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    u, v = ends[: len(order)], ends[len(order) :]
+    root, kept, at = np.arange(len(names)), np.zeros(len(order), bool), np.arange(len(order))
+    while True:
+        at = at[root[u[at]] != root[v[at]]]
+        if not len(at):
+            return edges.select(_PAIRS.names).take(pa.array(order[kept]))
+        least = np.full(len(names), len(order))
+        np.minimum.at(least, root[u[at]], at)
+        np.minimum.at(least, root[v[at]], at)
+        taken = np.unique(least[least < len(order)])
+        kept[taken] = True
+        root = linked(root, u[taken], v[taken])
+
+
+def _light_pairs(ids: np.ndarray, x: np.ndarray, tids: np.ndarray, tx: np.ndarray, height: float) -> pa.Table:
+    """A forest of the pairs within `height`: the nearest first, then only those that their components leave open."""
+    half, names, forest = (tx * tx).sum(axis=1) / 2, np.union1d(ids, tids), _PAIRS.empty_table()
+    at, to = np.searchsorted(names, ids), np.searchsorted(names, tids)
+    limit = height + slack(np.array(height))
+    for s in in_steps(len(x), len(tx)):
+        inner = x[s] @ tx.T - half
+        own = (x[s] * x[s]).sum(axis=1) / 2
+        i, j = np.nonzero(inner >= (own - limit * limit / 2)[:, None])
+        away = np.sqrt(np.clip(2 * (own[i] - inner[i, j]), 0, None))
+        i += s.start
+        if len(i) > SOME_EDGES:
+            order = np.argsort(away)
+            i, j, away = i[order], j[order], away[order]
+        root = np.arange(len(names))
+        for k in range(0, len(i), SOME_EDGES):
+            p, q = i[k : k + SOME_EDGES], j[k : k + SOME_EDGES]
+            if k:  # distances from inner products are short of exact by less than the slack
+                sure = forest.filter(pc.less(forest["distance"], float(away[k] - 2 * slack(away[k]))))
+                root = linked(root, np.searchsorted(names, sure["a"].to_numpy()), np.searchsorted(names, sure["b"].to_numpy()))
+            open_ = (root[at[p]] != root[to[q]]) & (at[p] != to[q])
+            p, q = p[open_], q[open_]
+            exact = np.sqrt(((x[p] - tx[q]) ** 2).sum(axis=1))
+            near = exact <= height
+            one, two = ids[p[near]], tids[q[near]]
+            some = pa.Table.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(exact[near])], schema=_PAIRS)
+            forest = pa.concat_tables([forest, some])
+            if len(i) > SOME_EDGES or forest.num_rows > 2 * (len(names) + SOME_EDGES):
+                forest = _lightest(forest)
+    return forest
+
+
+def _forest_of(edges: DataFrame) -> DataFrame:
+    """The minimum spanning forest of a table of edges: thinned in portions while that helps, then by rounds."""
+    rows = edges.count()
+    while rows > TASK_EDGES:
+        part = F.pmod(F.xxhash64("a", "b"), F.lit(-(-rows // TASK_EDGES))).alias("part")
+        edges = stored(edges.select(*_PAIRS.names, part).groupBy("part").applyInArrow(_lightest, EDGE))
+        before, rows = rows, edges.count()
+        if rows > 0.8 * before and rows > TASK_EDGES:
+            return _by_rounds(edges)
+
+    def whole(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches]
+        if tables:
+            yield from _lightest(pa.concat_tables(tables).combine_chunks()).to_batches()
+
+    return stored(edges.select(*_PAIRS.names).coalesce(1).mapInArrow(whole, EDGE))
+
+
+def _by_rounds(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id")))
+    found = stored(edges.limit(0))
+    for _ in range(max_rounds):
+        ends = edges.join(labels.select(F.col("id").alias("a"), F.col("label").alias("src")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("dst")), "b")
+        out = stored(ends.filter("src <> dst"))
+        if out.isEmpty():
+            return found
+        best = _least(out.select(F.explode(F.array("src", "dst")).alias("label"), "a", "b", "distance")).select("a", "b", "distance").distinct()
+        chosen = stored(out.join(best.select("a", "b"), ["a", "b"]).select("a", "b", "distance", "src", "dst").distinct())
+        found = stored(found.unionByName(chosen.select("a", "b", "distance")))
+        roots = connected_components(labels.select(F.col("label").alias("node")).distinct(), chosen.select("src", "dst"))
+        labels = stored(skew_join(labels, roots.select(F.col("node").alias("label"), "root"), ["label"]).select("id", F.col("root").alias("label")))
+        edges = out.select("a", "b", "distance")
+    raise RuntimeError("the spanning forest did not close")
+
+
+def _forest_within(spots: DataFrame, height: float) -> DataFrame:
+    """One pass over the pairs within `height`: each task returns a forest of its own, and these are thinned to one."""
+    tree = PivotTree.build(spots)
+
+    def work(rows: pa.Table, pts: pa.Table) -> pa.Table:
+        if not rows.num_rows or not pts.num_rows:
+            return _PAIRS.empty_table()
+        return _light_pairs(rows["id"].to_numpy(), matrix(rows["x"]), pts["id"].to_numpy(), matrix(pts["x"]), height)
+
+    asking = stored(tree.points.select("id", "x", F.lit(float(height)).alias("bound"), "cell"))
+    return _forest_of(stored(tree.search(asking, work, EDGE, _lightest, ahead=True)))
+
+
+def spanning_tree(pts: DataFrame, broadcast_points: int = BROADCAST_POINTS, height: float | None = None) -> DataFrame:
     """`(a, b, distance)`: the minimum spanning tree of `(id, x)`, one edge less than there are points.
 
     In each round every component takes its least edge to another one, so at
     most half of them are left.  Copies of a position hang on the one with the
-    smallest id, at distance 0.
+    smallest id, at distance 0.  With `height`, longer edges need not be among
+    them; many points are then searched within that distance only, once.
     """
     spots = stored(pts.groupBy("x").agg(F.min("id").alias("id")).select("id", "x"))
     copies = skew_join(pts, spots.select("x", F.col("id").alias("first")), ["x"]).filter("id <> first")
     copies = copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))
-    tree = _small_tree(spots) if spots.count() <= broadcast_points else _large_tree(spots)
+    if spots.count() <= broadcast_points:
+        tree = _small_tree(spots)
+    else:
+        tree = _large_tree(spots) if height is None else _forest_within(spots, height)
     return stored(tree.unionByName(copies))
 
 
@@ -170,12 +280,12 @@ def single_linkage(
     """
     scaling = Scaling.of(df, features, standardize)
     pts = stored(points(scaling.scaled(df, [key]), key, scaling.names))
-    tree = spanning_tree(pts, broadcast_points)
+    tree = spanning_tree(pts, broadcast_points, height)
     if height is not None:
         kept = tree.filter(F.col("distance") <= height)
     else:
         heaviest = tree.orderBy(F.desc("distance"), F.desc("a"), F.desc("b")).limit(max(k, 1) - 1)
         kept = tree.join(heaviest.select("a", "b"), ["a", "b"], "left_anti")
-    roots = connected_components(pts.select(F.col("id").alias("node")), kept.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    roots = components_of_chains(pts.select(F.col("id").alias("node")), kept.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     numbers = with_row_index(roots.select("root").distinct(), ["root"], "cluster")
     return skew_join(roots, numbers, ["root"]).select(F.col("node").alias(key), F.col("cluster").cast("int").alias("cluster"))

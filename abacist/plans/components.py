@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacist.plans.session import stored
 from abacist.plans.skew import skew_join
+from abacist.plans.tiles import linked
+
+#: Edges that one task may hold.
+TASK_EDGES = 2_000_000
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -38,3 +44,24 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def components_of_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """connected_components() of whole numbers for edges that form long chains, such as trees.
+
+    Labels take a round for each few steps of a chain.  Up to TASK_EDGES edges one task joins at once.
+    """
+    edges = stored(edges.select("src", "dst"))
+    if edges.count() > TASK_EDGES:
+        return connected_components(nodes, edges)
+
+    def joined(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches]
+        if tables:
+            table = pa.concat_tables(tables)
+            names, ends = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]), return_inverse=True)
+            root = linked(np.arange(len(names)), ends[: table.num_rows], ends[table.num_rows :])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["node", "root"])
+
+    roots = edges.coalesce(1).mapInArrow(joined, "node long, root long")
+    return stored(nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))

@@ -164,10 +164,12 @@ class PivotTree:
         right = self.points.select(*known)
         return _together(visits, right, ["cell", "leaf", "part"], BLOCK_VISITORS, work, schema)
 
-    def search(self, rows: DataFrame, work: Callable, schema: str, fold: Callable | None = None) -> DataFrame:
+    def search(self, rows: DataFrame, work: Callable, schema: str, fold: Callable | None = None, ahead: bool = False) -> DataFrame:
         """work(visitors, points) for the leaves that may hold points within `bound` of x; further columns of rows are kept.
 
         `rows` is read twice.  `fold` shortens a table of results; a room returns what is left of all its leaves.
+        With `ahead`, rows are points of the tree with their `cell` and meet no cell before it: of two
+        points in different cells only one visits the other.
         """
         first, parts = self._rooms()
         used = np.flatnonzero(self.sizes > 0)
@@ -180,7 +182,7 @@ class PivotTree:
         pivots = pivots.select("room", *[F.col(c) if c in ("x", "cell", "leaf") else F.lit(None).cast(self.points.schema[c].dataType).alias(c) for c in known])
         right = points.select("room", *known).unionByName(pivots)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        visitors = rows.mapInArrow(self._rooms_met(first, parts), f"{fields}, room int, cells array<int>")
+        visitors = rows.mapInArrow(self._rooms_met(first, parts, ahead), f"{fields}, room int, cells array<int>")
         most = int(min(ROOM_VISITORS, self._room_points(), max(BLOCK_POINTS, self.sizes.sum() // 4)))
         return _together(visitors, right, ["room"], most, _in_room(work, fold), schema)
 
@@ -205,7 +207,7 @@ class PivotTree:
                 held += int(self.sizes[c])
         return first, parts
 
-    def _rooms_met(self, first: np.ndarray, parts: np.ndarray):
+    def _rooms_met(self, first: np.ndarray, parts: np.ndarray, ahead: bool = False):
         top, sizes, near, far = self.top, self.sizes, self.near, self.far
         used = np.flatnonzero(sizes > 0)
         rooms = int((first + parts).max())
@@ -219,6 +221,9 @@ class PivotTree:
                 for s in range(0, len(x), step):
                     q, c = np.nonzero(meets(distances(x[s : s + step], top), near, far, bound[s : s + step])[:, used])
                     c = used[c]
+                    if ahead:
+                        own = batch.column(batch.schema.get_field_index("cell")).to_numpy()[s : s + step]
+                        q, c = q[c >= own[q]], c[c >= own[q]]
                     times = parts[c]
                     room = np.repeat(first[c], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
                     q, c = np.repeat(q, times), np.repeat(c, times)
