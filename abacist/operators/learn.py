@@ -221,11 +221,11 @@ class TrainedModel:
 
     def importance(self, normalize: bool = False) -> DataFrame:
         """Tree importances or absolute coefficients, largest first."""
-        kinds = ("featureImportances", "coefficients", "coefficientMatrix", "models")
-        scored = [s for s in self.fitted.stages if any(hasattr(s, k) for k in kinds)]
-        if not scored:
+        # A matrix is asked for before coefficients: models of several classes refuse those.
+        kinds = ("featureImportances", "coefficientMatrix", "coefficients", "models")
+        model = next((s for s in self.fitted.stages if any(hasattr(s, k) for k in kinds)), None)
+        if model is None:
             raise ValueError(f"{self.meta.algorithm} has no feature importance")
-        model = scored[0]
         if isinstance(model, OneVsRestModel):
             parts = [m.featureImportances if hasattr(m, "featureImportances") else m.coefficients for m in model.models]
             values = np.abs([p.toArray() for p in parts]).mean(0)
